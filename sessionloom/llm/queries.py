@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 from .binary import op10_token_files
+from .langid import op2_language
 from .lines import OP5_SQL, op5_line_dedup
 from .mix import op1_mix
+from .near import op7_near_join
 from .pack import op4_pack
+from .perplexity import op9_quality_rules
+from .quality import op3_quality
 
 QUERIES = {
     "op1_mix_sources": op1_mix,
+    "op2_language_id": op2_language,
+    "op3_quality_grade": op3_quality,
     "op4_best_fit_packing": op4_pack,
     "op5_line_dedup": op5_line_dedup,
+    "op7_near_join": op7_near_join,
+    "op9_quality_rules": op9_quality_rules,
     "op10_token_files": op10_token_files,
 }
 ORACLES = {"op5_line_dedup": OP5_SQL}

@@ -76,10 +76,8 @@ class Words:
         if len(short):
             extra = np.zeros(len(short), np.uint64)
             for k, d in enumerate(short):
-                total = np.uint64(self.count[d])
-                for h in self.hash[self.first[d] : self.first[d] + self.count[d]]:
-                    total = np.multiply(total, _MUL, dtype=np.uint64) + h
-                extra[k] = total
+                own = self.hash[self.first[d] : self.first[d] + self.count[d]]
+                extra[k] = (own * powers(n + 1)[1 : len(own) + 1]).sum(dtype=np.uint64) + np.uint64(len(own))
             value, doc = np.concatenate((value, mix(extra))), np.concatenate((doc, short))
             order = np.argsort(doc, kind="stable")
             value, doc = value[order], doc[order]
