@@ -6,15 +6,25 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import lines, mix, pack
+from sessionloom.llm import langid, lines, mix, near, pack
 from sessionloom.llm.common import shared_dir, table
 
 
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in which a language can be told."""
+    return langid.confident(docs)
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts each source's boilerplate lines out of the texts."""
     return lines.dedup_lines(docs)
 
 
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return near.one_of_each(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources, documents as often as it takes them."""
     return mix.mixed_documents(docs)
@@ -25,7 +35,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return pack.pack(docs)
 
 
-STAGES = [("line dedup", dedup_lines), ("mix", mix_sources), ("packing", pack_documents)]
+STAGES = [("language", identify_languages), ("line dedup", dedup_lines), ("near join", join_near_copies), ("mix", mix_sources), ("packing", pack_documents)]
 
 ORACLE_SQL = None
 

@@ -72,7 +72,7 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> dict:
         m = fit_ordinal(features(texts_of(own["text"])), grade, of)
         return pd.DataFrame({"levels": [m["levels"].tolist()], "w": [m["w"].tolist()], "t": [m["t"].tolist()]})
 
-    got = rows.groupBy(F.lit(1)).applyInPandas(fit, "levels array<double>, w array<float>, t array<double>").collect()
+    got = rows.groupBy().applyInPandas(fit, "levels array<double>, w array<float>, t array<double>").collect()
     return {k: np.array(got[0][k]) for k in ("levels", "w", "t")} if got else {"levels": np.zeros(1), "w": np.zeros(0), "t": np.zeros(0)}
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from .binary import op10_token_files
 from .langid import op2_language
 from .lines import OP5_SQL, op5_line_dedup
+from .media import op8_media_copies
 from .mix import op1_mix
 from .near import op7_near_join
 from .pack import op4_pack
 from .perplexity import op9_quality_rules
 from .quality import op3_quality
+from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_mix_sources": op1_mix,
@@ -17,7 +19,9 @@ QUERIES = {
     "op3_quality_grade": op3_quality,
     "op4_best_fit_packing": op4_pack,
     "op5_line_dedup": op5_line_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_near_join": op7_near_join,
+    "op8_media_copies": op8_media_copies,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_files": op10_token_files,
 }

@@ -34,13 +34,14 @@ class Words:
     data holds all bytes, each text ended by a line feed; text_starts has where each begins.
     """
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], gaps: np.ndarray = SPACE):
+        """gaps: which bytes part words; a line feed must be one of them."""
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         sizes = np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
         self.data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
         self.text_ends = np.cumsum(sizes)
         self.text_starts = self.text_ends - sizes
-        inside = ~SPACE[self.data]
+        inside = ~gaps[self.data]
         edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
         self.begin, self.end = edges[::2], edges[1::2]
         lengths = self.end - self.begin
