@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 #: Corners kept at each scale (the image, and half of it); tests in a descriptor; tables, and tests that make a table's key.
-CORNERS, TESTS, TABLES, KEY = (12, 5), 128, 5, 24
+CORNERS, TESTS, TABLES, KEY = (24, 6), 128, 2, 48
 #: Distance of a test's points from the corner, and of corners from the border.
-REACH, TURNS = 6, 16
+REACH, TURNS = 8, 16
 #: Corners that must agree on one shift; its tolerance in pixels; how many bits of a descriptor may differ.
 LEAST_CORNERS, SHIFT, MOST_BITS = 3, 4, 28
 _HEAD = np.dtype("<u2")
@@ -33,15 +33,30 @@ def decode_image(data: bytes | None) -> np.ndarray:
     return np.frombuffer(data, np.uint8, offset=4).reshape(h, w) if len(data) == 4 + int(h) * int(w) else np.zeros((0, 0), np.uint8)
 
 
-def render(text: str, side: int = 64) -> np.ndarray:
+def _stretch(side: int, cells: int) -> np.ndarray:
+    """Linear interpolation from cells to pixels, as a matrix."""
+    at = np.linspace(0, cells - 1, side)
+    low = np.minimum(at.astype(int), cells - 2)
+    out = np.zeros((side, cells), np.float32)
+    out[np.arange(side), low], out[np.arange(side), low + 1] = 1 - (at - low), at - low
+    return out
+
+
+_SIDE = 64
+_CELLS = 32
+_STRETCH = _stretch(_SIDE, _CELLS)
+
+
+def render(text: str) -> np.ndarray:
     """An image that depends on the whole of a text: soft noise and rectangles."""
     raw = text.encode("utf-8", "surrogatepass")
-    rng = np.random.default_rng((zlib.crc32(raw), zlib.adler32(raw), len(raw)))
-    coarse = rng.integers(60, 190, (side // 4, side // 4))
-    out = np.repeat(np.repeat(coarse, 4, 0), 4, 1).astype(np.float32)
-    out = (out + np.roll(out, 2, 0) + np.roll(out, 2, 1) + np.roll(out, (2, 2), (0, 1))) / 4
-    for y, x, h, w, g in rng.integers((0, 0, 5, 5, 0), (side - 6, side - 6, 24, 24, 255), (14, 5)):
-        out[y : y + h, x : x + w] = 0.35 * out[y : y + h, x : x + w] + 0.65 * g
+    rng = np.random.Generator(np.random.PCG64(zlib.crc32(raw) << 32 | zlib.adler32(raw)))
+    draws = rng.random(_CELLS * _CELLS + 40, np.float32)
+    out = _STRETCH @ (40 + 170 * draws[:-40].reshape(_CELLS, _CELLS)) @ _STRETCH.T
+    for y, x, h, w, g in (draws[-40:].reshape(8, 5) * (_SIDE - 8, _SIDE - 8, 20, 20, 255)).tolist():
+        own = out[int(y) : int(y + h) + 5, int(x) : int(x + w) + 5]
+        own *= 0.6
+        own += 0.4 * g
     return np.clip(out, 0, 255).astype(np.uint8)
 
 
@@ -59,7 +74,7 @@ def edited(pixels: np.ndarray, seed: int) -> np.ndarray:
 def _pattern() -> np.ndarray:
     """Offsets of the tests' two points for each turn: (turn, test, point, yx)."""
     rng = np.random.default_rng(20)
-    points = np.clip(rng.normal(0, 2.6, (TESTS, 2, 2)), -REACH + 1, REACH - 1)
+    points = rng.uniform(-REACH * 0.75, REACH * 0.75, (TESTS, 2, 2))
     angle = 2 * np.pi * np.arange(TURNS) / TURNS
     turn = np.stack([np.stack([np.cos(angle), np.sin(angle)], -1), np.stack([-np.sin(angle), np.cos(angle)], -1)], -2)
     return np.clip(np.rint(np.einsum("tij,kpj->tkpi", turn, points)), -REACH, REACH).astype(np.int64)
@@ -67,24 +82,27 @@ def _pattern() -> np.ndarray:
 
 _TESTS = _pattern()
 _DISC = np.array([(y, x) for y in range(-REACH, REACH + 1) for x in range(-REACH, REACH + 1) if y * y + x * x <= REACH * REACH])
-_PICKS = np.random.default_rng(21).permutation(TESTS)[: TABLES * KEY].reshape(TABLES, KEY)
+_PICKS = np.array([np.random.default_rng(21 + t).permutation(TESTS)[:KEY] for t in range(TABLES)])
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
-    """Mean over a square around each pixel, by running sums."""
+    """Mean over a square around each pixel; the border repeats."""
     for axis in (1, 2):
         pad = [(0, 0)] * 3
-        pad[axis] = (r + 1, r)
-        s = np.cumsum(np.pad(a, pad, mode="edge"), axis, dtype=np.float64)
-        n = s.shape[axis]
-        a = (np.take(s, range(2 * r + 1, n), axis) - np.take(s, range(n - 2 * r - 1), axis)) / (2 * r + 1)
+        pad[axis] = (r, r)
+        wide, n = np.pad(a, pad, mode="edge"), a.shape[axis]
+        cut = (lambda k: wide[:, k : k + n]) if axis == 1 else (lambda k: wide[:, :, k : k + n])  # noqa: B023
+        a = cut(0).copy()
+        for k in range(1, 2 * r + 1):
+            a += cut(k)  # noqa: B023
+        a /= 2 * r + 1
     return a
 
 
 def describe(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of equally large images: which image each corner is in, its y and x in the image, and the bits of its descriptor (0 or 1)."""
     who, where, bits = [], [], []
-    level, scale = images.astype(np.float64), 1
+    level, scale = images.astype(np.float32), 1
     for most in CORNERS:
         if min(level.shape[1:]) <= 2 * REACH + 4:
             break
@@ -92,14 +110,15 @@ def describe(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         gy, gx = np.gradient(smooth, axis=(1, 2))
         a, b, c = _box(gy * gy, 2), _box(gy * gx, 2), _box(gx * gx, 2)
         r = a * c - b * b - 0.05 * (a + c) ** 2
-        top = r.copy()
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
-                top = np.maximum(top, np.roll(r, (dy, dx), (1, 2)))
         edge = REACH + 1
-        ok = (r >= top) & (r > 1)
-        ok[:, :edge], ok[:, -edge:], ok[:, :, :edge], ok[:, :, -edge:] = False, False, False, False
-        flat = np.where(ok, r, 0).reshape(len(r), -1)
+        top = r.copy()
+        np.maximum(top[:, 1:-1], np.maximum(r[:, 2:], r[:, :-2]), out=top[:, 1:-1])
+        side = top.copy()
+        np.maximum(top[:, :, 1:-1], np.maximum(side[:, :, 2:], side[:, :, :-2]), out=top[:, :, 1:-1])
+        flat = np.zeros_like(r)
+        inner = (slice(None), slice(edge, -edge), slice(edge, -edge))
+        flat[inner] = np.where((r[inner] >= top[inner]) & (r[inner] > 1), r[inner], 0)
+        flat = flat.reshape(len(r), -1)
         best = np.argpartition(-flat, most, 1)[:, :most]
         i = np.repeat(np.arange(len(r)), most)
         y, x = np.divmod(best.ravel(), r.shape[2])
