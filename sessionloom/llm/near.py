@@ -16,9 +16,9 @@ WORDS, SIMILAR = 5, 0.8
 #: any depth (0.2 + 0.8 q squared = q for two coordinates), so that three runs lose fewer than 1 in 4,000 such pairs.
 COORDINATES, RUNS, SPLITS = 64, 3, 2
 #: Nodes of at most SMALL sets are compared pair by pair; what is still larger after DEPTH splits is compared in blocks of BLOCK.
-SMALL, DEPTH, BLOCK = 64, 8, 256
-#: Sets whose sketches agree in this share of places may be at 0.8 (4 standard deviations below); at CLOSE they surely are near.
-MAYBE, CLOSE = 0.55, 0.88
+SMALL, DEPTH, BLOCK = 64, 8, 512
+#: Sets whose sketches agree in this share of places may be at 0.8 (5 standard deviations below).
+MAYBE = 0.55
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -48,13 +48,13 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _children(rows: DataFrame, level: int) -> DataFrame:
-    """set, node: the nodes to which each row (set, node, sketch) goes, by the values of its sketch at coordinates that the node chooses."""
+    """set, tag, node: the nodes to which each row (set, tag, node, sketch) goes, by the values of its sketch at coordinates that the node chooses."""
 
     def child(k):
         at = F.pmod(F.xxhash64(F.col("node"), k, F.lit(level)), F.lit(COORDINATES)).cast("int")
         return F.xxhash64(F.col("node"), k, F.element_at("sketch", at + 1))
 
-    return rows.select("set", F.explode(F.transform(F.sequence(F.lit(0), F.lit(SPLITS - 1)), child)).alias("node"))
+    return rows.select("set", "tag", F.explode(F.transform(F.sequence(F.lit(0), F.lit(SPLITS - 1)), child)).alias("node"))
 
 
 def _agree(a, b):
@@ -90,30 +90,30 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
     """a, b: edges that connect all sets which may be similar (set, sketch; one row a set), few for each set.
 
     Chosen paths: every node of the tree picks SPLITS coordinates, and a set goes down with its values there, so that similar sets meet
-    again and others part. Nodes of one set end. Small nodes are compared pair by pair. In a larger one all sets are first compared
-    with one of them, the pivot; those that agree enough are linked to it. Those nearly equal to it go no further: whatever is at 0.8 to
-    one of them is within 0.6 of the pivot (the distance is a metric), hence linked to it too. So a group of any number of near copies
-    shrinks at each level instead of being paired. What is still large at the last level is compared in blocks, all against all.
+    again and others part. Nodes of one set end. Small nodes are compared pair by pair. In a larger one all sets are compared with one
+    of them, the pivot; those that agree enough are linked to it and take its tag. Sets of one tag are connected already, so a node
+    that has only one tag ends: a group of any number of near copies is linked to a pivot, not paired. Nothing else ends a path; what
+    is still large at the last level is compared in blocks, all against all.
     """
-    root = sets.select("set", "sketch", F.explode(F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.xxhash64(r))).alias("node"))
+    root = sets.select("set", F.col("set").alias("tag"), "sketch", F.explode(F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.xxhash64(r))).alias("node"))
     rows = _children(root, 0)
+    open_ = (F.count(F.lit(1)).alias("m"), F.min("tag").alias("low"), F.max("tag").alias("high"))
     edges, small = [], []
     for level in range(1, DEPTH + 1):
         rows = materialize(rows, "near-nodes")
-        size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("set", F.lit(level)).alias("h"), "set")).alias("p")).where("m > 1")
-        rows = materialize(rows.join(size.select("node", "m", F.col("p.set").alias("pivot")), "node"), "near-live")
+        size = rows.groupBy("node").agg(*open_, F.min(F.struct(F.xxhash64("set", F.lit(level)).alias("h"), "set", "tag")).alias("p")).where("low < high")
+        rows = materialize(rows.join(size.select("node", "m", F.col("p.set").alias("pivot"), F.col("p.tag").alias("pivot_tag")), "node"), "near-live")
         small.append(rows.where(F.col("m") <= SMALL).select("node", "set"))
         big = rows.where(F.col("m") > SMALL)
         if not big.take(1):
             break
         pivots = big.select("node", "pivot").distinct().join(sets.select(F.col("set").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
-        near = big.join(sets, "set").join(pivots.select("node", "pivot_sketch"), "node").withColumn("agree", _agree(F.col("sketch"), F.col("pivot_sketch")))
+        near = big.join(sets, "set").join(pivots.select("node", "pivot_sketch"), "node").withColumn("linked", _agree(F.col("sketch"), F.col("pivot_sketch")) >= MAYBE)
         near = materialize(near.drop("pivot_sketch"), "near-big")
-        edges.append(near.where((F.col("agree") >= MAYBE) & (F.col("set") != F.col("pivot"))).select(F.col("set").alias("a"), F.col("pivot").alias("b")))
-        left = near.where(F.col("agree") < CLOSE)
-        rows = _children(left, level)
+        edges.append(near.where(F.col("linked") & (F.col("set") != F.col("pivot"))).select(F.col("set").alias("a"), F.col("pivot").alias("b")))
+        rows = _children(near.withColumn("tag", F.when(F.col("linked"), F.col("pivot_tag")).otherwise(F.col("tag"))), level)
     else:  # the last level's large nodes
-        size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        size = rows.groupBy("node").agg(*open_).where("low < high")
         last = rows.join(size, "node").withColumn("blocks", F.ceil(F.col("m") / SMALL).cast("int")).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
         small.append(_block_pairs(last, "node").select(F.xxhash64("node", "one", "two").alias("node"), "set"))
     met = small[0]
@@ -215,7 +215,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = members.join(size, "component").join(sets.select("set", "copies", F.col("first.doc_id").alias("own_id"), F.col("first.row_key").alias("own_key")), "set")
     members = materialize(members, "near-members")
     key = F.xxhash64(docs["doc_id"], docs["text"])
-    texts = docs.select("doc_id", "text", key.alias("row_key")).join(members, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("row_key") == F.col("own_key"))).drop("doc_id", "row_key", "own_id", "own_key")
+    # always a merge join: members are a share of all documents, so a table that happens to be small enough to broadcast won't stay so
+    texts = docs.select("doc_id", "text", key.alias("row_key")).join(members.hint("merge"), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("row_key") == F.col("own_key"))).drop("doc_id", "row_key", "own_id", "own_key")
 
     def shingle(batches):
         for part in chunks(batches):
