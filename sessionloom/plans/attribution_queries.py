@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators import attribution as att
 from .lens import EV, MSG, SPANS, USAGE, messages, session_events, spans, usage_records
-from .registry import query
+from .register import query
 
 
 def usage(read):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import tools
 from ..operators import pairing, risk
 from .lens import COMMANDS, EV, session_events
-from .registry import query
+from .register import query
 
 PAIRED = f"""{EV}, st AS (SELECT *, sum(CASE WHEN kind = 'session.ended' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS stretch FROM ev),
  nx AS (SELECT *, lead(kind) OVER w AS nk, lead(id) OVER w AS ni, lead(ts) OVER w AS nt, lead(value) OVER w AS nv, lag(kind) OVER w AS pk FROM st WHERE kind IN ('tool.call.started', 'tool.call.completed')

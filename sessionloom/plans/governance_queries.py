@@ -10,7 +10,7 @@ from ..operators import risk
 from ..operators.sequence import inherit_phase, numbered
 from .enrichment_queries import _GOLDEN
 from .lens import COMMANDS, EV, session_events
-from .registry import query
+from .register import query
 from .sequence_queries import PHASED, W
 
 CALLS = f"{EV}, calls AS (SELECT * FROM ev WHERE kind IN ('tool.call.started', 'tool.call.completed'))"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import records
 from ..operators import preprocess
 from ..sources import readers
-from .registry import query
+from .register import query
 
 
 @query("src_replay", "SELECT doc_id AS file, i - 1 AS seq, line FROM (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE trim(line) <> ''")

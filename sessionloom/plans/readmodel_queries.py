@@ -13,7 +13,7 @@ from .attribution_queries import usage
 from .enrichment_queries import _GOLDEN, NORM
 from .governance_queries import RULES, SCORED, ruled
 from .lens import COMMANDS, EV, MSG, USAGE, messages, session_events
-from .registry import query
+from .register import query
 from .sequence_queries import PHASED, SEGMENTS, segmented
 
 LEVEL = "CASE WHEN score <= 20 THEN 'safe' WHEN score <= 45 THEN 'caution' WHEN score <= 75 THEN 'danger' ELSE 'critical' END"

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators import sequence as seq
 from .lens import EV, MSG, messages, session_events
-from .registry import query
+from .register import query
 
 W = "(PARTITION BY session_id ORDER BY ts, id)"
 OWN = "CASE WHEN kind = 'message.user' THEN 'planning' WHEN kind NOT LIKE 'tool.%' THEN NULL WHEN tool IN ('read_file', 'grep', 'list_dir', 'web_search') THEN 'exploration' WHEN tool IN ('write_file', 'edit-file') THEN 'implementation' WHEN tool = 'bash' THEN 'verification' ELSE 'review' END"
