@@ -53,8 +53,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     rows = materialize(base, "mix-sizes")
     sizes = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most_passes), "mix-targets")
     sized = rows.join(sizes.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_")), "inner").drop("source_")
-    passes = F.greatest(F.lit(1), F.least(F.lit(most_passes), F.ceil(F.try_divide("target", "source_size")).cast("int")))
-    queue = sized.withColumn("pass", F.explode(F.sequence(F.lit(0), F.coalesce(passes, F.lit(1)) - 1))).withColumn("place", F.xxhash64("doc_id", "row_key", F.lit(seed), "pass"))
+    passes = F.when(F.col("source_size") > 0, F.greatest(F.lit(1), F.least(F.lit(most_passes), F.ceil(F.try_divide("target", "source_size")).cast("int")))).otherwise(1)
+    queue = sized.withColumn("pass", F.explode(F.sequence(F.lit(0), passes - 1))).withColumn("place", F.xxhash64("doc_id", "row_key", F.lit(seed), "pass"))
     queue = queue.withColumn("slice", F.col("pass") * slices + F.shiftrightunsigned("place", 64 - (slices - 1).bit_length()))
     sums = queue.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     ordered = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
