@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import chunks, is_held_out, materialize, table, texts_of
+from .common import chunks, fresh, is_held_out, materialize, table, texts_of
 from .ngrams import labelled_sample, ngram_features, sigmoid
 
 #: Languages by family; one that isn't named is a family of its own.
@@ -25,6 +25,8 @@ FAMILIES = {
 }
 #: At most this many documents of each language are learned from.
 SAMPLE, BITS, UNKNOWN = 1200, 12, "und"
+#: And at most this many in all, should there be very many languages.
+MOST_ROWS = 100_000
 
 
 def family(lang: str) -> str:
@@ -59,8 +61,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """The machines, one for each two families and each two languages of a family, each fitted in a task of its own on a bounded sample of
     documents that aren't held out. What comes to the driver is the weights."""
     spark = docs.sparkSession
-    own = labelled_sample(docs.where(~is_held_out() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang"), "lang", sample, "langid")
-    own = materialize(own.select("text", "lang"), "langid-sample")
+    own = labelled_sample(docs.where(~is_held_out() & F.col("doc_id").isNotNull()).select("doc_id", "lang"), "lang", sample, "langid")
+    # a bounded number of rows, so that texts stay where they are
+    some = F.broadcast(own.select("doc_id", "lang").distinct().limit(MOST_ROWS))
+    own = materialize(docs.select("doc_id", "lang", "text").join(some, ["doc_id", "lang"]).where(F.col("text").rlike(r"\p{L}")).select("text", "lang"), "langid-sample")
     langs = sorted(r["lang"] for r in own.select("lang").distinct().collect())
     families = sorted({family(x) for x in langs})
     pairs = [("family", a, b) for a, b in combinations(families, 2)]
@@ -97,35 +101,42 @@ def _vote(names: list[str], level: str, model: dict, x: np.ndarray) -> tuple[np.
     return best, least[np.arange(len(x)), best]
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with lang_pred and score. A null text, or one without a letter, is `und` with score 0; so is all where nothing was learned."""
+def predict(docs: DataFrame, model: dict, lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with two more columns, of which only the text goes to Python. A null text, or one without a letter, is `und` with score 0; so is
+    all where nothing was learned."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS weights for each pair of languages
-    kinds = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    found = fresh(docs, "language")[0]
 
-    def run(batches):
+    @F.pandas_udf("lang string, score double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = held.value
         by_family = [[x for x in m["langs"] if family(x) == f] for f in m["families"]]
-        for part in chunks(batches, most_rows=256):
-            texts = texts_of(part["text"])
-            lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-            known = np.array([any(map(str.isalpha, t)) for t in texts], bool)
-            if m["langs"] and known.any():
-                at = np.flatnonzero(known)
-                x = ngram_features([texts[i] for i in at], BITS, fold_case=True)
-                f, p = _vote(m["families"], "family", m, x)
-                for k, names in enumerate(by_family):
-                    own = np.flatnonzero(f == k)
-                    if len(own):
-                        best, q = _vote(names, "language", m, x[own])
-                        lang[at[own]] = np.array(names, object)[best]
-                        score[at[own]] = p[own] * q
-            yield part.assign(lang_pred=lang, score=score)
-
-    return docs.mapInPandas(run, kinds)
+        for batch in batches:
+            out = []
+            for part in chunks([batch.to_frame("text")], most_rows=256):
+                texts = texts_of(part["text"])
+                lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+                known = np.array([any(map(str.isalpha, t)) for t in texts], bool)
+                if m["langs"] and known.any():
+                    at = np.flatnonzero(known)
+                    x = ngram_features([texts[i] for i in at], BITS, fold_case=True)
+                    f, p = _vote(m["families"], "family", m, x)
+                    for k, names in enumerate(by_family):
+                        own = np.flatnonzero(f == k)
+                        if len(own):
+                            best, q = _vote(names, "language", m, x[own])
+                            lang[at[own]] = np.array(names, object)[best]
+                            score[at[own]] = p[own] * q
+                out.append(pd.DataFrame({"lang": lang, "score": score}))
+            yield pd.concat(out) if out else pd.DataFrame({"lang": [], "score": []})
+
+    # not to be run again for a filter on its result
+    scored = docs.withColumn(found, run.asNondeterministic()("text"))
+    return scored.select(*docs.columns, F.col(f"{found}.lang").alias(lang_pred), F.col(f"{found}.score").alias(score))
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated rows are judged alike; a null doc_id counts as learnable; an empty table gives no rows."""
+    """Repeated rows are judged alike; documents with a null doc_id aren't learned from; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs)
     return predict(docs.select("doc_id", is_held_out().alias("held_out"), "text"), model).drop("text")
@@ -133,8 +144,6 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def confident(docs: DataFrame, least: float = 0.2) -> DataFrame:
     """The documents in which a language is found with at least that score; columns as in docs."""
-    model = train(docs)
-    narrow = predict(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key")), model)
-    good = narrow.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(F.col("doc_id").alias("good_id"), "row_key").distinct()
-    key = F.xxhash64(docs["doc_id"], docs["text"])
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["good_id"]) & (key == good["row_key"]), "left_semi")
+    lang_pred, score = fresh(docs, "lang_pred", "score")
+    found = predict(docs, train(docs), lang_pred, score)
+    return found.where((F.col(lang_pred) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)

@@ -14,6 +14,8 @@ from .perplexity import base_rules
 
 #: At most this many rated documents of each grade are learned from.
 SAMPLE, BITS = 2500, 12
+#: And at most this many in all, should there be very many grades.
+MOST_ROWS = 25_000
 #: A document is selected if its grade is above the lowest with at least this probability.
 LEAST_TAIL = 0.4
 
@@ -62,7 +64,8 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> dict:
     """ratings: doc_id, quality. Fits on a bounded sample of rated documents that aren't held out, in one task of that bound."""
     rated = ratings.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("double").alias("grade"))
     some = labelled_sample(rated.where(~is_held_out()), "grade", sample, "quality")
-    rows = docs.select("doc_id", "text").join(some, "doc_id").select("text", "grade", "sampled_of")
+    # a bounded number of rows, so that texts stay where they are
+    rows = docs.select("doc_id", "text").join(F.broadcast(some.limit(MOST_ROWS)), "doc_id").select("text", "grade", "sampled_of")
     rows = materialize(rows, "quality-sample")
 
     def fit(own: pd.DataFrame) -> pd.DataFrame:
