@@ -92,7 +92,7 @@ def votes(docs: DataFrame, up: np.ndarray, down: np.ndarray) -> DataFrame:
                 vote[k] |= sum(1 << (LEXICONS_FOR + LEXICONS_AGAINST + i) for i, s in enumerate(signs) if s)
             yield part.drop(columns="text").assign(hits=hits, vote=vote)
 
-    return docs.mapInPandas(run, "doc_id long, held_out boolean, toxic int, hits array<int>, vote long")
+    return docs.mapInPandas(run, "doc_id long, held_out boolean, hits array<int>, vote long")
 
 
 class LabelModel:
@@ -145,19 +145,19 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Lexicons come from a bounded sample of labelled documents that aren't held out. All documents then vote; the counts of vote patterns
     (2 ** VOTERS at most) go to the label model, whose posterior labels a bounded sample of learnable documents carries into the linear
-    classifier. Null texts count as empty; null labels as none; of several labels for a document the highest holds. Repeated rows are scored
+    classifier. Null texts count as empty; null labels and ones but 0 and 1 as none; of several labels for a document the highest holds. Repeated rows are scored
     alike. Without learnable labels the score is that of no evidence. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    given = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    given = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     open_ = given.where(~is_held_out())
     some = labelled_sample(open_, "toxic", SAMPLE, "toxicity").select("doc_id", "toxic")
-    sample = materialize(docs.select("doc_id", "text").join(some, "doc_id").select("text", "toxic"), "toxic-sample")
+    # the sample has at most 2 * SAMPLE rows, so that texts stay where they are
+    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic"), "toxic-sample")
     up, down = learn_terms(sample)
     n_terms = len(up) + len(down)
-    rows = docs.select("doc_id", is_held_out().alias("held_out"), "text").join(open_, "doc_id", "left").select("doc_id", "held_out", "toxic", "text")
-    voted = materialize(votes(rows, up, down), "toxic-votes")
-    seen = voted.groupBy("vote").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).toPandas().fillna(0)
+    voted = materialize(votes(docs.select("doc_id", is_held_out().alias("held_out"), "text"), up, down), "toxic-votes")
+    seen = voted.select("doc_id", "vote").join(open_, "doc_id", "left").groupBy("vote").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).toPandas().fillna(0)
     if not len(seen):
         return voted.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     seen = seen.sort_values("vote")
