@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attribution_queries, enrichment_queries, governance_queries, ingest_queries, readmodel_queries, sequence_queries  # noqa: F401
+from . import attribution_queries, classification_queries, enrichment_queries, feature_queries, governance_queries, ingest_queries, readmodel_queries, sequence_queries  # noqa: F401
 from .register import ORACLES, QUERIES
 
 FLAGSHIP = "run_summary"
