@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import chunks, materialize, shared_dir, table, texts_of
-from .tokens import Ids
+from .tokens import ids_of
 
 TOKENIZER, END = "word_bpe_49k.json", 2
 MAGIC, BLOCK, LONGEST, IDS_A_FILE = b"IDHUFF01", 512, 16, 1 << 22
@@ -141,13 +141,13 @@ def _write(path: str, data: bytes) -> None:
 def token_table(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END) -> DataFrame:
     """doc_id, row_key, n_tokens and ids (two bytes each, four if the vocabulary needs it) with the end id."""
 
+    width = 2 if ids_of(tokenizer).tok.get_vocab_size() <= 1 << 16 else 4
+
     def run(batches):
-        probe = Ids(tokenizer)
-        dtype = "<u2" if probe.tok.get_vocab_size() <= 1 << 16 else "<u4"
-        probe.dtype, tail = dtype, np.array([end], dtype).tobytes()
+        encode, tail = ids_of(tokenizer, width), end.to_bytes(width, "little")
         for part in chunks(batches):
-            ids = [probe(t) + tail for t in texts_of(part["text"])]
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "row_key": part["row_key"], "n_tokens": [len(i) // int(dtype[2]) for i in ids], "ids": ids})
+            ids = [encode(t) + tail for t in texts_of(part["text"])]
+            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "row_key": part["row_key"], "n_tokens": [len(i) // width for i in ids], "ids": ids})
 
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInPandas(run, "doc_id long, row_key long, n_tokens long, ids binary")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import chunks, materialize, table, texts_of
-from .tokens import Ids
+from .tokens import ids_of
 
 TOKENIZER, CAPACITY, END = "byte_bpe_50k.json", 2048, 0
 #: Items that one population packs; islands with the same items; times that elites migrate; generations between.
@@ -29,7 +29,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CA
     kind = "doc_id long, row_key long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def cut(batches):
-        encode, tail = Ids(tokenizer), np.array([end], "<u4").tobytes()
+        encode, tail = ids_of(tokenizer), np.array([end], "<u4").tobytes()
         for part in chunks(batches):
             rows = []
             for doc, key, text in zip(part["doc_id"], part["row_key"], texts_of(part["text"]), strict=True):
@@ -187,7 +187,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY,
     same = Window.partitionBy("doc_id", "row_key", "piece").orderBy("length")
     pieces = materialize(pieces.withColumn("copy", F.row_number().over(same)), "pack-pieces")
     narrow = pieces.drop("ids") if with_ids else pieces
-    placed = pack_pieces(narrow)
+    placed = pack_pieces(narrow, capacity)
     if not with_ids:
         return placed
     ids = pieces.groupBy("doc_id", "piece", "start", "length", "ids_crc32").agg(F.first("ids").alias("ids"))

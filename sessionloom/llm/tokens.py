@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
+from functools import lru_cache
 
 #: Letters whose lower case and byte form need no care; a run of them before white space, a point or a comma ends where a token ends.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -30,16 +30,21 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Seen(dict):
-    """Ids of a piece of text, as bytes; asks the tokenizer for new ones."""
+    """Ids of a piece of text, as bytes; asks the tokenizer for new ones. Holds at most twice `most` pieces: when the younger half is full
+    the older one goes, except for what was used meanwhile."""
 
     def __init__(self, encode, most: int):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.older = encode, most, {}
 
     def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        ids = self[piece] = self.encode(piece)
+        self[piece] = ids
         return ids
 
 
@@ -50,11 +55,12 @@ class Ids:
     or comma), and pieces are looked up. Only vocabularies of the two kinds named in `kind` can be cut so; others are encoded whole.
     """
 
-    def __init__(self, name: str, most: int = 400_000, dtype: str = "<u4"):
+    def __init__(self, name: str, width: int = 4, most: int = 400_000):
+        """width: bytes of an id, 2 or 4."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.dtype = Tokenizer.from_file(tokenizer_path(name)), dtype
+        self.tok, self.code = Tokenizer.from_file(tokenizer_path(name)), {2: "H", 4: "I"}[width]
         config = str(self.tok.pre_tokenizer)
         self.lower = "Lowercase" in str(self.tok.normalizer)
         byte_level = "ByteLevel" in config
@@ -70,16 +76,16 @@ class Ids:
         if self.plain(piece):  # letters only: the rules leave it as it is, so the model can be asked directly
             if self.lower:
                 piece = piece.lower()
-            if not (piece.isascii() and piece.isalpha()):
+            if not piece.isascii():
                 piece = "".join(map(self.letters.__getitem__, piece.encode()))
-            ids = [t.id for t in self.model.tokenize(piece)]
-        else:
-            ids = self.tok.encode(piece, add_special_tokens=False).ids
-        return np.array(ids, self.dtype).tobytes()
+            elif piece[0] == " ":
+                piece = self.letters[32] + piece[1:]
+            return array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
+        return array(self.code, self.tok.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
         if self.kind == "whole" or "<|" in text:  # a special token may stand in the text
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+            return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
         if self.lower:
             try:
                 text.encode("latin-1")
@@ -87,3 +93,9 @@ class Ids:
             except UnicodeEncodeError:  # elsewhere Python's lower case can differ from the tokenizer's
                 pass
         return b"".join(map(self.seen.__getitem__, self.cut.findall(text)))
+
+
+@lru_cache(maxsize=2)
+def ids_of(name: str, width: int = 4) -> Ids:
+    """One for each tokenizer in a Python worker, so that its tasks share what was seen."""
+    return Ids(name, width)
