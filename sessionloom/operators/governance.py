@@ -103,3 +103,38 @@ def action_hash(columns: dict[str, Column]) -> Column:
     """sha-256 of compact JSON with sorted keys; null values are written, so absence and null differ."""
     pairs = [F.concat(F.lit(f'"{k}":'), F.coalesce(F.to_json(F.array(v)), F.lit("[null]"))) for k, v in sorted(columns.items())]
     return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")), 256)
+
+#: Points by severity, and what each kind of label can add at most.
+SEVERITY_POINTS = {"critical": 20, "warning": 10, "info": 5}
+SECRET = r"AKIA[0-9A-Z]{16}|(?i:(?:password|token|secret|api_key))\s*[=:]\s*\S+"
+
+
+def labels(rows: DataFrame) -> DataFrame:
+    """Adds labels (sorted) and points of events with violation, drift, n_calls and tampered: what each contributes is bounded."""
+    found = F.array(F.when(F.col("violation"), "ifc_violation"), F.when(F.col("drift") > 0, "phase_anomaly"), F.when(F.col("n_calls") >= 20, "budget_pressure"))
+    points = F.when(F.col("violation"), 10).otherwise(0) + F.least(F.col("drift"), F.lit(20)) + F.when(F.col("n_calls") >= 20, 5).otherwise(0)
+    return rows.withColumns({"labels": F.array_sort(F.array_compact(found)), "points": points.cast("long")})
+
+
+def evidence(text: Column, most: int = 500) -> Column:
+    """An excerpt with secrets masked."""
+    return F.substring(F.regexp_replace(text, SECRET, "[MASKED]"), 1, most)
+
+
+def suggestion(payload: Column, path: str, value: str) -> Column:
+    """What a rule would change: the field it is about, what is there, and what should be; null if the field isn't there."""
+    now = F.get_json_object(payload, f"$.{path}")
+    return F.when(now.isNotNull(), F.struct(F.lit(path).alias("field"), now.alias("current"), F.lit(value).alias("proposed")))
+
+
+def preview(state: DataFrame, candidates: DataFrame, most_calls: int) -> DataFrame:
+    """For candidates (session_id, ...) what would hold after them: n_calls, and the action; state (session_id, n_calls) isn't written. A session that
+    isn't known has made no calls."""
+    joined = candidates.join(state.select("session_id", F.col("n_calls").alias("so_far")), "session_id", "left").withColumn("n_calls", F.coalesce("so_far", F.lit(0)) + 1).drop("so_far")
+    return joined.withColumn("action", F.when(F.col("n_calls") > most_calls, "escalate").otherwise("allow"))
+
+
+def alerts(rows: DataFrame) -> DataFrame:
+    """A row for each alert of an event (alerts: array of {severity, what}), with its points."""
+    points = F.create_map(*[F.lit(x) for pair in SEVERITY_POINTS.items() for x in pair])
+    return rows.select("session_id", "id", F.explode("alerts").alias("a")).select("session_id", "id", "a.severity", "a.what", F.try_element_at(points, F.col("a.severity")).cast("long").alias("points"))

@@ -49,3 +49,52 @@ def journal(rows: DataFrame) -> DataFrame:
     epochs = rows.withColumn("epoch", F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).over(w))
     inside = Window.partitionBy("file", "epoch").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     return epochs.withColumn("request", F.sum(F.when(F.col("kind") == 2, 1).otherwise(0)).over(inside) - 1)
+
+
+STEP = "step_type string, step_number bigint, plan string, system_prompt string, task string, output string, is_final_answer boolean, tool_calls array<struct<id:string, function:struct<name:string, arguments:string>>>"
+
+
+def agent_steps(lines: DataFrame) -> DataFrame:
+    """id, place, step_type, tool_name, call_id: a step's type from the fields that it has, the most telling first, and a row for each of its tool
+    calls after it."""
+    rows = lines.select("id", F.from_json("line", STEP).alias("s")).select("id", "s.*")
+    kind = (
+        F.when(F.col("step_type").isNotNull(), F.col("step_type"))
+        .when(F.col("step_number").isNotNull() & F.coalesce("is_final_answer", F.lit(False)), "FinalAnswer")
+        .when(F.col("step_number").isNotNull(), "ActionStep")
+        .when(F.col("plan").isNotNull(), "PlanningStep")
+        .when(F.col("system_prompt").isNotNull(), "SystemPromptStep")
+        .when(F.col("task").isNotNull(), "TaskStep")
+        .when(F.col("output").isNotNull(), "FinalAnswer")
+        .otherwise("unknown")
+    )
+    none = F.lit(None).cast("string")
+    calls = F.transform(F.coalesce("tool_calls", F.array().cast("array<struct<id:string, function:struct<name:string, arguments:string>>>")), lambda c: F.struct(F.lit("ToolCall").alias("step_type"), c["function"]["name"].alias("tool_name"), c["id"].alias("call_id")))
+    own = F.array(F.struct(kind.alias("step_type"), none.alias("tool_name"), none.alias("call_id")))
+    return rows.select("id", F.posexplode(F.concat(own, calls)).alias("place", "e")).select("id", F.col("place").cast("long").alias("place"), "e.*")
+
+
+def genai_spans(spans: DataFrame) -> DataFrame:
+    """kind, session_id and confidence of spans (trace_id, attributes: map). Tool spans by name or operation, model spans by operation, others
+    raw; without arguments the confidence is low. Tool and model spans stand for completed calls."""
+    a = lambda k: F.try_element_at("attributes", F.lit(k))
+    operation = F.coalesce(a("gen_ai.operation.name"), F.lit(""))
+    kind = F.when((F.coalesce(a("gen_ai.tool.name"), F.lit("")) != "") | (operation == "execute_tool"), "tool.call.completed").when(operation.isin("chat", "text_completion", "generate"), "llm.call.completed").otherwise("raw")
+    session = F.coalesce(F.nullif(a("session.id"), F.lit("")), F.nullif(a("gen_ai.session.id"), F.lit("")), F.nullif(F.substring("trace_id", 1, 16), F.lit("")), F.lit("otel-session"))
+    confidence = F.when(F.coalesce(a("gen_ai.tool.call.arguments"), F.lit("")) != "", "high").otherwise("low")
+    return spans.withColumns({"kind": kind, "session_id": session, "confidence": confidence})
+
+
+def history_items(sessions: DataFrame) -> DataFrame:
+    """session_id, turn, place, role, content of sessions (session_id, turn, role, items: array of {type, content}): the message's own text
+    first, then its tool items."""
+    text = F.array_join(F.transform(F.filter("items", lambda i: i["type"] == "text"), lambda i: i["content"]), "\n")
+    others = F.transform(F.filter("items", lambda i: i["type"] != "text"), lambda i: F.struct(i["type"].alias("role"), i["content"].alias("content")))
+    rows = F.concat(F.array(F.struct(F.col("role"), text.alias("content"))), others)
+    return sessions.select("session_id", "turn", F.posexplode(rows).alias("place", "r")).select("session_id", "turn", F.col("place").cast("long").alias("place"), "r.role", "r.content")
+
+
+def rollout_items(rows: DataFrame) -> DataFrame:
+    """Adds block_type from the outer and inner type of a rollout; contexts, reasoning, developer messages and token counts go."""
+    dropped = (F.col("outer") == "turn_context") | F.col("inner").isin("reasoning", "token_count", "task_started") | (F.coalesce("role", F.lit("")) == "developer")
+    return rows.where(~F.coalesce(dropped, F.lit(False))).withColumn("block_type", F.when(F.col("outer") == "session_meta", "session_meta").otherwise(F.concat_ws(".", "outer", "inner")))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import governance as gov
 from ..operators import risk
@@ -176,3 +175,39 @@ def pii_spans(read):
     from ..functions.pii import card_spans
 
     return card_spans(read("documents").select("doc_id", "text"))
+
+
+@query("label", f"""WITH {DRIFT}, c AS (SELECT ev.*, count(*) OVER (PARTITION BY session_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS n_calls, max({RANK}) OVER (PARTITION BY session_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ev WHERE kind IN ('tool.call.started', 'tool.call.completed')),
+ v AS (SELECT c.id, n_calls, drift, coalesce(before, 0) >= 2 AND regexp_matches(c.command, '> |curl|nc |wget|rm |dd ') AS violation FROM c JOIN dr ON c.id = dr.id)
+SELECT id, concat_ws(',', CASE WHEN n_calls >= 20 THEN 'budget_pressure' END, CASE WHEN violation THEN 'ifc_violation' END, CASE WHEN drift > 0 THEN 'phase_anomaly' END) AS labels, CAST(CASE WHEN violation THEN 10 ELSE 0 END + least(drift, 20) + CASE WHEN n_calls >= 20 THEN 5 ELSE 0 END AS BIGINT) AS points FROM v""")
+def label(read):
+    rows = gov.drift(inherit_phase(session_events(read("events")))).where("kind in ('tool.call.started', 'tool.call.completed')")
+    return gov.labels(gov.taint(gov.budgets(rows, ()))).select("id", F.array_join("labels", ",").alias("labels"), "points")
+
+
+@query("evidence", r"""SELECT doc_id, substr(regexp_replace(text, 'AKIA[0-9A-Z]{16}|(?i:(?:password|token|secret|api_key))\s*[=:]\s*\S+', '[MASKED]', 'g'), 1, 500) AS excerpt FROM documents""")
+def evidence(read):
+    return read("documents").select("doc_id", gov.evidence(F.col("text")).alias("excerpt"))
+
+
+@query("transform", "SELECT event_id, 'k' AS field, json_extract_string(props, '$.k') AS current, '0' AS proposed FROM events")
+def transform(read):
+    return read("events").select("event_id", gov.suggestion(F.col("props"), "k", "0").alias("s")).where("s is not null").select("event_id", "s.*")
+
+
+@query("score_preview", f"WITH {CALLS}, st AS (SELECT session_id, count(*) AS n FROM calls GROUP BY session_id), cand AS (SELECT DISTINCT user_id AS session_id FROM events) SELECT cand.session_id, coalesce(n, 0) + 1 AS n_calls, CASE WHEN coalesce(n, 0) + 1 > 28 THEN 'escalate' ELSE 'allow' END AS action FROM cand LEFT JOIN st USING (session_id)")
+def score_preview(read):
+    state = calls(read).groupBy("session_id").agg(F.count(F.lit(1)).alias("n_calls"))
+    return gov.preview(state, read("events").select(F.col("user_id").alias("session_id")).distinct(), 28)
+
+
+@query("mcp_alerts", f"WITH {EV} SELECT session_id, id, CASE WHEN k % 2 = 0 THEN 'critical' ELSE 'info' END AS severity, tool AS what, CASE WHEN k % 2 = 0 THEN 20 ELSE 5 END::BIGINT AS points FROM ev WHERE starts_with(tool, 'mcp__')")
+def mcp_alerts(read):
+    found = F.when(F.col("tool").startswith("mcp__"), F.array(F.struct(F.when(F.col("k") % 2 == 0, "critical").otherwise("info").alias("severity"), F.col("tool").alias("what"))))
+    return gov.alerts(session_events(read("events")).withColumn("alerts", found))
+
+
+@query("gap_list", f"WITH {EV}, s AS (SELECT session_id, id, row_number() OVER {W} - 1 AS seq FROM ev), l AS (SELECT session_id, seq - lag(seq) OVER (PARTITION BY session_id ORDER BY seq) - 1 AS missing FROM s WHERE id % 13 <> 0) SELECT session_id, count(*) AS n_gaps, CAST(sum(missing) AS BIGINT) AS n_missing FROM l WHERE missing > 0 GROUP BY session_id")
+def gap_list(read):
+    gaps = gov.seq_gaps(numbered(session_events(read("events"))).where("id % 13 <> 0"))
+    return gaps.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_gaps"), F.sum("n_missing").alias("n_missing"))

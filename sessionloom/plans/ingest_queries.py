@@ -113,3 +113,42 @@ def pre_compound_type(read):
 def pre_journal(read):
     rows = read("events").select(F.col("user_id").alias("file"), F.col("event_id").alias("line"), F.when(F.col("event_type") == "signup", 0).when(F.col("event_type") == "click", 2).otherwise(1).alias("kind"))
     return preprocess.journal(rows).select("line", "epoch", "request")
+
+
+@query("pre_agent_steps", """SELECT event_id AS id, 0 AS place, CASE event_type WHEN 'click' THEN 'ActionStep' WHEN 'purchase' THEN 'FinalAnswer' WHEN 'view' THEN 'PlanningStep' WHEN 'signup' THEN 'TaskStep' ELSE 'unknown' END AS step_type, CAST(NULL AS VARCHAR) AS tool_name, CAST(NULL AS VARCHAR) AS call_id FROM events
+UNION ALL SELECT event_id, 1, 'ToolCall', 'tool', CAST(event_id AS VARCHAR) FROM events WHERE event_type = 'click'""")
+def pre_agent_steps(read):
+    kind = F.col("event_type")
+    call = F.array(F.struct(F.col("event_id").cast("string").alias("id"), F.struct(F.lit("tool").alias("name"), F.lit("{}").alias("arguments")).alias("function")))
+    record = F.struct(F.when(kind.isin("click", "purchase"), 1).alias("step_number"), (kind == "purchase").alias("is_final_answer"), F.when(kind == "view", "p").alias("plan"), F.when(kind == "signup", "t").alias("task"), F.when(kind == "click", call).alias("tool_calls"))
+    return preprocess.agent_steps(read("events").select(F.col("event_id").alias("id"), F.to_json(record).alias("line")))
+
+
+@query("otel_genai", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'tool.call.completed' WHEN 'O' THEN 'llm.call.completed' ELSE 'raw' END AS kind, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE 'otel-session' END AS session_id, CASE WHEN o_orderstatus = 'F' AND o_custkey % 3 = 0 THEN 'high' ELSE 'low' END AS confidence FROM orders")
+def otel_genai(read):
+    some = lambda c, v: F.when(c, v).otherwise("")
+    status = F.col("o_orderstatus")
+    attributes = F.create_map(F.lit("gen_ai.tool.name"), some(status == "F", F.lit("search")), F.lit("gen_ai.operation.name"), some(status == "O", F.lit("chat")), F.lit("session.id"), some(F.col("o_custkey") % 2 == 0, F.col("o_custkey").cast("string")), F.lit("gen_ai.tool.call.arguments"), some((status == "F") & (F.col("o_custkey") % 3 == 0), F.lit("{}")))
+    return preprocess.genai_spans(read("orders").select("o_orderkey", F.lit("").alias("trace_id"), attributes.alias("attributes"))).select("o_orderkey", "kind", "session_id", "confidence")
+
+
+@query("pre_history", "SELECT conv_id AS session_id, turn, 0 AS place, role, text AS content FROM conversations UNION ALL SELECT conv_id, turn, 1, 'toolRequest', 'run' FROM conversations WHERE role = 'assistant'")
+def pre_history(read):
+    item = lambda kind, content: F.struct(F.lit(kind).alias("type"), content.alias("content"))
+    items = F.when(F.col("role") == "assistant", F.array(item("toolRequest", F.lit("run")), item("text", F.col("text")))).otherwise(F.array(item("text", F.col("text"))))
+    return preprocess.history_items(read("conversations").select(F.col("conv_id").alias("session_id"), "turn", "role", items.alias("items")))
+
+
+@query("pre_rollout", "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'session_meta' ELSE 'response_item.' || CASE WHEN p_size % 4 = 1 THEN 'message' ELSE 'function_call' END END AS block_type FROM part WHERE p_size % 4 <> 3 AND NOT (p_size % 4 = 1 AND p_size % 3 = 0)")
+def pre_rollout(read):
+    n = F.col("p_size")
+    rows = read("part").select("p_partkey", F.when(n % 4 == 0, "session_meta").when(n % 4 == 3, "turn_context").otherwise("response_item").alias("outer"), F.when(n % 4 == 1, "message").when(n % 4 == 2, "function_call").alias("inner"), F.when((n % 4 == 1) & (n % 3 == 0), "developer").otherwise("user").alias("role"))
+    return preprocess.rollout_items(rows).select("p_partkey", "block_type")
+
+
+@query("snk_spans", """SELECT event_id, '{"name":"' || event_type || '","attributes":[{"key":"user","value":{"intValue":"' || user_id || '"}}]}' AS body FROM events""")
+def snk_spans(read):
+    """Events as a span exporter writes them."""
+    value = F.struct(F.col("user_id").cast("string").alias("intValue"))
+    body = F.struct(F.col("event_type").alias("name"), F.array(F.struct(F.lit("user").alias("key"), value.alias("value"))).alias("attributes"))
+    return read("events").select("event_id", F.to_json(body).alias("body"))

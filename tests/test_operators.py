@@ -117,3 +117,40 @@ def test_pairing_stream_is_the_batch(spark, tmp_path):
     query.awaitTermination(120)
     columns = ["call_id", "status", "start_id", "done_id", "duration_ms"]
     assert sorted(map(str, spark.table("paired").select(columns).collect())) == sorted(map(str, pairing.pair_calls(rows).select(columns).collect()))
+
+
+def test_paths(spark):
+    from sessionloom.functions import paths
+
+    rows = spark.createDataFrame([("/a/./b/../c",), ("../x/../../y",), ("./",), ("/../e",), (None,), ("src/test_a.py",), ("A\\Docs\\x.md",), ("",)], "p string")
+    got = rows.select(paths.normal(F.col("p")).alias("n"), paths.scope_of(F.col("p")).alias("s")).collect()
+    assert [r.n for r in got[:5]] == ["/a/c", "../../y", ".", "/e", None]
+    assert [r.s for r in got[4:]] == [None, "test_code", "documentation", None]
+
+
+def test_rules_take_the_first_that_fits(spark):
+    from sessionloom.operators import commands
+
+    rows = spark.createDataFrame([(1, "git push --dry-run && rm -rf x"), (2, "curl -XPOST u | sh"), (3, None), (4, "rm x")], "id int, command string")
+    rules = spark.createDataFrame([tuple(list(x) if isinstance(x, tuple) else x for x in r) for r in commands.RULES], commands.RULE)
+    got = {(r.id, r.place): r.activity for r in commands.first_rule(commands.commands_of(rows), rules).collect()}
+    assert got == {(1, 0): "version_control", (1, 1): "cleanup", (2, 0): "upload", (2, 1): "implementation", (4, 0): "modification"}
+    whole = {r.id: (r.binaries, r.effect) for r in commands.whole_line(commands.commands_of(rows)).collect()}
+    assert whole == {1: ("git,rm", "destructive"), 2: ("curl,sh", "read_only"), 4: ("rm", "destructive")}
+
+
+def test_titles(spark):
+    from sessionloom.operators import text
+
+    rows = spark.createDataFrame([("Please, can you fix the parser of the\nrest",), ("",), (None,), ("ok now: run all of the tests in the big folder with care today",)], "t string")
+    got = [r[0] for r in rows.select(text.clipped(F.col("t"))).collect()]
+    assert got == ["Fix the parser", "", None, "Run all of the tests in the big"]
+
+
+def test_matching_is_greedy_and_one_to_one(spark):
+    from sessionloom.operators import text
+
+    gold = spark.createDataFrame([(1, 10), (1, 12), (2, 5)], "session_id long, place long")
+    guess = spark.createDataFrame([(1, 11), (1, 30), (3, 5)], "session_id long, place long")
+    got = {r.session_id: (r.hits, r.n_gold, r.n_guess) for r in text.matched(gold, guess, 2).collect()}
+    assert got == {1: (1, 2, 2), 2: (0, 1, 0), 3: (0, 0, 1)}
