@@ -92,8 +92,9 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
     Chosen paths: every node of the tree picks SPLITS coordinates, and a set goes down with its values there, so that similar sets meet
     again and others part. Nodes of one set end. Small nodes are compared pair by pair. In a larger one all sets are compared with one
     of them, the pivot; those that agree enough are linked to it and take its tag. Sets of one tag are connected already, so a node
-    that has only one tag ends: a group of any number of near copies is linked to a pivot, not paired. Nothing else ends a path; what
-    is still large at the last level is compared in blocks, all against all.
+    that has only one tag ends: a group of any number of near copies is linked to a pivot, not paired. Where at most SMALL sets of a node
+    aren't linked, these are compared with all others of it, in blocks, and it ends. Nothing else ends a path; what is still large at
+    the last level is compared in blocks, all against all.
     """
     root = sets.select("set", F.col("set").alias("tag"), "sketch", F.explode(F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.xxhash64(r))).alias("node"))
     rows = _children(root, 0)
@@ -111,7 +112,12 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
         near = big.join(sets, "set").join(pivots.select("node", "pivot_sketch"), "node").withColumn("linked", _agree(F.col("sketch"), F.col("pivot_sketch")) >= MAYBE)
         near = materialize(near.drop("pivot_sketch"), "near-big")
         edges.append(near.where(F.col("linked") & (F.col("set") != F.col("pivot"))).select(F.col("set").alias("a"), F.col("pivot").alias("b")))
-        rows = _children(near.withColumn("tag", F.when(F.col("linked"), F.col("pivot_tag")).otherwise(F.col("tag"))), level)
+        rest = near.groupBy("node").agg(F.count(F.when(~F.col("linked"), 1)).alias("rest")).where("rest > 0")
+        near = near.join(rest, "node")
+        few = near.where(F.col("rest") <= SMALL).withColumn("blocks", F.ceil(F.col("m") / SMALL).cast("int")).withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+        block = F.when(F.col("linked"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+        small.append(few.select("node", "set", F.explode(block).alias("block")).select(F.xxhash64("node", "block").alias("node"), "set"))
+        rows = _children(near.where(F.col("rest") > SMALL).withColumn("tag", F.when(F.col("linked"), F.col("pivot_tag")).otherwise(F.col("tag"))), level)
     else:  # the last level's large nodes
         size = rows.groupBy("node").agg(*open_).where("low < high")
         last = rows.join(size, "node").withColumn("blocks", F.ceil(F.col("m") / SMALL).cast("int")).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
@@ -140,13 +146,13 @@ def connected(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.select("a", "b").where("a <> b").distinct(), "near-edges")
     before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
+        moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = materialize(moved.distinct(), "near-edges")
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        edges = materialize(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "near-edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
