@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-#: Corners kept at each scale (the image, and half of it); tests in a descriptor; tables, and tests that make a table's key.
-CORNERS, TESTS, TABLES, KEY = (24, 6), 128, 2, 48
+#: Corners kept at each scale (the image, and half of it); tests in a descriptor. A table for each half of the tests: its key is the
+#: first KEY tests of the half.
+CORNERS, TESTS, KEY = (24, 6), 128, 48
 #: Distance of a test's points from the corner, and of corners from the border.
 REACH, TURNS = 8, 16
-#: Corners that must agree on one shift; its tolerance in pixels; how many bits of a descriptor may differ.
-LEAST_CORNERS, SHIFT, MOST_BITS = 3, 4, 28
+#: Corners that must agree on one shift; its tolerance in pixels; how many of the other half's
+#: first 32 tests may differ where a key is shared.
+LEAST_CORNERS, SHIFT, MOST_BITS = 3, 4, 9
 _HEAD = np.dtype("<u2")
 
 
@@ -82,7 +84,6 @@ def _pattern() -> np.ndarray:
 
 _TESTS = _pattern()
 _DISC = np.array([(y, x) for y in range(-REACH, REACH + 1) for x in range(-REACH, REACH + 1) if y * y + x * x <= REACH * REACH])
-_PICKS = np.array([np.random.default_rng(21 + t).permutation(TESTS)[:KEY] for t in range(TABLES)])
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
@@ -140,11 +141,11 @@ def describe(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(who), np.concatenate(where), np.concatenate(bits)
 
 
-_CORNERS = "array<struct<y:int,x:int,a:bigint,b:bigint,keys:array<bigint>>>"
+_CORNERS = "array<struct<at:int,a:bigint,b:bigint>>"
 
 
 def corners(images: DataFrame) -> DataFrame:
-    """id, image_key (a hash of the image), corners: place, descriptor (two halves) and table keys of each corner of image (id, image)."""
+    """id, image_key (a hash of the image), corners: place (y * 65536 + x) and the two halves of the descriptor of each corner of image (id, image)."""
 
     def run(batches):
         for batch in batches:
@@ -156,39 +157,43 @@ def corners(images: DataFrame) -> DataFrame:
                     own = [k for k, p in enumerate(pixels) if p.shape == shape]
                     who, where, bits = describe(np.stack([pixels[k] for k in own]))
                     half = np.packbits(bits, axis=1).reshape(len(bits), 2, TESTS // 16).copy().view(">i8")[..., 0].astype(np.int64)
-                    keys = (bits[:, _PICKS].astype(np.int64) << np.arange(KEY)).sum(2) | (np.arange(TABLES) << KEY)
-                    for k, (y, x), (a, b), key in zip(who.tolist(), where.tolist(), half.tolist(), keys.tolist(), strict=True):
-                        found[own[k]].append({"y": y, "x": x, "a": a, "b": b, "keys": key})
+                    for k, at, (a, b) in zip(who.tolist(), (where[:, 0] << 16 | where[:, 1]).tolist(), half.tolist(), strict=True):
+                        found[own[k]].append({"at": at, "a": a, "b": b})
                 yield pd.DataFrame({"id": part["id"].astype("Int64").array, "image_key": part["image_key"].array, "corners": found})
 
     return images.select("id", F.xxhash64("image").alias("image_key"), "image").mapInPandas(run, f"id long, image_key long, corners {_CORNERS}")
 
 
+def _entries(images: DataFrame, name: str, prefix: str) -> DataFrame:
+    """What each corner puts into the two tables: key, and its image, place and 32 other tests for the distance."""
+    each = images.select(F.col(name).alias(f"{prefix}_id"), F.explode("corners").alias("c"))
+    spare = 64 - KEY
+    of = lambda own, other, n: F.struct((F.shiftleft(F.shiftrightunsigned(own, spare), 1) + n).alias("key"), F.shiftright(other, 32).cast("int").alias(f"{prefix}_rest"))
+    return each.select(f"{prefix}_id", F.col("c.at").alias(f"{prefix}_at"), F.explode(F.array(of("c.a", "c.b", 0), of("c.b", "c.a", 1))).alias("e")).select(f"{prefix}_id", f"{prefix}_at", "e.*")
+
+
 def find_copies(queries: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(matches, members) for queries and images of (id, image).
 
     Equal images are one class, named by its least id: members has id, class_id of all images. matches has a row for each query and class
     that is a cropped or edited form of the other: query_id, class_id, corners (that agree), dy, dx (the shift). Corners that share a key in
-    any of TABLES tables are compared by Hamming distance; LEAST_CORNERS of them must agree on one shift. Images without corners (flat, small, null,
-    broken) match nothing; repeated rows are members of one class. Every image is indexed, every table looked up as a join.
+    one of the two tables are compared by the Hamming distance of other tests; LEAST_CORNERS of them must agree on one shift. Images
+    without corners (flat, small, null, broken) match nothing; repeated rows are members of one class. Every image is indexed, every
+    table looked up as a join; only classes go into it, so copies of any number are one entry.
     """
     found = materialize(corners(images), "media-images")
-    classes = found.groupBy("image_key").agg(F.min("id").alias("class_id"), F.first("corners").alias("corners"))
-    classes = materialize(classes, "media-classes")
-    members = found.select("id", "image_key").join(classes.select("image_key", "class_id"), "image_key").select("id", "class_id")
+    classes = materialize(found.groupBy("image_key").agg(F.min("id").alias("class_id")), "media-classes")
+    members = found.select("id", "image_key").join(classes, "image_key").select("id", "class_id")
+    firsts = found.join(classes.select("image_key", F.col("class_id").alias("first")).hint("merge"), "image_key").where("id = first")
     asked = materialize(corners(queries), "media-queries")
-
-    def rows(df, name, prefix):
-        each = df.select(F.col(name).alias(f"{prefix}_id"), F.posexplode("corners").alias("corner", "c"))
-        return each.select(f"{prefix}_id", *[F.col(f"c.{k}").alias(f"{prefix}_{k}") for k in "yxab"], "corner", F.explode("c.keys").alias("key"))
-
-    met = rows(asked, "id", "q").join(rows(classes, "class_id", "i").drop("corner"), "key")
-    apart = F.bit_count(F.col("q_a").bitwiseXOR(F.col("i_a"))) + F.bit_count(F.col("q_b").bitwiseXOR(F.col("i_b")))
-    near = met.where(apart <= MOST_BITS).select("q_id", "i_id", "corner", (F.col("i_y") - F.col("q_y")).alias("dy"), (F.col("i_x") - F.col("q_x")).alias("dx"))
+    met = _entries(asked, "id", "q").join(_entries(firsts, "id", "i").hint("merge"), "key")
+    near = met.where(F.bit_count(F.col("q_rest").bitwiseXOR(F.col("i_rest"))) <= MOST_BITS)
+    shift = lambda f: f(F.col("i_at")) - f(F.col("q_at"))
+    near = near.select("q_id", "i_id", "q_at", shift(lambda c: F.shiftright(c, 16)).alias("dy"), shift(lambda c: c.bitwiseAND(65535)).alias("dx"))
     # two grids of shifts, half a cell apart, so that shifts which are near each other share a cell
     cells = near.withColumn("grid", F.explode(F.array(F.lit(0), F.lit(SHIFT // 2))))
     cells = cells.withColumns({"cy": F.floor((F.col("dy") + F.col("grid")) / SHIFT), "cx": F.floor((F.col("dx") + F.col("grid")) / SHIFT)})
-    agree = cells.groupBy("q_id", "i_id", "grid", "cy", "cx").agg(F.count_distinct("corner").alias("corners"), F.round(F.avg("dy")).cast("int").alias("dy"), F.round(F.avg("dx")).cast("int").alias("dx"))
+    agree = cells.groupBy("q_id", "i_id", "grid", "cy", "cx").agg(F.count_distinct("q_at").alias("corners"), F.round(F.avg("dy")).cast("int").alias("dy"), F.round(F.avg("dx")).cast("int").alias("dx"))
     best = agree.where(F.col("corners") >= LEAST_CORNERS).groupBy("q_id", "i_id").agg(F.max(F.struct("corners", "dy", "dx")).alias("best"))
     return best.select(F.col("q_id").alias("query_id"), F.col("i_id").alias("class_id"), "best.*"), members
 
