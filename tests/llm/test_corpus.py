@@ -229,8 +229,10 @@ def near_by_hand(texts):
     return links, {d: find(d) for d in sets}
 
 
-def test_near_duplicates(spark, monkeypatch):
+@pytest.mark.parametrize("few", [1, 8])
+def test_near_duplicates(spark, monkeypatch, few):
     monkeypatch.setattr(near, "SMALL", 6)
+    monkeypatch.setattr(near, "FEW", few)
     monkeypatch.setattr(near, "BLOCK", 10)
     rng = np.random.default_rng(8)
     texts = [words_of(i, 60, 5000) for i in range(60)]
