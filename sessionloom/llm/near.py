@@ -17,6 +17,8 @@ WORDS, SIMILAR = 5, 0.8
 COORDINATES, RUNS, SPLITS = 64, 3, 2
 #: Nodes of at most SMALL sets are compared pair by pair; what is still larger after DEPTH splits is compared in blocks of BLOCK.
 SMALL, DEPTH, BLOCK = 64, 8, 512
+#: A node in which at most FEW sets aren't linked to the pivot ends there.
+FEW = 400
 #: Sets whose sketches agree in this share of places may be at 0.8 (5 standard deviations below).
 MAYBE = 0.55
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -92,7 +94,7 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
     Chosen paths: every node of the tree picks SPLITS coordinates, and a set goes down with its values there, so that similar sets meet
     again and others part. Nodes of one set end. Small nodes are compared pair by pair. In a larger one all sets are compared with one
     of them, the pivot; those that agree enough are linked to it and take its tag. Sets of one tag are connected already, so a node
-    that has only one tag ends: a group of any number of near copies is linked to a pivot, not paired. Where at most SMALL sets of a node
+    that has only one tag ends: a group of any number of near copies is linked to a pivot, not paired. Where at most FEW sets of a node
     aren't linked, these are compared with all others of it, in blocks, and it ends. Nothing else ends a path; what is still large at
     the last level is compared in blocks, all against all.
     """
@@ -114,10 +116,10 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
         edges.append(near.where(F.col("linked") & (F.col("set") != F.col("pivot"))).select(F.col("set").alias("a"), F.col("pivot").alias("b")))
         rest = near.groupBy("node").agg(F.count(F.when(~F.col("linked"), 1)).alias("rest")).where("rest > 0")
         near = near.join(rest, "node")
-        few = near.where(F.col("rest") <= SMALL).withColumn("blocks", F.ceil(F.col("m") / SMALL).cast("int")).withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+        few = near.where(F.col("rest") <= FEW).withColumn("blocks", F.ceil(F.col("m") / F.greatest(F.lit(SMALL), "rest")).cast("int")).withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
         block = F.when(F.col("linked"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
         small.append(few.select("node", "set", F.explode(block).alias("block")).select(F.xxhash64("node", "block").alias("node"), "set"))
-        rows = _children(near.where(F.col("rest") > SMALL).withColumn("tag", F.when(F.col("linked"), F.col("pivot_tag")).otherwise(F.col("tag"))), level)
+        rows = _children(near.where(F.col("rest") > FEW).withColumn("tag", F.when(F.col("linked"), F.col("pivot_tag")).otherwise(F.col("tag"))), level)
     else:  # the last level's large nodes
         size = rows.groupBy("node").agg(*open_).where("low < high")
         last = rows.join(size, "node").withColumn("blocks", F.ceil(F.col("m") / SMALL).cast("int")).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
