@@ -303,6 +303,18 @@ def test_kneser_ney_sums_to_one(spark):
     assert np.allclose(p[seen], 1, atol=1e-4)
 
 
+def test_quality_rules_reject_labelled_junk(spark):
+    d = "/root/testdata/sf0.01"
+    got = QUERIES["op9_quality_rules"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("not base_failed").toPandas()
+    assert got[got.quality == 0].kept.mean() < 0.05 and got[got.quality == 1].kept.mean() > 0.95
+
+
+def test_quality_model_keeps_case_digits_and_scripts():
+    runs = lambda t: perplexity._runs(np.frombuffer(f"{t}    ".encode(), np.uint8)).tolist()
+    texts = ["aB", "ab", "AB", "1", "2", "é", "è", "д", "中"]
+    assert len({tuple(runs(t)) for t in texts}) == len(texts)
+
+
 # toxicity
 
 def test_toxicity(spark):
