@@ -309,6 +309,19 @@ def test_quality_rules_reject_labelled_junk(spark):
     assert got[got.quality == 0].kept.mean() < 0.05 and got[got.quality == 1].kept.mean() > 0.95
 
 
+def test_quality_rules_keep_languages_apart(spark, monkeypatch):
+    monkeypatch.setattr(perplexity, "PART_ROWS", 4)
+    langs = [None if k == 18 else f"l{k:02}" for k in range(19) for _ in range(6)]  # more than are broadcast, and null
+    texts = [" ".join(f"{chr(97 + i // 6)}{w}" for w in words_of(i, 60 + i % 6).split()) for i in range(len(langs))]
+    columns = ["log_perplexity", "low", "high"]
+    table = docs(spark, texts, langs=langs)
+    got = perplexity.quality_rules(table).toPandas().set_index("doc_id").sort_index()
+    assert len(got) == len(texts)
+    for k in (0, 16, 17, 18):
+        alone = perplexity.quality_rules(table.where(F.col("doc_id").between(6 * k, 6 * k + 5))).toPandas().set_index("doc_id").sort_index()
+        assert np.allclose(got.loc[alone.index, columns].astype(float), alone[columns].astype(float)) and (got.loc[alone.index].kept == alone.kept).all()
+
+
 def test_quality_model_keeps_case_digits_and_scripts():
     runs = lambda t: perplexity._runs(np.frombuffer(f"{t}    ".encode(), np.uint8)).tolist()
     texts = ["aB", "ab", "AB", "1", "2", "é", "è", "д", "中"]
