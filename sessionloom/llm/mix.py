@@ -45,11 +45,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     below the budget (the sum of the targets). Running sums go over hash slices of a source and over slices of time, so a source that
     has a third of all rows is spread over `slices` groups for each pass, and only the slice in which the budget ends is sorted.
 
-    docs: doc_id, text, source; other columns are left alone. Returns doc_id, row_key (tells repeated rows apart), source, size,
+    docs: doc_id, text, source; other columns are left alone. Returns doc_id, row_key (equal for equal rows), row (each row's own, not the same in another run), source, size,
     source_size, target, pass (from 0), finish (double), taken (boolean). Null or empty texts have size 0 and are taken when their turn
     comes. Repeated doc_ids count as different rows; the same input gives the same mix. An empty table gives an empty queue.
     """
-    base = docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("doc_id", "text").alias("row_key"))
+    base = docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("doc_id", "text").alias("row_key"), F.monotonically_increasing_id().alias("row"))
     rows = materialize(base, "mix-sizes")
     sizes = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most_passes), "mix-targets")
     sized = rows.join(sizes.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_")), "inner").drop("source_")
@@ -62,7 +62,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     inside = Window.partitionBy("source", "slice").orderBy("place", "doc_id", "row_key").rowsBetween(Window.unboundedPreceding, 0)
     timed = queue.withColumn("run", F.sum("size").over(inside)).join(ahead, F.col("source").eqNullSafe(F.col("source_")) & (F.col("slice") == F.col("slice_")), "inner")
     timed = timed.withColumn("finish", F.coalesce(F.try_divide(F.col("ahead") + F.col("run"), F.col("target")), F.lit(0.0)))
-    timed = materialize(timed.select("doc_id", "row_key", "source", "size", "source_size", "target", "pass", "finish"), "mix-queue")
+    timed = materialize(timed.select("doc_id", "row_key", "row", "source", "size", "source_size", "target", "pass", "finish"), "mix-queue")
 
     # Range cut: finish times are even within a source, and 1 is where each source reaches its target.
     slot = F.least(F.lit(4 * slices), F.floor(F.col("finish") * slices)).cast("int")
@@ -76,7 +76,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     run = Window.partitionBy("slot").orderBy("finish", F.col("source").isNull(), "source", "pass", "doc_id", "row_key").rowsBetween(Window.unboundedPreceding, 0)
     part = part.withColumn("taken", F.col("start") + F.sum("size").over(run) - F.col("size") < F.col("budget"))
     out = placed.where("state <> 'part'").withColumn("taken", F.col("state") == "all").unionByName(part)
-    return out.select("doc_id", "row_key", "source", "size", "source_size", "target", "pass", "finish", "taken")
+    return out.select("doc_id", "row_key", "row", "source", "size", "source_size", "target", "pass", "finish", "taken")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
@@ -93,5 +93,5 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     queue = mix_sources(table(spark, sf_dir, "documents"))
-    grouped = queue.groupBy("doc_id", "row_key").agg(F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0)).alias("taken"), F.min("finish").alias("first_finish"))
-    return grouped.drop("row_key")
+    grouped = queue.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0)).alias("taken"), F.min("finish").alias("first_finish"))
+    return grouped.drop("row")

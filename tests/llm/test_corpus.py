@@ -84,6 +84,18 @@ def test_mix_of_nothing(spark):
     assert alone.target.tolist() == [0.0, 0.0]
 
 
+def test_mix_query_keeps_repeated_rows(spark, tmp_path):
+    rows = [(1, "a b c", "x")] * 3 + [(1, "a b c", "y")] * 2 + [(None, "d e", "x")] * 2 + [(2, "f g h i", "y"), (3, "j", None)]
+    ids, texts, sources = zip(*rows, strict=True)
+    spark.createDataFrame([(d, t, "en", s, len(t)) for d, t, s in rows], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op1_mix_sources"](spark, str(tmp_path)).toPandas()
+    assert len(got) == len(rows) and (got.taken <= mix.MOST_PASSES * got["size"]).all()
+    sizes = Counter()
+    for t, s in zip(texts, sources, strict=True):
+        sizes[s] += len(t.split())
+    assert sorted(got.source_size) == sorted(sizes[s] for s in sources)
+
+
 # language
 
 def test_language(spark):
