@@ -1,12 +1,13 @@
 """Token ids in compressed binary files: canonical length-limited Huffman codes, blocks that decode by themselves.
 
-A file holds, little-endian: the magic word; counts of documents, ids, blocks and payload words; the code lengths; document ids and
-sizes; the bit offset at which each block begins; the code bits in big-endian 64-bit words. Files stand in document order.
+A file holds, little-endian: the magic word; its place in the order of files; counts of documents, ids, blocks, payload words and bytes of
+the packed code lengths; these; document ids and sizes; the bit offset at which each block begins; the code bits in big-endian 64-bit
+words; a line feed, which readers skip. Spark's own text writer writes them, whole rows of bytes, so that they reach any store that Spark
+reaches and only whole files are committed.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -18,12 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chunks, materialize, shared_dir, table, texts_of
+from .common import chunks, materialize, remove, shared_dir, table, texts_of
 from .tokens import ids_of
 
 TOKENIZER, END = "word_bpe_49k.json", 2
-MAGIC, BLOCK, LONGEST, IDS_A_FILE = b"IDHUFF01", 512, 16, 1 << 22
-_HEAD = struct.Struct("<8sQQQQQ")
+MAGIC, BLOCK, LONGEST, IDS_A_FILE = b"IDHUFF02", 512, 16, 1 << 22
+_HEAD = struct.Struct("<8sQQQQQQ")
 _NULL = np.iinfo(np.int64).min
 
 
@@ -106,18 +107,24 @@ def decode(words: np.ndarray, marks: np.ndarray, n: int, lengths: np.ndarray, bl
     return out.T.reshape(-1)[:n]
 
 
-def pack_file(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> bytes:
+def pack_file(file: int, doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> bytes:
     words, marks = encode(ids, lengths, codes)
     table_ = zlib.compress(lengths.tobytes())
-    head = _HEAD.pack(MAGIC, len(doc_ids), len(ids), len(marks), len(words), len(table_))
+    head = _HEAD.pack(MAGIC, file, len(doc_ids), len(ids), len(marks), len(words), len(table_))
     return b"".join((head, table_, doc_ids.astype("<i8").tobytes(), sizes.astype("<u8").tobytes(), marks.astype("<u8").tobytes(), words.astype(">u8").tobytes()))
 
 
-def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document ids, sizes and all ids of a file."""
-    magic, docs, n, blocks, words, size = _HEAD.unpack_from(data)
+def head_of(data: bytes) -> tuple[int, int, int, int, int, int]:
+    """A file's place, and its counts of documents, ids, blocks, payload words and bytes of code lengths."""
+    magic, *head = _HEAD.unpack_from(data)
     if magic != MAGIC:
         raise ValueError("not a file of token ids")
+    return tuple(head)
+
+
+def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document ids, sizes and all ids of a file."""
+    _, docs, n, blocks, words, size = head_of(data)
     lengths = np.frombuffer(zlib.decompress(data[_HEAD.size : _HEAD.size + size]), np.uint8)
     at = _HEAD.size + size
     parts = []
@@ -127,103 +134,101 @@ def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return parts[0], parts[1].astype(np.int64), decode(parts[3].astype(np.uint64), parts[2], n, lengths)
 
 
-def _write(path: str, data: bytes) -> None:
-    """A whole file or none: a task that runs twice leaves the same bytes under the same name."""
-    from pyarrow import fs
-
-    system, at = fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
-    system.create_dir(at.rpartition("/")[0], recursive=True)
-    with system.open_output_stream(part := f"{at}.{uuid.uuid4().hex}.part") as out:
-        out.write(data)
-    system.move(part, at)
-
-
 def token_table(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END) -> DataFrame:
     """doc_id, row_key, n_tokens and ids (two bytes each, four if the vocabulary needs it) with the end id."""
 
-    width = 2 if ids_of(tokenizer).tok.get_vocab_size() <= 1 << 16 else 4
-
     def run(batches):
-        encode, tail = ids_of(tokenizer, width), end.to_bytes(width, "little")
+        tok = ids_of(tokenizer)
+        width = 2 if max(tok.tok.get_vocab_size(), end + 1) <= 1 << 16 else 4
         for part in chunks(batches):
-            ids = [encode(t) + tail for t in texts_of(part["text"])]
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "row_key": part["row_key"], "n_tokens": [len(i) // width for i in ids], "ids": ids})
+            ids, sizes = tok.encode(texts_of(part["text"]), end)
+            raw, edge = ids.astype(f"<u{width}").tobytes(), (np.cumsum(sizes) * width).tolist()
+            own = [raw[a:b] for a, b in zip([0, *edge], edge, strict=False)]
+            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "row_key": part["row_key"].array, "n_tokens": sizes, "ids": own})
 
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInPandas(run, "doc_id long, row_key long, n_tokens long, ids binary")
 
 
+def _flat(batch: pd.DataFrame) -> np.ndarray:
+    """The ids of all documents of a batch after each other."""
+    total = int(batch["n_tokens"].sum())
+    raw = b"".join(batch["ids"])
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * total else "<u4")
+
+
 def global_counts(tokens: DataFrame) -> DataFrame:
     """id, n over all documents; every task sends one row an id at most."""
 
     def count(batches):
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for ids, n in zip(batch["ids"], batch["n_tokens"], strict=True):
-                got = np.bincount(np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4"))
-                if len(got) > len(total):
-                    total = np.concatenate((total, np.zeros(len(got) - len(total), np.int64)))
-                total[: len(got)] += got
+            got = np.bincount(_flat(batch))
+            if len(got) > len(total):
+                total = np.concatenate((total, np.zeros(len(got) - len(total), np.int64)))
+            total[: len(got)] += got
         used = np.flatnonzero(total)
         yield pd.DataFrame({"id": used, "n": total[used]})
 
     return tokens.select("n_tokens", "ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write_ids(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end: int = END, ids_a_file: int = IDS_A_FILE) -> DataFrame:
-    """Writes all documents' ids to files in `folder` (a URI that every executor reaches), in ascending doc_id order, nulls first.
+def write_ids(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end: int = END, ids_a_file: int = IDS_A_FILE) -> None:
+    """Writes all documents' ids to files in the new `folder` (of any store that Spark writes to), in ascending doc_id order, nulls first.
 
-    The documents are dealt out by ranges of doc_id, one file a range. Returns file, n_docs, n_ids; file is the place in the order.
-    The one thing that comes to the driver is a count for each id of the vocabulary.
+    The documents are dealt out by ranges of doc_id, one file a range. Repeated rows are written as often as they are there, null texts
+    are the end id alone, other columns aren't read. The one thing that comes to the driver is a count for each id of the vocabulary.
+    Without documents there are no files, and the folder is empty.
     """
     tokens = materialize(token_table(docs, tokenizer, end), "ids-tokens", "zstd")
     found = global_counts(tokens).toPandas()
-    if not len(found):
-        return materialize(docs.sparkSession.createDataFrame([], "file int, n_docs long, n_ids long"), "ids-files")
-    counts = np.zeros(int(found["id"].max()) + 1, np.int64)
+    counts = np.zeros(int(found["id"].max()) + 1 if len(found) else 0, np.int64)
     counts[found["id"]] = found["n"]
-    lengths = code_lengths(counts, max(LONGEST, (len(found) - 1).bit_length()))
+    lengths = code_lengths(counts, max(LONGEST, (max(len(found), 1) - 1).bit_length()))
     codes = canonical_codes(lengths)
     files = max(1, -(-int(counts.sum()) // ids_a_file))
 
     def store(batches):
         doc_ids, sizes, ids = [], [], []
         for batch in batches:
-            doc_ids += [_NULL if pd.isna(d) else int(d) for d in batch["doc_id"]]
-            sizes += batch["n_tokens"].tolist()
-            ids += [np.frombuffer(i, "<u2" if len(i) == 2 * n else "<u4") for i, n in zip(batch["ids"], batch["n_tokens"], strict=True)]
+            doc_ids.append(batch["doc_id"].astype("Int64").fillna(_NULL).to_numpy(np.int64))
+            sizes.append(batch["n_tokens"].to_numpy(np.int64))
+            ids.append(_flat(batch))
         if doc_ids:
-            file = TaskContext.get().partitionId()
-            _write(f"{folder}/ids-{file:08d}.bin", pack_file(np.array(doc_ids, np.int64), np.array(sizes, np.int64), np.concatenate(ids), lengths, codes))
-            yield pd.DataFrame({"file": [file], "n_docs": [len(doc_ids)], "n_ids": [sum(sizes)]})
+            yield pd.DataFrame({"content": [pack_file(TaskContext.get().partitionId(), *map(np.concatenate, (doc_ids, sizes, ids)), lengths, codes)]})
 
     dealt = tokens.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row_key")
-    return materialize(dealt.mapInPandas(store, "file int, n_docs long, n_ids long"), "ids-files")
+    dealt.mapInPandas(store, "content binary").select(F.col("content").cast("string")).write.text(folder)  # the cast leaves the bytes as they are
+    remove(tokens)
 
 
-def read_ids(spark: SparkSession, folder: str, files: DataFrame, with_ids: bool = False) -> DataFrame:
-    """The documents of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of ids as unsigned 32-bit), and ids if asked for."""
-    kind = "file int, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+def read_ids(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
+    """The documents of the files of `folder`: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of ids as unsigned 32-bit), and ids if asked for."""
+    kind = "file long, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def load(batches):
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for content in batch["content"]:
                 doc_ids, sizes, ids = unpack_file(content)
                 ends = np.cumsum(sizes)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crcs = [zlib.crc32(raw[4 * (e - s) : 4 * e]) for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                out = pd.DataFrame({"file": int(re.search(r"ids-(\d+)\.bin$", path)[1]), "doc_id": pd.array(doc_ids, "Int64"), "inside": ends - sizes, "n_tokens": sizes, "ids_crc32": crcs})
+                out = pd.DataFrame({"file": head_of(content)[0], "doc_id": pd.array(doc_ids, "Int64"), "inside": ends - sizes, "n_tokens": sizes, "ids_crc32": crcs})
                 out.loc[doc_ids == _NULL, "doc_id"] = pd.NA
                 yield out.assign(ids=np.split(ids.astype(np.int32), ends[:-1])) if with_ids else out
 
+    def heads(batches):
+        for batch in batches:
+            yield pd.DataFrame([(h[0], h[2]) for h in map(head_of, batch["content"])], columns=["file", "n_ids"])
+
+    contents = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).where("length > 0").select("content")
     order = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("file", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("before"))
-    if not files.take(1):
-        return spark.createDataFrame([], kind).select("doc_id", F.col("inside").alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.bin").load(folder).select("path", "content").mapInPandas(load, kind)
-    return found.join(starts, "file").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+    sizes = contents.select(F.substring("content", 1, _HEAD.size).alias("content")).mapInPandas(heads, "file long, n_ids long")
+    starts = sizes.select("file", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("before"))  # a row a file
+    return contents.mapInPandas(load, kind).join(starts, "file").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null texts are the end id alone; equal rows are written as often as they are there; an empty table gives no rows."""
     folder = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
-    return read_ids(spark, folder, write_ids(table(spark, sf_dir, "documents"), folder))
+    write_ids(table(spark, sf_dir, "documents"), folder)
+    return read_ids(spark, folder)

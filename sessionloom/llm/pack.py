@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chunks, materialize, table, texts_of
+from .common import chunks, materialize, remove, table, texts_of
 from .tokens import ids_of
 
 TOKENIZER, CAPACITY, END = "byte_bpe_50k.json", 2048, 0
@@ -21,28 +21,30 @@ DEME, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 6000, 2, 2, 4, 4
 
 
 def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
-    """The pieces of every document: doc_id, row_key, piece, start, length, ids_crc32, and ids (array of int) if asked for.
+    """The pieces of every document: doc_id, piece, start, length, ids_crc32, and ids (array of int) if asked for.
 
     A document is its text's ids (null: none) and then `end`. Over `capacity` ids it is cut into full pieces, and what doesn't fill
     one comes first. Nothing is ever cut elsewhere, and no text is cropped.
     """
-    kind = "doc_id long, row_key long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def cut(batches):
-        encode, tail = ids_of(tokenizer), np.array([end], "<u4").tobytes()
+        tok = ids_of(tokenizer)
         for part in chunks(batches):
-            rows = []
-            for doc, key, text in zip(part["doc_id"], part["row_key"], texts_of(part["text"]), strict=True):
-                data = encode(text) + tail
-                n = len(data) // 4
-                first = n - (n - 1) // capacity * capacity
-                bounds = [0, *range(first, n + 1, capacity)]
-                for piece, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                    own = data[a * 4 : b * 4]
-                    rows.append((doc, key, piece, a, b - a, zlib.crc32(own)) + ((np.frombuffer(own, "<u4").astype(np.int32),) if with_ids else ()))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in kind.split(", ")]).astype({"doc_id": "Int64"})
-
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInPandas(cut, kind)
+            ids, sizes = tok.encode(texts_of(part["text"]), end)
+            n = 1 + (sizes - 1) // capacity
+            doc = np.repeat(np.arange(len(sizes)), n)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            first = sizes - (n - 1) * capacity
+            start = np.where(piece > 0, first[doc] + (piece - 1) * capacity, 0)
+            length = np.where(piece > 0, capacity, first[doc])
+            edge = np.cumsum(length)
+            raw = memoryview(ids.astype("<u4").tobytes())
+            crcs = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(edge.tolist(), length.tolist(), strict=True)]
+            out = pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array[doc], "piece": piece, "start": start, "length": length, "ids_crc32": crcs})
+            yield out.assign(ids=np.split(ids.astype(np.int32), edge[:-1])) if with_ids else out
+
+    return docs.select("doc_id", "text").mapInPandas(cut, kind)
 
 
 def best_fit(sizes: np.ndarray, order, capacity: int, bins: list[list[int]] | None = None) -> list[list[int]]:
@@ -123,7 +125,7 @@ def _round(items: DataFrame, capacity: int, seed: int) -> DataFrame:
     """Every (deme, island) evolves for itself from the packings it holds; bin is the item's bin in its own best one, migrant in its guest's."""
 
     def island(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "row_key", "piece", "copy"], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values("item", kind="stable").reset_index(drop=True)
         sizes = rows["length"].to_numpy()
         elite = []
         for name in ("bin", "migrant"):
@@ -140,58 +142,55 @@ def _round(items: DataFrame, capacity: int, seed: int) -> DataFrame:
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, deme: int = DEME, islands: int = ISLANDS, rounds: int = ROUNDS, seed: int = 11) -> DataFrame:
-    """sequence_id and offset for each piece (doc_id, row_key, piece, copy, length, ...).
+    """item, sequence_id and offset for each piece (item: a number of its own; length).
 
     Full pieces are sequences by themselves. The others are dealt by hash into demes of about `deme` items, so a source or a group of
     copies of any size spreads evenly; `islands` populations for each deme evolve side by side, and between rounds the elite packing of
-    an island migrates to the next one of its deme. Of the islands' packings the smallest is kept. Then the emptier third of the bins
-    of all demes, with what they hold, is dealt out once more to larger demes, so that what is left over in single demes comes together.
-    The number of demes follows the number of items; all of them run in parallel.
+    an island migrates to the next one of its deme. Of the islands' packings the smallest is kept. Then all bins but the full ones
+    (those under 99.5 %), with what they hold, are dealt out once more to larger demes, so that what is left over in single demes comes
+    together. The number of demes follows the number of items; all of them run in parallel. A sequence's number is made of its deme's and
+    its bin's numbers, or of its one piece's, so that no two share one.
     """
-    full = pieces.where(F.col("length") == capacity).select("*", F.lit(-1).cast("long").alias("deme"), F.xxhash64("doc_id", "row_key", "piece", "copy").alias("bin"))
-    rest = pieces.where(F.col("length") < capacity)
+    full = pieces.where(F.col("length") == capacity).select("item", (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = pieces.where(F.col("length") < capacity).select("item", "length")
 
     def settle(rest: DataFrame, per_deme: int, salt: int) -> DataFrame:
         demes = max(1, -(-rest.count() // per_deme))
-        items = rest.withColumn("deme", F.pmod(F.xxhash64("doc_id", "row_key", "piece", "copy", F.lit(salt)), F.lit(demes)))
         none = F.lit(-1).cast("long")
+        items = rest.withColumn("deme", F.pmod(F.xxhash64("item", F.lit(salt)), F.lit(demes)))
         items = items.withColumns({"island": F.explode(F.sequence(F.lit(0), F.lit(islands - 1))), "bin": none, "migrant": none, "bins": none})
         for r in range(rounds):
-            items = materialize(_round(items, capacity, seed + salt + r), "pack-round")
+            before, items = items, materialize(_round(items, capacity, seed + salt + r), "pack-round")
+            if r:
+                remove(before)
             if r < rounds - 1:  # a ring: each island gets the elite of the one before it
-                guests = items.select("doc_id", "row_key", "piece", "copy", ((F.col("island") + 1) % islands).alias("island"), F.col("bin").alias("guest"))
-                items = items.drop("migrant").join(guests, ["doc_id", "row_key", "piece", "copy", "island"]).withColumn("migrant", F.col("guest")).select(items.columns)
+                guests = items.select("item", ((F.col("island") + 1) % islands).alias("island"), F.col("bin").alias("guest"))
+                items = items.join(guests, ["item", "island"]).withColumn("migrant", F.col("guest")).select(items.columns)
         best = items.groupBy("deme").agg(F.min(F.struct("bins", "island")).alias("won"))
-        return items.join(best, "deme").where(F.col("island") == F.col("won.island")).select(*pieces.columns, "deme", "bin")
+        return items.join(best, "deme").where(F.col("island") == F.col("won.island")).select("item", "length", "deme", "bin")
 
-    first = settle(rest, deme, 0)
+    first = materialize(settle(rest, deme, 0), "pack-first")
     fill = first.groupBy("deme", "bin").agg(F.sum("length").alias("fill"))
     low = materialize(fill.where(F.col("fill") < capacity * 0.995).select("deme", "bin"), "pack-low")
-    kept = first.join(low, ["deme", "bin"], "left_anti")
-    again = materialize(first.join(low, ["deme", "bin"], "left_semi").select(*pieces.columns), "pack-again")
-    last = settle(again, 4 * deme, 1).withColumn("deme", -2 - F.col("deme"))
-    placed = full.unionByName(kept.withColumn("deme", F.col("deme"))).unionByName(last)
-    placed = placed.withColumn("sequence_id", F.when(F.col("deme") == -1, F.xxhash64("bin", F.lit("full"))).otherwise(F.xxhash64("deme", "bin", F.lit("bin"))))
-    order = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "row_key", "piece", "copy")
-    return placed.withColumn("offset", F.sum("length").over(order) - F.col("length")).drop("deme", "bin", "row_key", "copy")
+    again = materialize(first.join(low, ["deme", "bin"], "left_semi").select("item", "length"), "pack-again")
+    last = settle(again, 4 * deme, 1)
+    number = lambda turn: (F.shiftleft(F.col("deme"), 33) + F.shiftleft(F.col("bin"), 1) + turn).alias("sequence_id")
+    kept = first.join(low, ["deme", "bin"], "left_anti").select("item", "length", number(0))
+    placed = kept.unionByName(last.select("item", "length", number(1)))
+    order = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "item")
+    return full.unionByName(placed.select("item", "sequence_id", (F.sum("length").over(order) - F.col("length")).alias("offset")))
 
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """Packs documents into sequences of at most `capacity` tokens.
 
     Returns a row a piece: doc_id, piece, start, length, ids_crc32 (and ids, if asked for), sequence_id, offset. Null and empty texts
-    are the end token alone. Equal rows are packed as often as they are there. An empty table gives no rows. Other columns of docs are
-    not read.
+    are the end token alone; null doc_ids are kept. Equal rows are packed as often as they are there. An empty table gives no rows.
+    Other columns of docs are not read.
     """
     pieces = token_pieces(docs, tokenizer, capacity, end, with_ids)
-    same = Window.partitionBy("doc_id", "row_key", "piece").orderBy("length")
-    pieces = materialize(pieces.withColumn("copy", F.row_number().over(same)), "pack-pieces")
-    narrow = pieces.drop("ids") if with_ids else pieces
-    placed = pack_pieces(narrow, capacity)
-    if not with_ids:
-        return placed
-    ids = pieces.groupBy("doc_id", "piece", "start", "length", "ids_crc32").agg(F.first("ids").alias("ids"))
-    return placed.join(ids, ["doc_id", "piece", "start", "length", "ids_crc32"])
+    pieces = materialize(pieces.withColumn("item", F.monotonically_increasing_id()), "pack-pieces")  # written once, so the numbers stay
+    return pieces.join(pack_pieces(pieces.select("item", "length"), capacity), "item").drop("item")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -201,4 +200,6 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack of all documents: null and empty texts are one end token, null doc_ids and repeated rows are packed like others, ties in size
+    are broken by a piece's number, an empty table gives no rows, other columns aren't read."""
     return pack(table(spark, sf_dir, "documents"))

@@ -10,6 +10,9 @@ _BASE = np.uint64(0x100000001B3)
 _powers = np.ones(1, np.uint64)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Strings of so many bytes are named exactly by a key of two 64-bit numbers; the last byte of it is their size.
+KEY_BYTES = 15
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def powers(n: int) -> np.ndarray:
@@ -28,8 +31,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def joined(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes, each text ended by a line feed, and where each text ends, behind that line feed. The array has 16 more bytes behind its end."""
+    sizes = np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
+    data = np.frombuffer(b"\n".join([*raw, bytes(16)]), np.uint8)
+    return data[: len(data) - 16], np.cumsum(sizes)
+
+
+def keys_of(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for each string in data (of `joined`): its first KEY_BYTES bytes and its size, up to 255."""
+    eight = np.ndarray((len(data) + 9,), "<u8", data.base if data.base is not None else data, strides=(1,))
+    low = eight[begin] & _MASK[np.minimum(size, 8)]
+    high = eight[begin + 8] & _MASK[np.clip(size - 8, 0, 7)]
+    return low, high | (np.minimum(size, 255).astype(np.uint64) << np.uint64(56))
+
+
+def _hashes(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A hash for each string in data. Longer strings than KEY_BYTES add a polynomial of all their bytes."""
+    low, high = keys_of(data, begin, length)
+    out = mix(low ^ mix(high))
+    long = np.flatnonzero(length > KEY_BYTES)
+    if len(long):
+        size = length[long]
+        at = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(at, size)
+        values = (data[place + np.repeat(begin[long], size)].astype(np.uint64) + np.uint64(1)) * powers(int(size.max()))[place]
+        out[long] = mix(out[long] ^ np.add.reduceat(values, at))
+    return out
+
+
 class Words:
-    """The words of texts: hash has one value a word, doc its text's place in the list, starts the first word of each text.
+    """The words of texts: hash has one value a word, doc its text's place in the list, first each text's first word.
 
     data holds all bytes, each text ended by a line feed; text_starts has where each begins.
     """
@@ -37,37 +69,28 @@ class Words:
     def __init__(self, texts: list[str], gaps: np.ndarray = SPACE):
         """gaps: which bytes part words; a line feed must be one of them."""
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        sizes = np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
-        self.data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
-        self.text_ends = np.cumsum(sizes)
-        self.text_starts = self.text_ends - sizes
+        self.data, self.text_ends = joined(raw)
+        self.text_starts = self.text_ends - np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
         inside = ~gaps[self.data]
         edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
         self.begin, self.end = edges[::2], edges[1::2]
-        lengths = self.end - self.begin
-        self.length = lengths
+        self.length = self.end - self.begin
         self.doc = np.searchsorted(self.text_ends, self.begin, "right")
         self.count = np.bincount(self.doc, minlength=len(texts)).astype(np.int64)
         self.first = np.cumsum(self.count) - self.count
-        if len(lengths):
-            packed = self.data[inside]
-            at = np.cumsum(lengths) - lengths
-            place = np.arange(len(packed)) - np.repeat(at, lengths)
-            values = (packed.astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[place]
-            self.hash = mix(np.add.reduceat(values, at))
-        else:
-            self.hash = np.zeros(0, np.uint64)
+        self.hash = _hashes(self.data, self.begin, self.length) if len(self.length) else np.zeros(0, np.uint64)
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of every run of n words inside a text, and the place of its first word."""
         k = len(self.hash) - n + 1
         if k <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        at = np.flatnonzero(self.doc[:k] == self.doc[n - 1 :])
-        total = self.hash[at].copy()
+        total = self.hash[:k].copy()
         for i in range(1, n):
-            total = total * _MUL + self.hash[at + i]
-        return mix(total), at
+            total *= _MUL
+            total += self.hash[i : k + i]
+        at = np.flatnonzero(self.doc[:k] == self.doc[n - 1 :])
+        return mix(total[at]), at
 
     def shingles(self, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of n words, in order of the texts, and each one's text. A text of 1 to n-1 words has one, of all its words."""
