@@ -8,25 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chunks, materialize, table, texts_of
+from .common import chunks, fresh, materialize, remove, table, texts_of
 from .words import Words, mix
 
 WORDS, SIMILAR = 5, 0.8
-#: Coordinates of a sketch; runs; coordinates that a node splits on. A pair at 0.8 shares a node of one run with probability over 0.93 at
-#: any depth (0.2 + 0.8 q squared = q for two coordinates), so that three runs lose fewer than 1 in 4,000 such pairs.
-COORDINATES, RUNS, SPLITS = 64, 3, 2
-#: Nodes of at most SMALL sets are compared pair by pair; what is still larger after DEPTH splits is compared in blocks of BLOCK.
-SMALL, DEPTH, BLOCK = 64, 8, 512
-#: A node in which at most FEW sets aren't linked to the pivot ends there.
-FEW = 400
+#: Coordinates of a sketch, and coordinates that a node splits on. A pair at 0.8 shares a node of one run with probability over 0.93 at any
+#: depth (1 - (1 - 0.8 q) squared = q for two coordinates).
+COORDINATES, SPLITS = 64, 2
+#: Runs are added until this share of planted pairs at SIMILAR meets in one; about so many sets at most get a planted partner; most runs.
+RECALL, PLANTED, MOST_RUNS = 0.999, 2000, 6
+#: Levels that all sets walk before nodes are looked at.
+START = 2
+#: Nodes of at most SMALL sets are compared pair by pair; what is still larger after DEPTH splits is compared in blocks. Blocks of an exact
+#: comparison have BLOCK sets or BLOCK_SHINGLES shingles.
+SMALL, DEPTH, BLOCK, BLOCK_SHINGLES = 64, 8, 512, 500_000
+#: Sets that all others of a large node are compared with. A node in which at most FEW sets aren't linked to them, or of at most 2 * FEW sets,
+#: ends there.
+PIVOTS, FEW = 8, 1000
 #: Sets whose sketches agree in this share of places may be at 0.8 (5 standard deviations below).
 MAYBE = 0.55
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, set (a 64-bit hash of the set of shingles; null without words), sketch (the least value of each of COORDINATES
-    permutations of it)."""
+    """doc_id, row_key, a and b (two 64-bit hashes of the set of shingles; null without words), n (its size), sketch (the least value of
+    each of COORDINATES permutations of it)."""
 
     def run(batches):
         for part in chunks(batches):
@@ -34,29 +40,55 @@ def sketches(docs: DataFrame) -> DataFrame:
             value, doc = words.shingles(WORDS)
             n = len(part)
             have = np.flatnonzero(np.bincount(doc, minlength=n)) if len(doc) else np.zeros(0, np.int64)
-            sketch, of = [None] * n, pd.array([pd.NA] * n, "Int64")
+            sketch, size = [None] * n, np.zeros(n, np.int64)
+            a, b = pd.array([pd.NA] * n, "Int64"), pd.array([pd.NA] * n, "Int64")
             if len(have):
                 starts = np.searchsorted(doc, have)
                 least = np.empty((len(have), COORDINATES), np.uint32)
                 for k in range(COORDINATES):
                     least[:, k] = np.minimum.reduceat(value * _SEEDS[k], starts) >> np.uint64(32)
-                for row, (d, a, b) in enumerate(zip(have, starts, [*starts[1:], len(doc)], strict=True)):
-                    own = np.unique(value[a:b])
-                    of[int(d)] = int(mix(np.array([mix(own).sum(dtype=np.uint64) ^ np.uint64(len(own))]))[0].astype(np.int64))
-                    sketch[d] = least[row].view(np.int32)
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "row_key": part["row_key"].array, "set": of, "sketch": sketch})
+                for row, (d, low, high) in enumerate(zip(have.tolist(), starts.tolist(), [*starts[1:].tolist(), len(doc)], strict=True)):
+                    own = np.unique(value[low:high])
+                    sums = np.array([mix(own).sum(dtype=np.uint64), mix(own ^ _SEEDS[1]).sum(dtype=np.uint64)]) + np.uint64(len(own))
+                    a[d], b[d] = mix(sums).astype(np.int64).tolist()
+                    size[d], sketch[d] = len(own), least[row].view(np.int32)
+            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "row_key": part["row_key"].array, "a": a, "b": b, "n": size, "sketch": sketch})
 
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInPandas(run, "doc_id long, row_key long, set long, sketch array<int>")
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInPandas(run, "doc_id long, row_key long, a long, b long, n long, sketch array<int>")
 
 
-def _children(rows: DataFrame, level: int) -> DataFrame:
-    """set, tag, node: the nodes to which each row (set, tag, node, sketch) goes, by the values of its sketch at coordinates that the node chooses."""
+def _children(node, sketch, level: int):
+    """The nodes to which a set goes from a node, by the values of its sketch at coordinates that the node chooses."""
 
     def child(k):
-        at = F.pmod(F.xxhash64(F.col("node"), k, F.lit(level)), F.lit(COORDINATES)).cast("int")
-        return F.xxhash64(F.col("node"), k, F.element_at("sketch", at + 1))
+        at = F.pmod(F.xxhash64(node, k, F.lit(level)), F.lit(COORDINATES)).cast("int")
+        return F.xxhash64(node, k, F.element_at(sketch, at + 1))
 
-    return rows.select("set", "tag", F.explode(F.transform(F.sequence(F.lit(0), F.lit(SPLITS - 1)), child)).alias("node"))
+    return F.transform(F.sequence(F.lit(0), F.lit(SPLITS - 1)), child)
+
+
+def _first_nodes(sketch, run):
+    """A set's nodes of a run after START levels."""
+    nodes = F.array(F.xxhash64(run))
+    for level in range(START):
+        nodes = F.flatten(F.transform(nodes, _walk(sketch, level)))
+    return nodes
+
+
+def _walk(sketch, level: int):
+    return lambda node: _children(node, sketch, level)
+
+
+def runs_for(sets: DataFrame, target: float = RECALL) -> int:
+    """How many runs find `target` of the pairs at SIMILAR: measured on planted pairs, each a set's sketch and one in which every place is
+    kept with probability SIMILAR. A bounded sample of the sets is planted."""
+    some = sets.select("set", "sketch").where(F.pmod(F.xxhash64("set"), F.lit(max(1, sets.count() // PLANTED))) == 0)
+    keep = lambda x, i: F.when(F.pmod(F.xxhash64("set", F.lit("planted"), i), F.lit(1000)) < int(1000 * SIMILAR), x).otherwise(F.hash("set", i))
+    both = some.withColumn("other", F.transform("sketch", keep))
+    met = [F.arrays_overlap(_first_nodes(F.col("sketch"), F.lit(r)), _first_nodes(F.col("other"), F.lit(r))) for r in range(MOST_RUNS)]
+    found = both.select(F.array_position(F.array(*met), True).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n")).collect()
+    total, by = sum(r["n"] for r in found), {r["run"]: r["n"] for r in found}
+    return next((k for k in range(1, MOST_RUNS + 1) if sum(by.get(r, 0) for r in range(1, k + 1)) >= target * total), MOST_RUNS)
 
 
 def _agree(a, b):
@@ -82,58 +114,83 @@ def _compare_nodes(rows: pd.DataFrame) -> pd.DataFrame:
         if len(own) < 2:
             continue
         sets, s = own["set"].to_numpy(), np.array(own["sketch"].tolist(), np.int32)
-        label = _components(len(s), (s[:, None] == s[None]).mean(2) >= MAYBE)
+        same = np.zeros((len(s), len(s)), np.uint8)
+        for k in range(s.shape[1]):
+            same += s[:, k, None] == s[None, :, k]
+        label = _components(len(s), same >= MAYBE * COORDINATES)
         at = np.flatnonzero(label != np.arange(len(s)))
         out += zip(sets[at].tolist(), sets[label[at]].tolist(), strict=True)
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def candidate_edges(sets: DataFrame) -> DataFrame:
+def candidate_edges(sets: DataFrame, runs: int) -> DataFrame:
     """a, b: edges that connect all sets which may be similar (set, sketch; one row a set), few for each set.
 
     Chosen paths: every node of the tree picks SPLITS coordinates, and a set goes down with its values there, so that similar sets meet
-    again and others part. Nodes of one set end. Small nodes are compared pair by pair. In a larger one all sets are compared with one
-    of them, the pivot; those that agree enough are linked to it and take its tag. Sets of one tag are connected already, so a node
-    that has only one tag ends: a group of any number of near copies is linked to a pivot, not paired. Where at most FEW sets of a node
-    aren't linked, these are compared with all others of it, in blocks, and it ends. Nothing else ends a path; what is still large at
-    the last level is compared in blocks, all against all.
+    again and others part. Nodes of one set end. Small nodes are compared pair by pair. In a larger one all sets are compared with PIVOTS
+    of them and linked to those with which they agree enough. Pivots that a set links are one group with it; the sets linked to the largest
+    such group are connected already, so a group of any number of near copies is linked to pivots, not paired. Where at most FEW sets of
+    a node are outside it (or it has 2 * FEW at most), these are compared with all others of it, in blocks, and the node ends; it also
+    ends without any. Nothing else
+    ends a path; what is still large at the last level is compared in blocks, all against all.
     """
-    root = sets.select("set", F.col("set").alias("tag"), "sketch", F.explode(F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.xxhash64(r))).alias("node"))
-    rows = _children(root, 0)
-    open_ = (F.count(F.lit(1)).alias("m"), F.min("tag").alias("low"), F.max("tag").alias("high"))
-    edges, small = [], []
-    for level in range(1, DEPTH + 1):
-        rows = materialize(rows, "near-nodes")
-        size = rows.groupBy("node").agg(*open_, F.min(F.struct(F.xxhash64("set", F.lit(level)).alias("h"), "set", "tag")).alias("p")).where("low < high")
-        rows = materialize(rows.join(size.select("node", "m", F.col("p.set").alias("pivot"), F.col("p.tag").alias("pivot_tag")), "node"), "near-live")
-        small.append(rows.where(F.col("m") <= SMALL).select("node", "set"))
-        big = rows.where(F.col("m") > SMALL)
+    bits = [F.lit(1 << i) for i in range(PIVOTS)]
+    sketched = sets.select("set", "sketch")
+    root = sketched.select("set", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: _first_nodes(F.col("sketch"), r)))).alias("node"))
+    rows, edges, small, old = materialize(root, "near-nodes"), [], [], []
+    for level in range(START, DEPTH + 1):
+        size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        live = materialize(rows.join(size, "node"), "near-live")
+        old += [rows, live]
+        small.append(live.where(F.col("m") <= SMALL).select("node", "set"))
+        big = live.where(F.col("m") > SMALL)
         if not big.take(1):
             break
-        pivots = big.select("node", "pivot").distinct().join(sets.select(F.col("set").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
-        near = big.join(sets, "set").join(pivots.select("node", "pivot_sketch"), "node").withColumn("linked", _agree(F.col("sketch"), F.col("pivot_sketch")) >= MAYBE)
-        near = materialize(near.drop("pivot_sketch"), "near-big")
-        edges.append(near.where(F.col("linked") & (F.col("set") != F.col("pivot"))).select(F.col("set").alias("a"), F.col("pivot").alias("b")))
-        rest = near.groupBy("node").agg(F.count(F.when(~F.col("linked"), 1)).alias("rest")).where("rest > 0")
-        near = near.join(rest, "node")
-        few = near.where(F.col("rest") <= FEW).withColumn("blocks", F.ceil(F.col("m") / F.greatest(F.lit(SMALL), "rest")).cast("int")).withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-        block = F.when(F.col("linked"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+        if level == DEPTH:  # the last level's large nodes
+            last = big.withColumn("blocks", F.ceil(F.col("m") / SMALL).cast("int")).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+            small.append(_block_pairs(last, "node").select(F.xxhash64("node", "one", "two").alias("node"), "set"))
+            break
+        place = F.xxhash64("set", F.lit(level))
+        pivots = big.groupBy("node").agg(*[F.min(F.when(F.pmod(place, F.lit(PIVOTS)) == i, F.struct(place.alias("h"), "set")))["set"].alias(f"p{i}") for i in range(PIVOTS)])
+        pivots = pivots.select("node", F.posexplode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("i", "pivot")).where(F.col("pivot").isNotNull())
+        pivots = pivots.join(sketched.select(F.col("set").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
+        pivots = materialize(pivots.groupBy("node").agg(F.collect_list(F.struct("i", "pivot", "pivot_sketch")).alias("pivots")), "near-pivots")  # PIVOTS a node
+        link = F.aggregate("pivots", F.lit(0), lambda got, p: got + F.when(_agree(F.col("sketch"), p["pivot_sketch"]) >= MAYBE, F.element_at(F.array(*bits), p["i"] + 1)).otherwise(0))
+        own = F.map_from_entries(F.transform("pivots", lambda p: F.struct(p["i"], p["pivot"])))
+        near = big.join(sketched, "set").join(pivots, "node").select("node", "set", "m", link.alias("links"), own.alias("pivots"))
+        near = materialize(near, "near-big")
+        # a set's first pivot, and every other pivot that it links with that one
+        to = F.filter(F.transform(F.array(*bits), lambda bit: F.when(F.col("links").bitwiseAND(bit) > 0, F.element_at("pivots", F.log2(bit).cast("int")))), lambda p: p.isNotNull())
+        linked = near.where("links > 0").select("set", to.alias("to"), "links", "node")
+        edges.append(linked.select(F.col("set").alias("a"), F.col("to")[0].alias("b")))
+        edges.append(linked.dropDuplicates(["node", "links"]).select(F.explode("to").alias("a"), F.col("to")[0].alias("b")))
+        # the largest group of pivots that sets link, as bits; 2 ** PIVOTS patterns of links a node at most
+        by = near.groupBy("node", "links").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "links")), asc=False).alias("by"))
+        grow = lambda group: F.aggregate("by", group, lambda got, x: F.when(got.bitwiseAND(x["links"]) > 0, got.bitwiseOR(x["links"])).otherwise(got))
+        main = F.filter("by", lambda x: x["links"] > 0)[0]["links"]
+        for _ in range(PIVOTS):
+            main = grow(main)
+        rest = by.withColumn("main", main).withColumn("rest", F.aggregate("by", F.lit(0).cast("long"), lambda got, x: got + F.when(x["links"].bitwiseAND(F.col("main")) > 0, 0).otherwise(x["n"])))
+        rest = materialize(rest.where("rest > 0").select("node", "main", "rest"), "near-rest")
+        near = near.join(rest, "node").withColumn("inside", F.col("links").bitwiseAND(F.col("main")) > 0)
+        ends = (F.col("rest") <= FEW) | (F.col("m") <= 2 * FEW)
+        few = near.where(ends).withColumn("blocks", F.ceil(F.col("m") / F.greatest(F.lit(SMALL), "rest")).cast("int")).withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+        block = F.when(F.col("inside"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
         small.append(few.select("node", "set", F.explode(block).alias("block")).select(F.xxhash64("node", "block").alias("node"), "set"))
-        rows = _children(near.where(F.col("rest") > FEW).withColumn("tag", F.when(F.col("linked"), F.col("pivot_tag")).otherwise(F.col("tag"))), level)
-    else:  # the last level's large nodes
-        size = rows.groupBy("node").agg(*open_).where("low < high")
-        last = rows.join(size, "node").withColumn("blocks", F.ceil(F.col("m") / SMALL).cast("int")).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-        small.append(_block_pairs(last, "node").select(F.xxhash64("node", "one", "two").alias("node"), "set"))
+        down = near.where(~ends).select("node", "set").join(sketched, "set")
+        rows = materialize(down.select("set", F.explode(_children(F.col("node"), F.col("sketch"), level)).alias("node")), "near-nodes")
     met = small[0]
     for x in small[1:]:
         met = met.unionByName(x)
-    met = materialize(met.join(sets, "set"), "near-met")
+    met = materialize(met.join(sketched, "set"), "near-met")
     bins = max(8, met.count() // 4000)
     edges.append(met.groupBy(F.pmod(F.xxhash64("node"), F.lit(bins))).applyInPandas(_compare_nodes, "a long, b long"))
     out = edges[0]
     for x in edges[1:]:
         out = out.unionByName(x)
-    return out.distinct()
+    out = materialize(out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-edges")
+    remove(met, *old)
+    return out
 
 
 def _block_pairs(rows: DataFrame, group: str) -> DataFrame:
@@ -148,13 +205,17 @@ def connected(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.select("a", "b").where("a <> b").distinct(), "near-edges")
     before = None
     while True:
+        old = edges
         down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = materialize(moved.distinct(), "near-edges")
+        remove(old)
+        old = edges
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         edges = materialize(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "near-edges")
+        remove(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -208,23 +269,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     docs: doc_id, text; other columns aren't read. Returns a row a document: doc_id, row_key (a hash of doc_id and text), copy_id (the least
     doc_id with the same shingles), class_id (the least doc_id of those that links connect), n_links (other documents at SIMILAR or more,
-    copies counted). Documents with the same shingles are one set from the start and never paired. A text of fewer words than WORDS has one
-    shingle, of all of them; texts without words (null, empty) have none, no links, and are classes of their own. Equal rows are
-    copies. Candidates are connected first; the exact similarity of every two sets of a component is then counted once, in blocks of
-    bounded size, and only counts and a forest of links leave a block. An empty table gives no rows.
+    copies counted). Documents with the same shingles (128 bits of hash) are one set from the start and never paired. A text of fewer words
+    than WORDS has one shingle, of all of them; texts without words (null, empty) have none, no links, and are classes of their own. Equal
+    rows are copies. Candidates are connected first; the exact similarity of every two sets of a component is then counted once, in blocks
+    of bounded size, and only counts and a forest of links leave a block. An empty table gives no rows.
     """
     seen = materialize(sketches(docs), "near-sketches")
-    sets = seen.where(F.col("set").isNotNull()).groupBy("set").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row_key")).alias("first"), F.first("sketch").alias("sketch"))
-    sets = materialize(sets, "near-sets")
-    component = materialize(connected(candidate_edges(sets.select("set", "sketch"))), "near-components")
+    sets = seen.where(F.col("a").isNotNull()).groupBy("a", "b").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row_key")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sets = materialize(sets.withColumn("set", F.monotonically_increasing_id()), "near-sets")  # written once, so the numbers stay
+    edges = candidate_edges(sets, runs_for(sets))
+    component = materialize(connected(edges), "near-components")
+    remove(edges)
 
     members = component.select(F.col("node").alias("set"), F.col("root").alias("component"))
-    size = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    members = members.join(size, "component").join(sets.select("set", "copies", F.col("first.doc_id").alias("own_id"), F.col("first.row_key").alias("own_key")), "set")
-    members = materialize(members, "near-members")
+    members = members.join(sets.select("set", "copies", "n", F.col("first.doc_id").alias("own_id"), F.col("first.row_key").alias("own_key")), "set")
+    size = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    members = materialize(members.join(size, "component"), "near-members")
     key = F.xxhash64(docs["doc_id"], docs["text"])
     # always a merge join: members are a share of all documents, so a table that happens to be small enough to broadcast won't stay so
-    texts = docs.select("doc_id", "text", key.alias("row_key")).join(members.hint("merge"), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("row_key") == F.col("own_key"))).drop("doc_id", "row_key", "own_id", "own_key")
+    texts = docs.select("doc_id", "text", key.alias("row_key")).join(members.hint("merge"), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("row_key") == F.col("own_key"))).drop("doc_id", "row_key", "own_id", "own_key", "n")
 
     def shingle(batches):
         for part in chunks(batches):
@@ -232,33 +295,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             cut = np.searchsorted(doc, np.arange(1, len(part)))
             yield part.drop(columns="text").assign(shingles=[np.unique(v).tobytes() for v in np.split(value, cut)])
 
-    own = texts.mapInPandas(shingle, "set long, component long, m long, copies long, shingles binary")
-    blocks = own.dropDuplicates(["set"]).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-    units = _block_pairs(blocks, "component")
-    bins = max(8, members.count() // 1000)
+    own = texts.mapInPandas(shingle, "component long, set long, copies long, blocks int, shingles binary")
+    units = _block_pairs(own.dropDuplicates(["set"]).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")), "component")
+    bins = max(8, (members.agg(F.sum("n").alias("n")).first()["n"] or 0) // BLOCK_SHINGLES)
     bin_ = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.xxhash64("component", "one", "two"))
     found = units.groupBy(bin_).applyInPandas(_exact, "set long, links long, root long")
     found = materialize(found, "near-links")
     root = connected(found.select(F.col("set").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("set").agg(F.sum("links").alias("links"))
-    classes = sets.select("set", "copies", "least").join(root.withColumnRenamed("node", "set"), "set", "left").join(links, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    classes = sets.select("set", "a", "b", "copies", "least").join(root.withColumnRenamed("node", "set"), "set", "left").join(links, "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = classes.groupBy("root").agg(F.min("least").alias("class_id"))
-    classes = classes.join(least, "root").select("set", F.col("least").alias("copy_id"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = seen.drop("sketch").join(classes, "set", "left")
-    return out.select("doc_id", "row_key", F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"), F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    classes = classes.join(least, "root").select("a", "b", F.col("least").alias("copy_id"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = seen.drop("sketch", "n").join(classes, ["a", "b"], "left")
+    own_id = lambda c: F.when(F.col("a").isNull(), F.col("doc_id")).otherwise(F.col(c)).alias(c)
+    return out.select("doc_id", "row_key", own_id("copy_id"), own_id("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one with the least doc_id; columns as in docs. Texts without words all stay."""
+    """One document of each class, the one with the least doc_id; columns as in docs, whatever their names. Texts without words all stay, and
+    of repeated rows of a class one. An empty table gives no rows."""
     found = materialize(near_duplicates(docs), "near-found")
+    id_, key, one, nth = fresh(docs, "kept_id", "kept_key", "one", "nth_copy")
     alone = found.where(F.col("n_links") == 0).select("doc_id", "row_key")
     first = found.where(F.col("n_links") > 0).groupBy("class_id").agg(F.min(F.struct("doc_id", "row_key")).alias("own")).select("own.doc_id", "own.row_key")
-    keep = alone.distinct().withColumn("one", F.lit(False)).unionByName(first.withColumn("one", F.lit(True))).select(F.col("doc_id").alias("kept_id"), F.col("row_key").alias("kept_key"), "one")
-    key = F.xxhash64(docs["doc_id"], docs["text"])
-    joined = docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]) & (key == keep["kept_key"]))
-    order = Window.partitionBy(F.coalesce(F.col("kept_id"), F.lit(0)), "kept_key").orderBy("kept_key")
-    return joined.withColumn("nth_copy", F.row_number().over(order)).where((F.col("nth_copy") == 1) | ~F.col("one")).select(*[docs[c] for c in docs.columns])
+    keep = alone.distinct().withColumn(one, F.lit(False)).unionByName(first.withColumn(one, F.lit(True))).select(F.col("doc_id").alias(id_), F.col("row_key").alias(key), one)
+    joined = docs.join(keep, docs["doc_id"].eqNullSafe(keep[id_]) & (F.xxhash64(docs["doc_id"], docs["text"]) == keep[key]))
+    order = Window.partitionBy(F.coalesce(F.col(id_), F.lit(0)), key).orderBy(key)
+    return joined.withColumn(nth, F.row_number().over(order)).where((F.col(nth) == 1) | ~F.col(one)).select(*[docs[c] for c in docs.columns])
 
 
 def op7_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates of all documents: null and empty texts are classes of their own without links, repeated rows are copies, an empty
+    table gives no rows, other columns aren't read."""
     return near_duplicates(table(spark, sf_dir, "documents")).drop("row_key")

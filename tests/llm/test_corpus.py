@@ -257,6 +257,7 @@ def near_by_hand(texts):
 @pytest.mark.parametrize("few", [1, 8])
 def test_near_duplicates(spark, monkeypatch, few):
     monkeypatch.setattr(near, "SMALL", 6)
+    monkeypatch.setattr(near, "PIVOTS", 2)
     monkeypatch.setattr(near, "FEW", few)
     monkeypatch.setattr(near, "BLOCK", 10)
     rng = np.random.default_rng(8)
@@ -280,8 +281,19 @@ def test_near_duplicates(spark, monkeypatch, few):
     assert near.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_runs_follow_the_target_recall(spark):
+    sets = spark.range(3000).select(F.col("id").alias("set"), F.transform(F.sequence(F.lit(1), F.lit(near.COORDINATES)), lambda i: F.hash("id", i)).alias("sketch"))
+    found = [near.runs_for(sets, target) for target in (0.5, 0.99, 0.9999)]
+    assert found[0] == 1 and found == sorted(found) and 2 <= found[1] <= 3 and found[2] <= near.MOST_RUNS
+
+
 def test_of_repeated_rows_one_stays(spark):
-    assert near.one_of_each(docs(spark, ["a b c d e f"] * 3, ids=[4, 4, None])).count() == 1
+    table = docs(spark, ["a b c d e f"] * 3 + [None, ""], ids=[4, 4, None, 7, None])
+    for name in ("kept_key", "one", "nth_copy", "kept_id", "row_key", "a"):
+        table = table.withColumn(name, F.lit(1))
+    kept = near.one_of_each(table)
+    assert kept.columns == table.columns and kept.count() == 3
+    assert near.one_of_each(table.limit(0)).count() == 0
 
 
 def test_components(spark):
