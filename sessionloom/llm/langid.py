@@ -63,7 +63,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
     spark = docs.sparkSession
     own = labelled_sample(docs.where(~is_held_out() & F.col("doc_id").isNotNull()).select("doc_id", "lang"), "lang", sample, "langid")
     # a bounded number of rows, so that texts stay where they are
-    some = F.broadcast(own.select("doc_id", "lang").distinct().limit(MOST_ROWS))
+    some = F.broadcast(own.select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(MOST_ROWS))
     own = materialize(docs.select("doc_id", "lang", "text").join(some, ["doc_id", "lang"]).where(F.col("text").rlike(r"\p{L}")).select("text", "lang"), "langid-sample")
     langs = sorted(r["lang"] for r in own.select("lang").distinct().collect())
     families = sorted({family(x) for x in langs})

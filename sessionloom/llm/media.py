@@ -145,7 +145,7 @@ _CORNERS = "array<struct<at:int,a:bigint,b:bigint>>"
 
 
 def corners(images: DataFrame) -> DataFrame:
-    """id, image_key (a hash of the image), corners: place (y * 65536 + x) and the two halves of the descriptor of each corner of image (id, image)."""
+    """id, image_key (128 bits of hash of the image), corners: place (y * 65536 + x) and the two halves of the descriptor of each corner of image (id, image)."""
 
     def run(batches):
         for batch in batches:
@@ -161,7 +161,7 @@ def corners(images: DataFrame) -> DataFrame:
                         found[own[k]].append({"at": at, "a": a, "b": b})
                 yield pd.DataFrame({"id": part["id"].astype("Int64").array, "image_key": part["image_key"].array, "corners": found})
 
-    return images.select("id", F.xxhash64("image").alias("image_key"), "image").mapInPandas(run, f"id long, image_key long, corners {_CORNERS}")
+    return images.select("id", F.substring(F.sha2(F.coalesce("image", F.lit(b"")), 256), 1, 32).alias("image_key"), "image").mapInPandas(run, f"id long, image_key string, corners {_CORNERS}")
 
 
 def _entries(images: DataFrame, name: str, prefix: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, table, word_count
+from .common import fresh, materialize, table, word_count
 
 #: Weights by the rank of a source (code points, null last), repeating.
 WEIGHTS = (3, 1, 2)
@@ -80,18 +80,21 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """docs as the mix takes them: a document that is taken twice is there twice. Columns as in docs."""
-    taken = mix_sources(docs, **how).where("taken").groupBy(F.col("doc_id").alias("mix_id"), F.col("row_key").alias("mix_key")).agg(F.count(F.lit(1)).alias("mix_n"))
+    """docs as the mix takes them: a document that is taken twice is there twice. Columns as in docs, whatever their names; null ids and texts
+    are matched as values. An empty table gives no rows."""
+    id_, key, n, same_id, same_key, same_n, times_, copy = fresh(docs, "mix_id", "mix_key", "mix_n", "same_id", "same_key", "same_n", "mix_times", "mix_copy")
+    taken = mix_sources(docs, **how).where("taken").groupBy(F.col("doc_id").alias(id_), F.col("row_key").alias(key)).agg(F.count(F.lit(1)).alias(n))
     # equal rows share doc_id and row_key: the times they were taken are spread evenly over them
-    same = docs.select(F.col("doc_id").alias("same_id"), F.xxhash64("doc_id", "text").alias("same_key")).groupBy("same_id", "same_key").agg(F.count(F.lit(1)).alias("same_n"))
-    times = taken.join(same, F.col("mix_id").eqNullSafe(F.col("same_id")) & (F.col("mix_key") == F.col("same_key")))
-    times = times.select("mix_id", "mix_key", F.ceil(F.col("mix_n") / F.col("same_n")).cast("int").alias("mix_times"))
-    key = F.xxhash64(docs["doc_id"], docs["text"])
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["mix_id"]) & (key == times["mix_key"]))
-    return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*[docs[c] for c in docs.columns])
+    same = docs.select(F.col("doc_id").alias(same_id), F.xxhash64("doc_id", "text").alias(same_key)).groupBy(same_id, same_key).agg(F.count(F.lit(1)).alias(same_n))
+    times = taken.join(same, F.col(id_).eqNullSafe(F.col(same_id)) & (F.col(key) == F.col(same_key)))
+    times = times.select(id_, key, F.ceil(F.col(n) / F.col(same_n)).cast("int").alias(times_))
+    joined = docs.join(times, docs["doc_id"].eqNullSafe(times[id_]) & (F.xxhash64(docs["doc_id"], docs["text"]) == times[key]))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times_)))).select(*[docs[c] for c in docs.columns])
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document, repeated rows and null ids too. Null and empty texts have size 0, a null source is one of its own and the last; ties in
+    finish time are broken by source, pass and id; an empty table gives no rows; other columns aren't read."""
     queue = mix_sources(table(spark, sf_dir, "documents"))
     grouped = queue.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0)).alias("taken"), F.min("finish").alias("first_finish"))
     return grouped.drop("row")

@@ -183,7 +183,7 @@ def candidate_edges(sets: DataFrame, runs: int) -> DataFrame:
     for x in small[1:]:
         met = met.unionByName(x)
     met = materialize(met.join(sketched, "set"), "near-met")
-    bins = max(8, met.count() // 4000)
+    bins = max(8, met.count() // 1000)
     edges.append(met.groupBy(F.pmod(F.xxhash64("node"), F.lit(bins))).applyInPandas(_compare_nodes, "a long, b long"))
     out = edges[0]
     for x in edges[1:]:

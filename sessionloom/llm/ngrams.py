@@ -32,12 +32,12 @@ def ngram_features(texts: list[str], bits: int, size: int = 3, fold_case: bool =
 def labelled_sample(docs: DataFrame, label: str, most: int, seed: str) -> DataFrame:
     """At most `most` rows of each value of `label`, taken by a hash of doc_id; adds sampled_of, the number of rows with that label.
 
-    A first cut by the hash leaves little more than `most` rows a label, whatever their number, and only these are ranked.
+    The label sizes, a row a label, are broadcast. A first cut by the hash leaves little more than `most` rows a label, whatever their number, and only these are ranked.
     """
     own = docs.where(F.col(label).isNotNull())
     size = own.groupBy(F.col(label).alias("label_")).agg(F.count(F.lit(1)).alias("sampled_of"))
     place = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    cut = own.join(size, F.col(label) == F.col("label_")).withColumn("place_", place).where(F.col("place_") * F.col("sampled_of") < 1.2 * most + 20)
+    cut = own.join(F.broadcast(size), F.col(label) == F.col("label_")).withColumn("place_", place).where(F.col("place_") * F.col("sampled_of") < 1.2 * most + 20)
     order = Window.partitionBy(label).orderBy("place_", "doc_id")
     return cut.withColumn("rank_", F.row_number().over(order)).where(F.col("rank_") <= most).drop("rank_", "place_", "label_")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, is_held_out, materialize, table, texts_of
+from .common import chunks, fresh, is_held_out, materialize, table, texts_of
 from .ngrams import labelled_sample, ngram_features, sigmoid
 from .perplexity import base_rules
 
@@ -65,7 +65,7 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> dict:
     rated = ratings.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("double").alias("grade"))
     some = labelled_sample(rated.where(~is_held_out()), "grade", sample, "quality")
     # a bounded number of rows, so that texts stay where they are
-    rows = docs.select("doc_id", "text").join(F.broadcast(some.limit(MOST_ROWS)), "doc_id").select("text", "grade", "sampled_of")
+    rows = docs.select("doc_id", "text").join(F.broadcast(some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_ROWS)), "doc_id").select("text", "grade", "sampled_of")
     rows = materialize(rows, "quality-sample")
 
     def fit(own: pd.DataFrame) -> pd.DataFrame:
@@ -80,8 +80,9 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> dict:
 
 
 def grade(docs: DataFrame, model: dict, least_tail: float = LEAST_TAIL) -> DataFrame:
-    """docs with expected_grade, tail_probability (of a grade above the lowest) and selected. Null texts count as empty. Where no grades
-    or only one was learned, the grade is that one (or 0), the probability 1."""
+    """docs with expected_grade, tail_probability (of a grade above the lowest) and selected (with "_" behind a name that docs has already). Null
+    texts count as empty. Where no grades or only one was learned, the grade is that one (or 0), the probability 1."""
+    names = fresh(docs, "expected_grade", "tail_probability", "selected")
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS weights
 
     def run(batches):
@@ -90,11 +91,11 @@ def grade(docs: DataFrame, model: dict, least_tail: float = LEAST_TAIL) -> DataF
         for part in chunks(batches, most_rows=256):
             if len(t):
                 over = sigmoid((features(texts_of(part["text"])) @ w)[:, None] - t)
-                yield part.assign(expected_grade=levels[0] + over @ np.diff(levels), tail_probability=over[:, 0], selected=over[:, 0] >= least_tail)
+                yield part.assign(**dict(zip(names, (levels[0] + over @ np.diff(levels), over[:, 0], over[:, 0] >= least_tail), strict=True)))
             else:
-                yield part.assign(expected_grade=float(levels[0]), tail_probability=1.0, selected=True)
+                yield part.assign(**dict(zip(names, (float(levels[0]), 1.0, True), strict=True)))
 
-    kinds = (("expected_grade", T.DoubleType()), ("tail_probability", T.DoubleType()), ("selected", T.BooleanType()))
+    kinds = zip(names, (T.DoubleType(), T.DoubleType(), T.BooleanType()), strict=True)
     return docs.mapInPandas(run, T.StructType([*docs.schema.fields, *(T.StructField(*k) for k in kinds)]))
 
 
