@@ -9,24 +9,30 @@ from pyspark.sql import functions as F
 
 from .common import chunks, is_held_out, materialize, table, texts_of
 from .ngrams import labelled_sample, sigmoid
-from .words import Words, mix, powers
+from .words import Words, joined, mix, powers
 
 #: Labelled documents of each label that lexicons are learned from, and rows that the classifier is fitted to, of either side.
 SAMPLE, FIT_ROWS = 8000, 8000
-#: Terms are words and beginnings of words, hashed to this many bits; so many terms are kept for and against.
+#: Terms are words (kind 0) and beginnings of words (kinds 1 to 3), hashed to this many bits with the kind in the last two; so many terms
+#: are kept for and against.
 BITS, PREFIXES, FOR, AGAINST = 20, (4, 5, 6), 4000, 1000
-#: Voters: lexicons for, lexicons against, and patterns (shouting, marks, repeated marks). 2 ** VOTERS bounds the patterns of votes.
-LEXICONS_FOR, LEXICONS_AGAINST, PATTERNS = 7, 2, 3
+#: Voters: lexicons for, of bands of the strength of their terms, from slurs to words that only lean; a lexicon against of each kind; and
+#: patterns (shouting, marks, repeated marks). 2 ** VOTERS bounds the patterns of votes.
+KINDS = 1 + len(PREFIXES)
+LEXICONS_FOR, LEXICONS_AGAINST, PATTERNS = 8, KINDS, 3
 VOTERS = LEXICONS_FOR + LEXICONS_AGAINST + PATTERNS
 _GAPS = np.zeros(256, bool)
 _GAPS[:128] = [not chr(c).isalpha() for c in range(128)]
+_CAPITAL, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_CAPITAL[65:91] = True
+_MARK[list(b"#*$%&")] = True
 
 
 def _terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Term and text of every word and of every word's beginnings."""
     words = Words([t.lower() for t in texts], _GAPS)
-    shift = np.uint64(64 - BITS)
-    terms, docs = [words.hash >> shift], [words.doc]
+    shift, two = np.uint64(66 - BITS), np.uint64(2)
+    terms, docs = [words.hash >> shift << two], [words.doc]
     power = powers(max(PREFIXES) + 1)
     part = np.zeros(len(words.hash), np.uint64)
     for k in range(max(PREFIXES)):
@@ -34,13 +40,13 @@ def _terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         part = part + (words.data[at].astype(np.uint64) + np.uint64(1)) * power[k]
         if k + 1 in PREFIXES:
             long = words.length > k + 1
-            terms.append(mix(part[long] + np.uint64(k + 1)) >> shift)
+            terms.append((mix(part[long] + np.uint64(k + 1)) >> shift << two) + np.uint64(1 + PREFIXES.index(k + 1)))
             docs.append(words.doc[long])
     return np.concatenate(terms).astype(np.int64), np.concatenate(docs)
 
 
 def learn_terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Term numbers that speak for toxicity and against it, in (text, toxic); FOR + AGAINST at most."""
+    """Term numbers that speak for toxicity and against it, in (text, toxic), the strongest first; FOR + AGAINST at most."""
 
     def count(batches):
         n = np.zeros((2, 1 << BITS), np.int64)
@@ -60,7 +66,19 @@ def learn_terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rated = materialize(counts.withColumn("odds", odds).where("(n1 >= 5 and odds >= 2) or (n0 >= 20 and odds <= -1.5)"), "toxic-terms")
     up = rated.where("odds > 0").orderBy(F.desc(F.col("odds") * F.sqrt("n1")), "term").limit(FOR).toPandas()["term"]
     down = rated.where("odds < 0").orderBy(F.asc(F.col("odds") * F.sqrt("n0")), "term").limit(AGAINST).toPandas()["term"]
-    return np.sort(up.to_numpy(np.int64)), np.sort(down.to_numpy(np.int64))
+    return up.to_numpy(np.int64), down.to_numpy(np.int64)
+
+
+def _shares(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the shares of capitals, of marks, and of double exclamation marks among its bytes."""
+    data, ends = joined([t.encode("utf-8", "surrogatepass") for t in texts])
+    starts = np.concatenate(([0], ends[:-1]))
+    size = np.maximum(ends - starts - 1, 1)
+    of = lambda flags: np.add.reduceat(flags, starts, dtype=np.int64) / size
+    bang = data == 33
+    bang[1:] &= bang[:-1]
+    bang[0] = False
+    return of(_CAPITAL[data]), of(_MARK[data]), of(bang)
 
 
 def votes(docs: DataFrame, up: np.ndarray, down: np.ndarray) -> DataFrame:
@@ -73,7 +91,7 @@ def votes(docs: DataFrame, up: np.ndarray, down: np.ndarray) -> DataFrame:
         every = np.concatenate((up, down))
         order = np.argsort(every, kind="stable")
         places = every[order]
-        voter = np.concatenate((mix(up.astype(np.uint64)) % np.uint64(LEXICONS_FOR), LEXICONS_FOR + mix(down.astype(np.uint64)) % np.uint64(LEXICONS_AGAINST))).astype(np.int64)
+        voter = np.concatenate((np.arange(len(up)) * LEXICONS_FOR // max(len(up), 1), LEXICONS_FOR + (down & 3))).astype(np.int64)
         for part in chunks(batches):
             texts = texts_of(part["text"])
             term, doc = _terms(texts)
@@ -86,44 +104,62 @@ def votes(docs: DataFrame, up: np.ndarray, down: np.ndarray) -> DataFrame:
                 np.bitwise_or.at(vote, own, 1 << voter[what])
                 for k, got in zip(np.unique(own), np.split(what, np.flatnonzero(np.diff(own)) + 1), strict=True):
                     hits[k] = got
-            for k, t in enumerate(texts):
-                n = max(len(t), 1)
-                signs = (sum(map(str.isupper, t)) > 0.3 * n, sum(map(t.count, "#*$%&")) > 0.05 * n, t.count("!!") > 0.01 * n)
-                vote[k] |= sum(1 << (LEXICONS_FOR + LEXICONS_AGAINST + i) for i, s in enumerate(signs) if s)
+            for i, (share, most) in enumerate(zip(_shares(texts), (0.3, 0.05, 0.01), strict=True)):
+                vote |= (share > most).astype(np.int64) << (LEXICONS_FOR + LEXICONS_AGAINST + i)
             yield part.drop(columns="text").assign(hits=hits, vote=vote)
 
     return docs.mapInPandas(run, "doc_id long, held_out boolean, hits array<int>, vote long")
 
 
+class _Tree:
+    """P(votes) of one label: the tree of voters that tells most of how they depend on each other, each voter given the one above it."""
+
+    def __init__(self, fires: np.ndarray, weight: np.ndarray):
+        """fires: patterns by voters, 0 or 1; weight: documents with each pattern."""
+        n, one = weight.sum(), weight @ fires
+        both = (fires * weight[:, None]).T @ fires
+        cells = {(1, 1): both, (1, 0): one[:, None] - both, (0, 1): one[None] - both, (0, 0): n - one[:, None] - one[None] + both}
+        told = np.zeros_like(both)  # mutual information of each two voters
+        total = n + 4
+        for (a, b), k in cells.items():
+            p = (k + 1) / total
+            edge = lambda x, v: ((one if v else n - one) + 2) / total
+            told += p * np.log(p / (edge(0, a)[:, None] * edge(1, b)[None]))
+        v = fires.shape[1]
+        self.above, inside = np.full(v, -1), [0]
+        while len(inside) < v:  # the next voter is the one that is tied most to one inside
+            rest = [i for i in range(v) if i not in inside]
+            i, j = divmod(int(told[np.ix_(rest, inside)].argmax()), len(inside))
+            self.above[rest[i]] = inside[j]
+            inside.append(rest[i])
+        self.rate = (one + 1) / (n + 2)
+        self.given = np.array([[self.rate[i]] * 2 if j < 0 else [(cells[1, a][i, j] + 1) / (cells[1, a][i, j] + cells[0, a][i, j] + 2) for a in (0, 1)] for i, j in enumerate(self.above)])
+
+    def log_p(self, fires: np.ndarray) -> np.ndarray:
+        state = np.where(self.above >= 0, fires[:, np.maximum(self.above, 0)], 0)
+        p = self.given[np.arange(fires.shape[1]), state]
+        return np.log(np.where(fires == 1, p, 1 - p)).sum(1)
+
+
 class LabelModel:
-    """P(toxic | votes): how often each voter fires for either label, and how voters depend on each other given the label."""
+    """P(toxic | votes): a generative model of the votes given the label, fitted by expectation maximisation. Given a label voters depend on
+    each other along a tree (the one with the most mutual information), so that voters that repeat each other aren't counted twice."""
 
-    def __init__(self, patterns: np.ndarray, n: np.ndarray, toxic: np.ndarray, clean: np.ndarray, rounds: int = 25):
+    def __init__(self, patterns: np.ndarray, n: np.ndarray, toxic: np.ndarray, clean: np.ndarray, rounds: int = 25, voters: int = VOTERS):
         """patterns: vote numbers; n: documents with them; toxic, clean: learnable labelled ones among these, which anchor the labels."""
-        self.fires = (patterns[:, None] >> np.arange(VOTERS)) & 1
-        prior = lambda w: (self.fires * w[:, None]).sum(0)
-        anchor1, anchor0, of1, of0 = prior(toxic), prior(clean), toxic.sum(), clean.sum()
-        self.rate1, self.rate0 = (anchor1 + 1) / (of1 + 2), (anchor0 + 1) / (of0 + 2)
-        self.share, self.weight = (of1 + 1) / (of1 + of0 + 2), np.ones(VOTERS)
+        self.fires = (patterns[:, None] >> np.arange(voters)) & 1
+        self._fit(toxic, clean)
         for _ in range(rounds):
             p = self.posterior()
-            own1, own0 = n * p + toxic, n * (1 - p) + clean
-            self.rate1, self.rate0 = (prior(own1) + 1) / (own1.sum() + 2), (prior(own0) + 1) / (own0.sum() + 2)
-            self.share = own1.sum() / max(own1.sum() + own0.sum(), 1)
-            # voters that fire together given the label share their say
-            tied = np.zeros((VOTERS, VOTERS))
-            for own, rate in ((own1, self.rate1), (own0, self.rate0)):
-                off = self.fires - rate
-                cov = (off * own[:, None]).T @ off / max(own.sum(), 1)
-                spread = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-                tied = np.maximum(tied, np.maximum(cov / spread[:, None] / spread, 0))
-            np.fill_diagonal(tied, 0)
-            self.weight = 1 / (1 + tied.sum(1))
+            self._fit(n * p + toxic, n * (1 - p) + clean)
+
+    def _fit(self, toxic: np.ndarray, clean: np.ndarray) -> None:
+        self.yes, self.no = _Tree(self.fires, toxic), _Tree(self.fires, clean)
+        self.share = (toxic.sum() + 1) / (toxic.sum() + clean.sum() + 2)
 
     def posterior(self) -> np.ndarray:
-        yes, no = np.log(self.rate1 / self.rate0), np.log((1 - self.rate1) / (1 - self.rate0))
         share = min(max(self.share, 1e-4), 1 - 1e-4)
-        return sigmoid(np.log(share / (1 - share)) + (self.weight * np.where(self.fires == 1, yes, no)).sum(1))
+        return sigmoid(np.log(share / (1 - share)) + self.yes.log_p(self.fires) - self.no.log_p(self.fires))
 
 
 def fit_linear(hits: list[np.ndarray], vote: np.ndarray, target: np.ndarray, weight: np.ndarray, n_terms: int, steps: int = 300, rate: float = 0.05, penalty: float = 1e-5) -> np.ndarray:
@@ -154,7 +190,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     some = labelled_sample(open_, "toxic", SAMPLE, "toxicity").select("doc_id", "toxic")
     # the sample has at most 2 * SAMPLE rows, so that texts stay where they are
     sample = materialize(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic"), "toxic-sample")
-    up, down = learn_terms(sample)
+    up, down = learn_terms(sample.dropDuplicates(["text", "toxic"]))  # else copies would make their own words telling
     n_terms = len(up) + len(down)
     voted = materialize(votes(docs.select("doc_id", is_held_out().alias("held_out"), "text"), up, down), "toxic-votes")
     seen = voted.select("doc_id", "vote").join(open_, "doc_id", "left").groupBy("vote").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).toPandas().fillna(0)
@@ -188,4 +224,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """toxicity of all documents: null and empty texts have the score of no evidence, repeated rows and ties are scored alike, null doc_ids aren't
+    learned from, an empty table gives no rows, other columns aren't read."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

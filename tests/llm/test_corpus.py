@@ -453,6 +453,23 @@ def test_toxicity(spark):
     assert (toxicity.toxicity(docs(spark, ["a", None]), labels.limit(0)).toPandas().score < 0.6).all()
 
 
+def test_label_model_finds_accuracies_and_ties():
+    rng = np.random.default_rng(17)
+    y = rng.random(60_000) < 0.3
+    first = np.where(y, rng.random(len(y)) < 0.8, rng.random(len(y)) < 0.2)
+    twin = np.where(rng.random(len(y)) < 0.97, first, ~first)  # repeats the first voter
+    second, third = (np.where(y, rng.random(len(y)) < up, rng.random(len(y)) < down) for up, down in ((0.7, 0.1), (0.6, 0.2)))
+    votes = np.column_stack([first, twin, second, third]).astype(int)
+    patterns, at = np.unique((votes << np.arange(4)).sum(1), return_inverse=True)
+    known = rng.random(len(y)) < 0.02
+    count = lambda keep: np.bincount(at[keep], minlength=len(patterns)).astype(float)
+    model = toxicity.LabelModel(patterns, count(~known), count(known & y), count(known & ~y), voters=4)
+    assert np.allclose(model.yes.rate, [votes[y, k].mean() for k in range(4)], atol=0.06) and np.allclose(model.no.rate, [votes[~y, k].mean() for k in range(4)], atol=0.06)
+    assert model.yes.above[1] == 0 and model.no.above[1] == 0
+    truth = np.bincount(at, y) / np.bincount(at)  # by counting
+    assert np.abs(model.posterior() - truth)[np.bincount(at) > 300].max() < 0.12
+
+
 # media
 
 def test_media_copies(spark):
