@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .pairing import session_order
-from .sequence import trailing, up_to_here
+from .pairing import DONE, START, pair_calls, session_order
+from .sequence import PHASES, divergence, trailing, up_to_here
 
 #: Bonus points of a change of phase.
-TURNS = {("exploration", "implementation"): 0, ("planning", "review"): 5, ("review", "implementation"): 5, ("verification", "planning"): 10}
+TURNS = {("testing", "implementation"): 10, ("verification", "implementation"): 10, ("testing", "destructive"): 18, ("verification", "destructive"): 18, ("exploration", "network"): 15, ("exploration", "deployment"): 12}
 WARM_UP, OSCILLATION, OSCILLATION_POINTS, MOST_DRIFT = 5, 5, 20, 25
+#: From this divergence on it counts, with so many points for 1 and at most so many.
+DIVERGED, DIVERGENCE_POINTS, MOST_DIVERGENCE = 0.3, 25, 15
 CLEARANCE = ("public", "internal", "confidential", "secret")
 ACTIONS = ("allow", "warn", "escalate", "deny")
 
@@ -27,20 +29,44 @@ def budgets(calls: DataFrame, dims: tuple[str, ...]) -> DataFrame:
     return out
 
 
-def drift(events: DataFrame, phase: str = "phase", window: int = 20) -> DataFrame:
-    """Adds n_turns (changes of phase in the trailing window) and drift (bonus points; 0 in the first events of a session)."""
+def phase_shares(events: DataFrame, phase: str = "phase", phases: tuple[str, ...] = PHASES) -> DataFrame:
+    """One row: the share of each phase among all events that have one, as share_<phase>."""
+    return events.where(F.col(phase).isNotNull()).agg(*[(F.count(F.when(F.col(phase) == p, 1)) / F.count(F.lit(1))).alias(f"share_{p}") for p in phases])
+
+
+def drift(events: DataFrame, baseline: DataFrame | None = None, phase: str = "phase", window: int = 20, phases: tuple[str, ...] = PHASES) -> DataFrame:
+    """Adds n_turns (changes of phase in the trailing window), divergence (of the window's phases from the baseline) and drift (bonus points for
+    the last change, for many changes and for the divergence; 0 in the first events of a session).
+
+    baseline: one row of phase_shares; without it nothing diverges.
+    """
     w = session_order()
-    last = F.lag(phase).over(w)
-    turns = events.withColumn("last_phase", last).withColumn("turned", F.when(F.col("last_phase").isNotNull() & ~F.col(phase).eqNullSafe(F.col("last_phase")), 1).otherwise(0))
+    turns = events.withColumn("last_phase", F.lag(phase).over(w)).withColumn("turned", F.when(F.col("last_phase").isNotNull() & ~F.col(phase).eqNullSafe(F.col("last_phase")), 1).otherwise(0))
     # a change counts if both of its events are inside the window
     turns = turns.withColumn("n_turns", F.coalesce(F.sum("turned").over(w.rowsBetween(2 - window, 0)), F.lit(0))).withColumn("n_seen", F.count(F.lit(1)).over(trailing(window)))
+    turns = turns.withColumns({f"seen_{p}": F.count(F.when(F.col(phase) == p, 1)).over(trailing(window)) for p in phases})
+    if baseline is None:
+        turns = turns.withColumns({f"share_{p}": F.lit(0.0) for p in phases})
+    else:
+        turns = turns.crossJoin(F.broadcast(baseline))  # one row
+    apart = divergence({p: F.col(f"seen_{p}") for p in phases}, {p: F.col(f"share_{p}") for p in phases})
+    turns = turns.withColumn("divergence", apart).drop(*[f"{k}_{p}" for k in ("seen", "share") for p in phases])
     bonus = F.lit(0)
     for (a, b), points in TURNS.items():
         bonus = F.when((F.col("last_phase") == a) & (F.col(phase) == b), points).otherwise(bonus)
-    points = F.least(bonus + F.when(F.col("n_turns") > OSCILLATION, OSCILLATION_POINTS).otherwise(0), F.lit(MOST_DRIFT))
+    diverged = F.when(F.col("divergence") > DIVERGED, F.least(F.floor(F.col("divergence") * DIVERGENCE_POINTS), F.lit(MOST_DIVERGENCE))).otherwise(0)
+    points = F.least(bonus + F.when(F.col("n_turns") > OSCILLATION, OSCILLATION_POINTS).otherwise(0) + diverged, F.lit(MOST_DRIFT))
     return turns.withColumn("drift", F.when(F.col("n_seen") < WARM_UP, 0).otherwise(points).cast("long")).drop("turned", "n_seen")
 
 
+def dispatched(events: DataFrame) -> DataFrame:
+    """The events that governance looks at: a session's begin and end, every result, and starts with a call id that no result will answer
+    (orphans and displaced ones). Other starts are seen with their results."""
+    open_ = pair_calls(events).where(F.col("status").isin("orphan", "displaced") & F.col("call_id").isNotNull()).select(F.col("start_id").alias("id"))
+    kind = F.col("kind")
+    return events.where((kind == DONE) | kind.startswith("session.")).unionByName(events.where(kind == START).join(open_, "id", "left_semi"))
+
+
 def clearance_rank(path: Column) -> Column:
     """Place in CLEARANCE of what a path or command touches."""
     return F.when(path.rlike(r"id_rsa|\.pem|/etc/shadow|\.env"), 3).when(path.rlike("/etc/passwd|/etc/cron"), 2).when(path.rlike("src|README"), 1).otherwise(0)
@@ -55,11 +81,19 @@ def taint(calls: DataFrame, text: str = "command") -> DataFrame:
     return ranked.withColumns({"taint": F.max("rank").over(up_to_here()).cast("long"), "violation": (F.coalesce(before, F.lit(0)) >= 2) & writes})
 
 
-def content_changes(writes: DataFrame, key: str, order: list[str], content: str) -> DataFrame:
-    """Adds hash, last_hash and tampered: the content differs from what was last seen under the key."""
-    w = Window.partitionBy(key).orderBy(*order)
-    hashed = writes.withColumn("hash", F.sha2(F.col(content), 256))
-    return hashed.withColumn("last_hash", F.lag("hash").over(w)).withColumn("tampered", F.col("last_hash").isNotNull() & (F.col("last_hash") != F.col("hash")))
+def content_changes(writes: DataFrame, key: str, order: str, content: str, block: int = 4096) -> DataFrame:
+    """Adds hash, last_hash and tampered: the content differs from what was last seen under the key, in the order of a number (null first).
+
+    Each key is cut into ranges of `block` of that number; a range's first row takes the last hash of the range before, so a key that has
+    most of the rows is many groups.
+    """
+    hashed = writes.withColumn("hash", F.sha2(F.col(content), 256)).withColumn("block_", F.floor(F.col(order) / block))
+    ends = hashed.groupBy(key, "block_").agg(F.max(F.struct(order, "hash"))["hash"].alias("end_"))
+    before = ends.select(F.col(key).alias("key_"), F.col("block_").alias("of_"), F.lag("end_").over(Window.partitionBy(key).orderBy(F.col("block_").asc_nulls_first())).alias("carried_"))
+    inside = F.lag(F.struct("hash")).over(Window.partitionBy(key, "block_").orderBy(F.col(order).asc_nulls_first(), "hash"))
+    rows = hashed.withColumn("inside_", inside).join(before, F.col(key).eqNullSafe(F.col("key_")) & F.col("block_").eqNullSafe(F.col("of_")))
+    rows = rows.withColumn("last_hash", F.when(F.col("inside_").isNotNull(), F.col("inside_.hash")).otherwise(F.col("carried_")))
+    return rows.withColumn("tampered", F.coalesce(F.col("last_hash") != F.col("hash"), F.lit(False))).drop("block_", "key_", "of_", "carried_", "inside_")
 
 
 def first_delivery(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:

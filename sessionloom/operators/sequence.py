@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -135,45 +133,55 @@ class PhaseFold:
         return self.current
 
 
-class BoundaryFold:
-    """Labels of gaps from their scores: the coarser class claims a gap, and a class is silent for some gaps after it has spoken."""
+def decoded(scored: DataFrame, thresholds: dict[str, float], least_gaps: dict[str, int]) -> DataFrame:
+    """Adds boundary to scored events (session_id, ts, id, ..., and a score named after each class). The first class of `thresholds` whose score
+    reaches its threshold claims the event; it is `noise` if that class spoke fewer than its least gap of events ago, or if none claims
+    it. The events of a session are folded in their order; a null score is 0."""
+    names = list(thresholds)
+    claim = F.coalesce(*[F.when(F.coalesce(F.col(n), F.lit(0.0)) >= thresholds[n], n) for n in names], F.lit("noise"))
+    kinds = {"ts": "", "id": ""} | {f.name: f.dataType.simpleString() for f in scored.schema.fields if f.name != "session_id"}
+    events = F.array_sort(F.collect_list(F.struct(*kinds, claim.alias("claim"))))
+    none = F.array().cast(f"array<struct<{','.join(f'{n}:{k}' for n, k in kinds.items())},boundary:string>>")
+    start = F.struct(none.alias("out"), F.lit(0).alias("at"), *[F.lit(-(10**9)).alias(n) for n in names])
 
-    def __init__(self, thresholds: dict[str, float], least_gaps: dict[str, int]):
-        self.thresholds, self.least_gaps, self.at, self.last = thresholds, least_gaps, -1, {}
+    def step(state, e):
+        speaks = {n: (e["claim"] == n) & (state["at"] - state[n] >= least_gaps.get(n, 1)) for n in names}
+        label = F.coalesce(*[F.when(s, n) for n, s in speaks.items()], F.lit("noise"))
+        own = F.struct(*[e[c].alias(c) for c in kinds], label.alias("boundary"))
+        return F.struct(F.concat(state["out"], F.array(own)).alias("out"), (state["at"] + 1).alias("at"), *[F.when(s, state["at"]).otherwise(state[n]).alias(n) for n, s in speaks.items()])
 
-    def push(self, scores: dict[str, float]) -> str:
-        self.at += 1
-        for name, threshold in self.thresholds.items():
-            if scores.get(name, 0.0) >= threshold:
-                if name in self.last and self.at - self.last[name] < self.least_gaps.get(name, 1):
-                    return "noise"
-                self.last[name] = self.at
-                return name
-        return "noise"
+    return scored.groupBy("session_id").agg(F.aggregate(events, start, step)["out"].alias("out")).select("session_id", F.inline("out"))
 
 
 def folded(events: DataFrame) -> DataFrame:
-    """session_id, id, tracked_phase, change, run_length, boundary: the three folds over each session's phases, in order. A session is one
-    group, since each step depends on what was emitted before; sessions run in parallel."""
+    """session_id, id, tracked_phase, change, run_length, boundary: the three folds over each session's phases, in order. Each step depends on
+    what was emitted before, so a session is folded as a whole; sessions run in parallel, many to a group by their hash."""
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "id"], kind="stable")
-        points, phases, bounds = ChangePoint(len(PHASES)), PhaseFold(), BoundaryFold({"activity": 0.5, "step": 0.1}, {"activity": 8, "step": 3})
         out = []
-        for key, phase in zip(rows["id"], rows["phase"], strict=True):
-            phase = phase if isinstance(phase, str) else PHASES[0]
-            change, length = points.push(PHASES.index(phase))
-            out.append((rows["session_id"].iat[0], key, phases.push(phase), round(change, 9), round(length, 9), bounds.push({"activity": change, "step": change})))
-        return pd.DataFrame(out, columns=["session_id", "id", "tracked_phase", "change", "run_length", "boundary"])
-
-    return events.select("session_id", "ts", "id", "phase").groupBy("session_id").applyInPandas(fold, "session_id long, id long, tracked_phase string, change double, run_length double, boundary string")
-
-
-def js_divergence(p: dict[str, float], q: dict[str, float], eps: float = 1e-10) -> float:
-    """Jensen-Shannon divergence in nats; a missing key counts as eps."""
-    total = 0.0
-    for k in {*p, *q}:
-        a, b = p.get(k, eps), q.get(k, eps)
-        m = (a + b) / 2
-        total += (a * math.log(a / m) if a > eps else 0.0) + (b * math.log(b / m) if b > eps else 0.0)
-    return total / 2
+        for session, own in rows.sort_values(["session_id", "ts", "id"], kind="stable").groupby("session_id", sort=False):
+            points, phases = ChangePoint(len(PHASES)), PhaseFold()
+            for key, ts, phase in zip(own["id"], own["ts"], own["phase"], strict=True):
+                phase = phase if isinstance(phase, str) else PHASES[0]
+                change, length = points.push(PHASES.index(phase))
+                out.append((session, key, ts, phases.push(phase), round(change, 9), round(length, 9)))
+        return pd.DataFrame(out, columns=["session_id", "id", "ts", "tracked_phase", "change", "run_length"])
+
+    own = events.select("session_id", "ts", "id", "phase")
+    bins = F.pmod(F.xxhash64("session_id"), F.lit(4 * int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
+    tracked = own.groupBy(bins).applyInPandas(fold, f"session_id {kinds['session_id']}, id {kinds['id']}, ts {kinds['ts']}, tracked_phase string, change double, run_length double")
+    bounds = decoded(tracked.withColumns({"activity": F.col("change"), "step": F.col("change")}), {"activity": 0.5, "step": 0.1}, {"activity": 8, "step": 3})
+    return bounds.select("session_id", "id", "tracked_phase", "change", "run_length", "boundary")
+
+
+def divergence(counts: dict[str, Column], shares: dict[str, Column]) -> Column:
+    """Jensen-Shannon divergence, in nats, of counted categories from given shares; 0 where there is nothing to compare."""
+    total = sum(counts.values(), F.lit(0))
+    part = lambda x, y: F.when(x > 0, x * F.ln(x / ((x + y) / 2))).otherwise(0.0)
+    out = F.lit(0.0)
+    for name, n in counts.items():
+        p, q = n / total, F.coalesce(shares[name], F.lit(0.0))
+        out = out + (part(p, q) + part(q, p)) / 2
+    known = sum((F.coalesce(q, F.lit(0.0)) for q in shares.values()), F.lit(0.0)) > 0
+    return F.when((total > 0) & known, out).otherwise(0.0)

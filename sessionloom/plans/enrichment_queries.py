@@ -105,7 +105,12 @@ def risk_patterns(read):
     return session_events(read("events")).where("kind = 'tool.call.started'").select("id", risk.pattern_bonus(F.col("command")).alias("bonus"))
 
 
-@query("hazards", f"WITH {EV} SELECT id, regexp_matches(command, '(^|\\s)(dd|tee|cp)\\b.*/dev/(sd|nvme|hd)[a-z0-9]*') AS raw_device, regexp_matches(command, '\\bmkfs(\\.|\\s)') AS fs_format, regexp_matches(command, '/etc/cron|\\.bashrc|systemd/system') AS persistence FROM ev")
+_PERSISTENT = "(/etc/cron|/var/spool/cron|/etc/systemd/|/etc/profile|(~|/root|/home/[^/\\s]+)/\\.(bashrc|profile|zshrc))"
+
+
+@query("hazards", f"""WITH {EV} SELECT id, regexp_matches(command, '(?i)(\\bof=|>>?\\s*)/dev/(sd|nvme|disk|hd|vd|mmcblk|xvd)') AS raw_device,
+ regexp_matches(command, '(^|[|;&]\\s*)(mkfs(\\.\\w+)?|mke2fs|mkswap|wipefs)\\b') AS fs_format, regexp_matches(command, '>>?\\s*{_PERSISTENT}|\\b(tee|cp|mv|install|ln)\\b.*{_PERSISTENT}|(^|[|;&]\\s*)crontab\\b') AS persistence,
+ regexp_matches(command, ':\\s*\\(\\)\\s*\\{{[^{{}}]*:[^{{}}]*\\|[^{{}}]*:[^{{}}]*&[^{{}}]*\\}}\\s*;\\s*:') AS fork_bomb FROM ev""")
 def hazards(read):
     return session_events(read("events")).select("id", *[x.alias(n) for n, x in risk.hazards(F.col("command")).items()])
 

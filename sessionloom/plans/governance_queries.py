@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import governance as gov
 from ..operators import risk
-from ..operators.sequence import inherit_phase, numbered
-from .enrichment_queries import _GOLDEN
+from ..operators.sequence import PHASES, inherit_phase, numbered
+from .enrichment_queries import _GOLDEN, PAIRED
 from .lens import COMMANDS, EV, session_events
 from .register import query
 from .sequence_queries import PHASED, W
@@ -19,9 +19,9 @@ def calls(read):
     return session_events(read("events")).where("kind in ('tool.call.started', 'tool.call.completed')")
 
 
-@query("gov_dispatch", f"WITH {EV} SELECT id, kind FROM ev WHERE kind = 'tool.call.completed' OR kind LIKE 'session.%'")
+@query("gov_dispatch", f"WITH {PAIRED} SELECT id, kind FROM ev WHERE kind = 'tool.call.completed' OR kind LIKE 'session.%' UNION ALL SELECT start_id AS id, 'tool.call.started' AS kind FROM paired WHERE status IN ('orphan', 'displaced') AND call_id IS NOT NULL")
 def gov_dispatch(read):
-    return session_events(read("events")).where("kind = 'tool.call.completed' or kind like 'session.%'").select("id", "kind")
+    return gov.dispatched(session_events(read("events"))).select("id", "kind")
 
 
 @query("budget", f"WITH {CALLS} SELECT id, count(*) OVER (PARTITION BY session_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS n_calls, count(*) OVER (PARTITION BY session_id, tool ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS n_tool FROM calls")
@@ -41,14 +41,25 @@ def cost_ceiling(read):
 
 
 _TURNS = " ".join(f"WHEN lp = '{a}' AND phase = '{b}' THEN {n}" for (a, b), n in reversed(gov.TURNS.items()))
-DRIFT = f"""{PHASED}, l AS (SELECT *, lag(phase) OVER {W} AS lp FROM ph), t AS (SELECT *, CASE WHEN lp IS NOT NULL AND phase IS DISTINCT FROM lp THEN 1 ELSE 0 END AS turned FROM l),
- n AS (SELECT *, sum(turned) OVER (PARTITION BY session_id ORDER BY ts, id ROWS BETWEEN 18 PRECEDING AND CURRENT ROW) AS n_turns, count(*) OVER (PARTITION BY session_id ORDER BY ts, id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS seen FROM t),
- dr AS (SELECT session_id, ts, id, command, kind, CAST(n_turns AS BIGINT) AS n_turns, CAST(CASE WHEN seen < 5 THEN 0 ELSE least(25, CASE {_TURNS} ELSE 0 END + CASE WHEN n_turns > 5 THEN 20 ELSE 0 END) END AS BIGINT) AS drift FROM n)"""
+_SEEN = ", ".join(f"count(*) FILTER (phase = '{p}') OVER (PARTITION BY session_id ORDER BY ts, id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS c_{p}" for p in PHASES)
+_ALL = " + ".join(f"c_{p}" for p in PHASES)
+_BASE = ", ".join(f"count(*) FILTER (phase = '{p}') / count(phase) AS q_{p}" for p in PHASES)
+_JS = " + ".join(f"CASE WHEN c_{p} > 0 THEN c_{p} / w * ln(c_{p} / w / ((c_{p} / w + q_{p}) / 2)) / 2 ELSE 0 END + CASE WHEN q_{p} > 0 THEN q_{p} * ln(q_{p} / ((c_{p} / w + q_{p}) / 2)) / 2 ELSE 0 END" for p in PHASES)
+DRIFT = f"""{PHASED}, base AS (SELECT {_BASE} FROM ph WHERE phase IS NOT NULL), l AS (SELECT *, lag(phase) OVER {W} AS lp FROM ph), t AS (SELECT *, CASE WHEN lp IS NOT NULL AND phase IS DISTINCT FROM lp THEN 1 ELSE 0 END AS turned FROM l),
+ n AS (SELECT *, sum(turned) OVER (PARTITION BY session_id ORDER BY ts, id ROWS BETWEEN 18 PRECEDING AND CURRENT ROW) AS n_turns, count(*) OVER (PARTITION BY session_id ORDER BY ts, id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS seen, {_SEEN} FROM t),
+ js AS (SELECT *, CASE WHEN w > 0 THEN {_JS} ELSE 0 END AS apart FROM (SELECT *, {_ALL} AS w FROM n), base),
+ dr AS (SELECT session_id, ts, id, command, kind, CAST(n_turns AS BIGINT) AS n_turns, CAST(CASE WHEN seen < 5 THEN 0 ELSE least(25, CASE {_TURNS} ELSE 0 END + CASE WHEN n_turns > 5 THEN 20 ELSE 0 END + CASE WHEN apart > 0.3 THEN least(15, floor(25 * apart)) ELSE 0 END) END AS BIGINT) AS drift FROM js)"""
+
+
+def drifting(read):
+    """Events with their drift from the phases of all sessions."""
+    events = inherit_phase(session_events(read("events")))
+    return gov.drift(events, gov.phase_shares(events))
 
 
 @query("drift", f"WITH {DRIFT} SELECT id, n_turns, drift FROM dr")
 def drift(read):
-    return gov.drift(inherit_phase(session_events(read("events")))).select("id", "n_turns", "drift")
+    return drifting(read).select("id", "n_turns", "drift")
 
 
 RANK = "CASE WHEN regexp_matches(command, 'id_rsa|\\.pem|/etc/shadow|\\.env') THEN 3 WHEN regexp_matches(command, '/etc/passwd|/etc/cron') THEN 2 WHEN regexp_matches(command, 'src|README') THEN 1 ELSE 0 END"
@@ -66,7 +77,7 @@ def ifc_label(read):
 
 @query("integrity", "WITH h AS (SELECT source, doc_id, sha256(text) AS hash FROM documents), l AS (SELECT *, lag(hash) OVER (PARTITION BY source ORDER BY doc_id) AS last_hash FROM h) SELECT doc_id, hash, last_hash IS NOT NULL AND last_hash <> hash AS tampered FROM l")
 def integrity(read):
-    return gov.content_changes(read("documents").select("doc_id", "source", "text"), "source", ["doc_id"], "text").select("doc_id", "hash", "tampered")
+    return gov.content_changes(read("documents").select("doc_id", "source", "text"), "source", "doc_id", "text").select("doc_id", "hash", "tampered")
 
 
 @query("mcp_drift", f"WITH {EV}, p AS (SELECT id, tool, session_id, ts, sha256(command) AS h FROM ev WHERE starts_with(tool, 'mcp__')), f AS (SELECT *, first_value(h) OVER (PARTITION BY tool ORDER BY ts, id) AS h0 FROM p) SELECT tool, count(*) AS n_seen, count(*) FILTER (h <> h0) AS n_drifted FROM f GROUP BY tool")
@@ -89,9 +100,9 @@ def event_key(read):
     return session_events(read("events")).select("id", key.alias("event_key"))
 
 
-@query("canonical_hash", f"""WITH {EV} SELECT id, sha256('{{"command":["' || command || '"],"tool":["' || tool || '"]}}') AS hash FROM ev WHERE kind LIKE 'tool.%' AND NOT contains(command, '"')""")
+@query("canonical_hash", f"""WITH {EV} SELECT id, sha256('{{"command":[' || to_json(command) || '],"tool":[' || to_json(tool) || ']}}') AS hash FROM ev WHERE kind LIKE 'tool.%'""")
 def canonical_hash(read):
-    rows = session_events(read("events")).where("kind like 'tool.%'").where(~F.col("command").contains('"'))
+    rows = session_events(read("events")).where("kind like 'tool.%'")
     return rows.select("id", gov.action_hash({"tool": F.col("tool"), "command": F.col("command")}).alias("hash"))
 
 
@@ -147,12 +158,15 @@ def protected_path(read):
     return read("pages").select("page_id", (F.col("url").rlike(gov.glob_pattern("http://*/en/**")) | F.col("url").rlike(gov.glob_pattern("https://*/en/**"))).alias("protected"))
 
 
-@query("risk_gov", f"WITH {DRIFT}, g(i, score) AS (VALUES {_GOLDEN}), s AS (SELECT dr.id, least(100, score + drift) AS score FROM dr JOIN ev ON dr.id = ev.id JOIN g ON ev.k % {len(COMMANDS)} = i WHERE dr.kind = 'tool.call.started') SELECT id, CAST(score AS BIGINT) AS score, CASE WHEN score >= 85 THEN 'critical' WHEN score >= 65 THEN 'danger' WHEN score >= 40 THEN 'caution' ELSE 'safe' END AS level FROM s")
+@query("risk_gov", f"""WITH {DRIFT}, g(i, score) AS (VALUES {_GOLDEN}), c AS (SELECT ev.*, max({RANK}) OVER (PARTITION BY session_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ev WHERE kind IN ('tool.call.started', 'tool.call.completed')),
+ s AS (SELECT dr.id, least(100, score + drift + CASE WHEN coalesce(before, 0) >= 2 AND regexp_matches(c.command, '> |curl|nc |wget|rm |dd ') THEN 10 ELSE 0 END) AS score FROM dr JOIN c ON dr.id = c.id JOIN g ON c.k % {len(COMMANDS)} = i WHERE dr.kind = 'tool.call.started')
+SELECT id, CAST(score AS BIGINT) AS score, CASE WHEN score >= 85 THEN 'critical' WHEN score >= 65 THEN 'danger' WHEN score >= 40 THEN 'caution' ELSE 'safe' END AS level FROM s""")
 def risk_gov(read):
-    rows = risk.shell_risk(gov.drift(inherit_phase(session_events(read("events")))).where("kind = 'tool.call.started'"))
+    """Calls' risk with the bonuses for drift and for flows of confidential data; the given tables show nothing of the others."""
+    rows = gov.taint(drifting(read).where("kind in ('tool.call.started', 'tool.call.completed')")).where("kind = 'tool.call.started'")
     none = F.lit(0)
-    score, level = risk.governed(F.col("score"), F.col("drift"), none, none, none, none)
-    return rows.select("id", score.alias("score"), level.alias("level"))
+    score, level = risk.governed(F.col("score"), F.col("drift"), none, none, none, F.col("violation").cast("int"))
+    return risk.shell_risk(rows).select("id", score.alias("score"), level.alias("level"))
 
 
 @query("pii_scan", r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS n_email, len(regexp_extract_all(text, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b')) AS n_ssn, len(regexp_extract_all(text, 'AKIA[0-9A-Z]{16}')) AS n_aws FROM documents""")
@@ -181,7 +195,7 @@ def pii_spans(read):
  v AS (SELECT c.id, n_calls, drift, coalesce(before, 0) >= 2 AND regexp_matches(c.command, '> |curl|nc |wget|rm |dd ') AS violation FROM c JOIN dr ON c.id = dr.id)
 SELECT id, concat_ws(',', CASE WHEN n_calls >= 20 THEN 'budget_pressure' END, CASE WHEN violation THEN 'ifc_violation' END, CASE WHEN drift > 0 THEN 'phase_anomaly' END) AS labels, CAST(CASE WHEN violation THEN 10 ELSE 0 END + least(drift, 20) + CASE WHEN n_calls >= 20 THEN 5 ELSE 0 END AS BIGINT) AS points FROM v""")
 def label(read):
-    rows = gov.drift(inherit_phase(session_events(read("events")))).where("kind in ('tool.call.started', 'tool.call.completed')")
+    rows = drifting(read).where("kind in ('tool.call.started', 'tool.call.completed')")
     return gov.labels(gov.taint(gov.budgets(rows, ()))).select("id", F.array_join("labels", ",").alias("labels"), "points")
 
 

@@ -1,13 +1,14 @@
 """Operators on small inputs: ties, nulls, empty tables, ordered folds, streams."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionloom.functions import pii, records
+from sessionloom.functions import pii, records, shell
 from sessionloom.operators import governance, pairing, risk, sequence
 from sessionloom.plans.enrichment_queries import GOLDEN
 from sessionloom.plans.lens import COMMANDS
@@ -54,10 +55,11 @@ def test_the_tracked_phase_needs_two_in_a_row():
     assert [fold.push(p) for p in "aabbbab"] == list("aaaabbb")
 
 
-def test_a_boundary_is_silent_for_a_while():
-    fold = sequence.BoundaryFold({"activity": 0.5, "step": 0.1}, {"activity": 3, "step": 2})
-    got = [fold.push({"activity": a, "step": 0.2}) for a in (0.9, 0.9, 0.1, 0.1, 0.9)]
-    assert got == ["activity", "noise", "step", "noise", "activity"]
+def test_a_boundary_is_silent_for_a_while(spark):
+    rows = [(1, T0, i, a, 0.2) for i, a in enumerate((0.9, 0.9, 0.1, 0.1, 0.9))] + [(2, T0, 9, None, None)]
+    scored = spark.createDataFrame(rows, "session_id int, ts timestamp, id long, activity double, step double")
+    got = sequence.decoded(scored, {"activity": 0.5, "step": 0.1}, {"activity": 3, "step": 2}).orderBy("id").collect()
+    assert [r.boundary for r in got] == ["activity", "noise", "step", "noise", "activity", "noise"]
 
 
 def test_globs(spark):
@@ -85,9 +87,63 @@ def test_check_digits(spark):
     assert [(r.doc_id, r.start, r.span) for r in pii.card_spans(rows).collect()] == [(1, 6, "4111 1111 1111 1111")]
 
 
-def test_divergence():
-    assert sequence.js_divergence({"a": 1.0}, {"a": 1.0}) == 0
-    assert 0.6 < sequence.js_divergence({"a": 1.0}, {"b": 1.0}) < 0.7
+def test_cards_behind_other_digits_and_twice(spark):
+    card = "4111 1111 1111 1111"
+    rows = spark.createDataFrame([(1, f"order 12 {card} x {card}"), (2, f"1234 {card}"), (3, "4111111111111111."), (4, "378282246310005 3782-822463-10005"), (5, "14111111111111111")], "doc_id int, text string")
+    got = sorted((r.doc_id, r.start, r.span) for r in pii.card_spans(rows).collect())
+    assert got == [(1, 10, card), (1, 32, card), (2, 6, card), (3, 1, "4111111111111111"), (4, 1, "378282246310005"), (4, 17, "3782-822463-10005")]
+
+
+def test_divergence(spark):
+    rows = spark.createDataFrame([(2, 2, 0.5, 0.5), (4, 0, 0.0, 1.0), (0, 0, 0.5, 0.5), (3, 1, 0.25, 0.75)], "a int, b int, p double, q double")
+    got = [r[0] for r in rows.select(sequence.divergence({"a": F.col("a"), "b": F.col("b")}, {"a": F.col("p"), "b": F.col("q")})).collect()]
+    assert got[0] == 0 and abs(got[1] - math.log(2)) < 1e-12 and got[2] == 0
+    assert abs(got[3] - (0.75 * math.log(0.75 / 0.5) + 0.25 * math.log(0.25 / 0.5))) < 1e-12
+
+
+def test_drift_counts_turns_and_divergence(spark):
+    phases = ["exploration"] * 6 + ["verification", "implementation"]
+    events = spark.createDataFrame([(1, T0 + dt.timedelta(seconds=i), i, p) for i, p in enumerate(phases)], "session_id int, ts timestamp, id long, phase string")
+    plain = [r.drift for r in governance.drift(events).orderBy("id").collect()]
+    assert plain == [0, 0, 0, 0, 0, 0, 0, 10]
+    base = spark.createDataFrame([(0.0, 0.0, 1.0, 0.0, 0.0)], ", ".join(f"share_{p} double" for p in sequence.PHASES))
+    got = [r.drift for r in governance.drift(events, base).orderBy("id").collect()]
+    assert got[:4] == [0] * 4 and got[4] == 15 and got[7] == 10 + min(15, int(25 * (0.5 * math.log(1 / (9 / 16)) + 0.5 * (0.75 * math.log(2) + 0.125 * math.log(2) + 0.125 * math.log(0.125 / (9 / 16))))))
+
+
+def test_starts_without_result_are_dispatched(spark):
+    kinds = [("session.started", None), ("tool.call.started", 1), ("tool.call.started", 1), ("tool.call.completed", 1), ("tool.call.started", 2), ("tool.call.started", None), ("message.user", None)]
+    events = spark.createDataFrame([(1, T0 + dt.timedelta(seconds=i), i, k, c, "bash", 0.0) for i, (k, c) in enumerate(kinds)], "session_id int, ts timestamp, id long, kind string, call_id int, tool string, value double")
+    assert sorted(r.id for r in governance.dispatched(events).collect()) == [0, 1, 3, 4]
+
+
+def test_content_changes_go_over_ranges(spark):
+    rows = [(s, i, f"v{i // 3 % 4}") for s in ("a", "b", None) for i in range(50)] + [("a", None, "v0")]
+    table = spark.createDataFrame(rows, "s string, i long, t string")
+    one, cut = (sorted((str(r.s), str(r.i), str(r.last_hash), r.tampered) for r in governance.content_changes(table, "s", "i", "t", block).collect()) for block in (1000, 7))
+    assert len(cut) == len(rows) and cut == one and any(r[3] for r in cut)
+
+
+HAZARDS = {
+    "dd if=/dev/zero of=/dev/sda": "raw_device", "echo x > /dev/sda": "raw_device", "cat a >> /dev/nvme0n1": "raw_device", "dd if=/dev/sda of=b.img": "", "echo x > /dev/null": "", "ls /dev/sda": "",
+    "mkfs.ext4 /dev/sda1": "fs_format", "sudo -u root mkswap /dev/sdb": "fs_format", "A=1 wipefs -a /dev/sdb": "fs_format", "/sbin/mke2fs /dev/sdb": "fs_format", "parted /dev/sda mklabel gpt": "fs_format", "parted -l": "", "echo mkfs": "", "true; mkfs /dev/sdb": "fs_format", "echo 'a; mkfs b'": "",
+    "echo x > /etc/cron.d/x": "persistence", "cat /etc/cron.d/x": "", "cp a ~/.bashrc": "persistence", "crontab f": "persistence", "env crontab f": "persistence", "echo a | tee -a /etc/profile": "persistence", "cat ~/.bashrc": "",
+    ":(){ :|:& };:": "fork_bomb", "b(){ b|b& };b": "fork_bomb", "f(){ echo; };f": "", "ls | grep a &": "",
+}
+
+
+def test_hazards(spark):
+    rows = spark.createDataFrame([(c,) for c in [*HAZARDS, None]], "c string")
+    for r in rows.select("c", *[x.alias(n) for n, x in risk.hazards(F.col("c")).items()]).collect():
+        assert " ".join(n for n, x in r.asDict().items() if n != "c" and x) == HAZARDS.get(r.c, ""), r
+
+
+def test_shell_words(spark):
+    lines = {"sudo env A='b c' rm -rf \"x y\"": ["rm"], "time nohup /usr/bin/git status && FOO=1 make | tee log": ["git", "make", "tee"], "a 2>&1 | b": ["a", "b"], "echo 'x | y' ; \"my cmd\" z": ["echo", "my cmd"], "nice -n 5 timeout 3s cat f": ["cat"], "": []}
+    got = {r.c: r.b for r in spark.createDataFrame([(c,) for c in lines], "c string").select("c", shell.binaries(F.col("c")).alias("b")).collect()}
+    assert got == lines
+    words = spark.createDataFrame([("rm -rf \"x y\" a\\ b'c d'",)], "c string").select(shell.words(F.col("c"))).first()[0]
+    assert words == ["rm", "-rf", "x y", "a bc d"]
 
 
 def test_replay_and_sinks(spark, tmp_path):
