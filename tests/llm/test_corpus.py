@@ -590,3 +590,38 @@ def test_pipeline(spark):
     for r in packed[packed.piece == 0].itertuples():
         times[r.doc_id] += 1
     assert sum(times.values()) == rows[4] and max(times.values()) <= mix.MOST_PASSES
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_takes_odd_tables(spark, tmp_path, name):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, columns with clashing names; and no rows at all."""
+    rows = [(i, words_of(i, 60), "en" if i % 2 else "de", f"s{i % 3}") for i in range(40)]
+    rows += [(None, words_of(1, 60), None, None), (None, None, "en", "s1"), (50, None, None, None), (51, "", "en", None), (52, " \n\t", None, "s0"), (53, words_of(7, 60_000), "en", "s0")]
+    rows += [(7, words_of(7, 60), "en", "s1")] * 3 + [(60, "\n".join(["same line"] * 50), "xx", "s2")] * 2
+    table = docs(spark, [r[1] for r in rows], [r[3] for r in rows], [r[2] for r in rows], [r[0] for r in rows])
+    for c in ("row_key", "size", "held_out", "score", "piece", "item", "node", "group", "image", "ids", "n_lines"):
+        table = table.withColumn(c, F.lit("own"))
+    labels = spark.createDataFrame([(i, i % 2, i % 3 // 2) for i in range(40)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    for folder, n in (("odd", None), ("none", 0)):
+        for what, t in (("documents", table), ("labels", labels)):
+            (t if n is None else t.limit(n)).write.parquet(f"{tmp_path}/{folder}/{what}.parquet")
+    got, none = (QUERIES[name](spark, f"{tmp_path}/{folder}") for folder in ("odd", "none"))
+    assert none.count() == 0 and none.columns == got.columns
+    found = got.toPandas()
+    if name in ("op4_best_fit_packing", "op8_media_copies"):  # rows aren't documents
+        own = found[found.piece == 0] if "piece" in found else found
+        assert len(own) == len(rows) if "piece" in found else len(own) > 0
+    else:
+        assert len(found) == len(rows) and found.doc_id.isna().sum() == 2
+        again = found[found.doc_id == 60].drop(columns=["first_finish", "taken", "start"], errors="ignore").astype(str).drop_duplicates()
+        assert len(again) == 1  # repeated rows fare alike
+
+
+def test_pipeline_takes_nothing_and_clashing_names(spark, tmp_path):
+    table = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 60")
+    for c in ("mix_times", "ld_keys", "kept_id", "lang_pred", "language"):
+        table = table.withColumn(c, F.lit(1))
+    table.write.parquet(f"{tmp_path}/some/documents.parquet")
+    table.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/some").count() > 0
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
