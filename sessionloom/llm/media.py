@@ -161,7 +161,7 @@ def corners(images: DataFrame) -> DataFrame:
                         found[own[k]].append({"at": at, "a": a, "b": b})
                 yield pd.DataFrame({"id": part["id"].astype("Int64").array, "image_key": part["image_key"].array, "corners": found})
 
-    return images.select("id", F.substring(F.sha2(F.coalesce("image", F.lit(b"")), 256), 1, 32).alias("image_key"), "image").mapInPandas(run, f"id long, image_key string, corners {_CORNERS}")
+    return images.select("id", F.unhex(F.substring(F.sha2(F.coalesce("image", F.lit(b"")), 256), 1, 32)).alias("image_key"), "image").mapInPandas(run, f"id long, image_key binary, corners {_CORNERS}")
 
 
 def _entries(images: DataFrame, name: str, prefix: str) -> DataFrame:
