@@ -181,7 +181,7 @@ def find_copies(queries: DataFrame, images: DataFrame) -> tuple[DataFrame, DataF
     without corners (flat, small, null, broken) match nothing; repeated rows are members of one class. Every image is indexed, every
     table looked up as a join; only classes go into it, so copies of any number are one entry.
     """
-    found = materialize(corners(images), "media-images")
+    found = materialize(corners(images), "media-images", "zstd")
     classes = materialize(found.groupBy("image_key").agg(F.min("id").alias("class_id")), "media-classes")
     members = found.select("id", "image_key").join(classes, "image_key").select("id", "class_id")
     firsts = found.join(classes.select("image_key", F.col("class_id").alias("first")).hint("merge"), "image_key").where("id = first")
