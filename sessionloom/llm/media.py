@@ -16,9 +16,9 @@ from .common import materialize, table
 CORNERS, TESTS, KEY = (24, 6), 128, 48
 #: Distance of a test's points from the corner, and of corners from the border.
 REACH, TURNS = 8, 16
-#: Corners that must agree on one shift; its tolerance in pixels; how many of the other half's
-#: first 32 tests may differ where a key is shared.
-LEAST_CORNERS, SHIFT, MOST_BITS = 3, 4, 9
+#: Corners that must agree on one turn, doubling and shift; the shift's tolerance in pixels; how many of REST tests of the
+#: other half may differ where a key is shared.
+LEAST_CORNERS, SHIFT, REST, MOST_BITS = 3, 4, 24, 6
 _HEAD = np.dtype("<u2")
 
 
@@ -63,14 +63,14 @@ def render(text: str) -> np.ndarray:
 
 
 def edited(pixels: np.ndarray, seed: int) -> np.ndarray:
-    """A cropped copy, with other brightness and contrast and a patch painted over."""
+    """A cropped copy, with other brightness and contrast, a patch painted over, and turned by quarters."""
     rng = np.random.default_rng(seed)
     h, w = pixels.shape
     y, x = rng.integers(0, h // 4 + 1), rng.integers(0, w // 4 + 1)
     out = pixels[y : y + h * 3 // 4, x : x + w * 3 // 4].astype(np.float32) * rng.uniform(0.8, 1.1) + rng.uniform(-10, 10)
     py, px = rng.integers(0, out.shape[0] - 8), rng.integers(0, out.shape[1] - 8)
     out[py : py + 8, px : px + 8] = rng.integers(0, 255)
-    return np.clip(out, 0, 255).astype(np.uint8)
+    return np.clip(np.rot90(out, rng.integers(0, 4)), 0, 255).astype(np.uint8)
 
 
 def _pattern() -> np.ndarray:
@@ -101,7 +101,7 @@ def _box(a: np.ndarray, r: int) -> np.ndarray:
 
 
 def describe(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of equally large images: which image each corner is in, its y and x in the image, and the bits of its descriptor (0 or 1)."""
+    """Of equally large images: which image each corner is in, its y and x in the image, turn and level, and the bits of its descriptor (0 or 1)."""
     who, where, bits = [], [], []
     level, scale = images.astype(np.float32), 1
     for most in CORNERS:
@@ -128,58 +128,71 @@ def describe(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if len(i):
             disc = smooth[i[:, None], y[:, None] + _DISC[:, 0], x[:, None] + _DISC[:, 1]]
             angle = np.arctan2(disc @ _DISC[:, 0], disc @ _DISC[:, 1])
-            t = _TESTS[np.rint(angle / (2 * np.pi) * TURNS).astype(np.int64) % TURNS]
+            turn = np.rint(angle / (2 * np.pi) * TURNS).astype(np.int64) % TURNS
+            t = _TESTS[turn]
             p = smooth[i[:, None, None], y[:, None, None] + t[..., 0], x[:, None, None] + t[..., 1]]
             who.append(i)
-            where.append(np.column_stack([y, x]) * scale)
+            where.append(np.column_stack([y * scale, x * scale, turn, np.full(len(y), scale // 2)]))
             bits.append((p[..., 0] < p[..., 1]).astype(np.uint8))
         h, w = (n // 2 * 2 for n in level.shape[1:])
         level = (level[:, :h:2, :w:2] + level[:, 1:h:2, :w:2] + level[:, :h:2, 1:w:2] + level[:, 1:h:2, 1:w:2]) / 4
         scale *= 2
     if not who:
-        return np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros((0, TESTS), np.uint8)
+        return np.zeros(0, np.int64), np.zeros((0, 4), np.int64), np.zeros((0, TESTS), np.uint8)
     return np.concatenate(who), np.concatenate(where), np.concatenate(bits)
 
 
-_CORNERS = "array<struct<at:int,a:bigint,b:bigint>>"
-
-
 def corners(images: DataFrame) -> DataFrame:
-    """id, image_key (128 bits of hash of the image), corners: place (y * 65536 + x) and the two halves of the descriptor of each corner of image (id, image)."""
+    """id, image_key (128 bits of hash of the image), and of each corner of image (id, image): place and the two halves of the descriptor,
+    as arrays at, a, b. A place is level, turn, y and x in 1, 7, 16 and 16 bits."""
 
     def run(batches):
         for batch in batches:
             for low in range(0, len(batch), 128):
                 part = batch.iloc[low : low + 128]
                 pixels = [decode_image(d) for d in part["image"]]
-                found = [[] for _ in pixels]
+                nothing = np.zeros(0, np.int64)
+                found = [(nothing, nothing, nothing) for _ in pixels]
                 for shape in {p.shape for p in pixels if p.size}:
                     own = [k for k, p in enumerate(pixels) if p.shape == shape]
                     who, where, bits = describe(np.stack([pixels[k] for k in own]))
                     half = np.packbits(bits, axis=1).reshape(len(bits), 2, TESTS // 16).copy().view(">i8")[..., 0].astype(np.int64)
-                    for k, at, (a, b) in zip(who.tolist(), (where[:, 0] << 16 | where[:, 1]).tolist(), half.tolist(), strict=True):
-                        found[own[k]].append({"at": at, "a": a, "b": b})
-                yield pd.DataFrame({"id": part["id"].astype("Int64").array, "image_key": part["image_key"].array, "corners": found})
+                    at = where[:, 3] << 39 | where[:, 2] << 32 | where[:, 0] << 16 | where[:, 1]
+                    order = np.argsort(who, kind="stable")
+                    ends = np.searchsorted(who[order], np.arange(len(own) + 1))
+                    for k, lo, hi in zip(own, ends[:-1], ends[1:], strict=True):
+                        found[k] = tuple(v[order[lo:hi]] for v in (at, half[:, 0], half[:, 1]))
+                yield pd.DataFrame({"id": part["id"].astype("Int64").array, "image_key": part["image_key"].array} | {c: [f[i] for f in found] for i, c in enumerate(("at", "a", "b"))})
 
-    return images.select("id", F.unhex(F.substring(F.sha2(F.coalesce("image", F.lit(b"")), 256), 1, 32)).alias("image_key"), "image").mapInPandas(run, f"id long, image_key binary, corners {_CORNERS}")
+    schema = "id long, image_key binary, at array<bigint>, a array<bigint>, b array<bigint>"
+    return images.select("id", F.unhex(F.substring(F.sha2(F.coalesce("image", F.lit(b"")), 256), 1, 32)).alias("image_key"), "image").mapInPandas(run, schema)
 
 
 def _entries(images: DataFrame, name: str, prefix: str) -> DataFrame:
-    """What each corner puts into the two tables: key, and its image, place and 32 other tests for the distance."""
-    each = images.select(F.col(name).alias(f"{prefix}_id"), F.explode("corners").alias("c"))
-    spare = 64 - KEY
-    of = lambda own, other, n: F.struct((F.shiftleft(F.shiftrightunsigned(own, spare), 1) + n).alias("key"), F.shiftright(other, 32).cast("int").alias(f"{prefix}_rest"))
-    return each.select(f"{prefix}_id", F.col("c.at").alias(f"{prefix}_at"), F.explode(F.array(of("c.a", "c.b", 0), of("c.b", "c.a", 1))).alias("e")).select(f"{prefix}_id", f"{prefix}_at", "e.*")
+    """What each corner puts into the two tables: key, its image, and in one number REST other tests for the distance and the place."""
+    each = images.select(F.col(name).alias(f"{prefix}_id"), F.explode(F.arrays_zip("at", "a", "b")).alias("c"))
+    of = lambda own, other, n: F.struct(
+        (F.shiftleft(F.shiftrightunsigned(own, 64 - KEY), 1) + n).alias("key"), F.shiftleft(F.shiftrightunsigned(other, 64 - REST), 64 - REST).bitwiseOR(F.col("c.at")).alias(prefix)
+    )
+    return each.select(f"{prefix}_id", F.explode(F.array(of("c.a", "c.b", 0), of("c.b", "c.a", 1))).alias("e")).select(f"{prefix}_id", "e.*")
+
+
+def _place(name: str) -> tuple:
+    """y, x, turn and level out of an entry's number."""
+    part = lambda low, bits: F.shiftrightunsigned(name, low).bitwiseAND((1 << bits) - 1).cast("int")
+    return part(16, 16), part(0, 16), part(32, 7), part(39, 1)
 
 
 def find_copies(queries: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(matches, members) for queries and images of (id, image).
 
     Equal images are one class, named by its least id: members has id, class_id of all images. matches has a row for each query and class
-    that is a cropped or edited form of the other: query_id, class_id, corners (that agree), dy, dx (the shift). Corners that share a key in
-    one of the two tables are compared by the Hamming distance of other tests; LEAST_CORNERS of them must agree on one shift. Images
-    without corners (flat, small, null, broken) match nothing; repeated rows are members of one class. Every image is indexed, every
-    table looked up as a join; only classes go into it, so copies of any number are one entry.
+    that is a cropped or edited form of the other: query_id, class_id, corners (that agree), turn (in TURNS steps from the query to the
+    class), octave (the class's image is 2 ** octave times as large: -1, 0, 1), dy, dx (the shift after both). Corners that share a key in
+    one of the two tables are compared by the Hamming distance of other tests; each pair that is near votes for the turn and the doubling
+    in which the corners' directions and levels differ and the shift that is left, and LEAST_CORNERS must agree. Images without corners
+    (flat, small, null, broken) match nothing; repeated rows are members of one class. Every image is indexed, every table looked up as a
+    join; only classes go into it, so copies of any number are one entry.
     """
     found = materialize(corners(images), "media-images", "zstd")
     classes = materialize(found.groupBy("image_key").agg(F.min("id").alias("class_id")), "media-classes")
@@ -187,14 +200,16 @@ def find_copies(queries: DataFrame, images: DataFrame) -> tuple[DataFrame, DataF
     firsts = found.join(classes.select("image_key", F.col("class_id").alias("first")).hint("merge"), "image_key").where("id = first")
     asked = materialize(corners(queries), "media-queries")
     met = _entries(asked, "id", "q").join(_entries(firsts, "id", "i").hint("merge"), "key")
-    near = met.where(F.bit_count(F.col("q_rest").bitwiseXOR(F.col("i_rest"))) <= MOST_BITS)
-    shift = lambda f: f(F.col("i_at")) - f(F.col("q_at"))
-    near = near.select("q_id", "i_id", "q_at", shift(lambda c: F.shiftright(c, 16)).alias("dy"), shift(lambda c: c.bitwiseAND(65535)).alias("dx"))
+    differ = F.shiftrightunsigned(F.col("q").bitwiseXOR(F.col("i")), 64 - REST)
+    (qy, qx, q_turn, q_level), (iy, ix, i_turn, i_level) = _place("q"), _place("i")
+    near = met.where(F.bit_count(differ) <= MOST_BITS).select("q_id", "i_id", F.col("q").bitwiseAND((1 << 40) - 1).alias("q_at"), qy.alias("qy"), qx.alias("qx"), iy.alias("iy"), ix.alias("ix"), F.pmod(i_turn - q_turn, F.lit(TURNS)).alias("turn"), (i_level - q_level).alias("octave"))
+    size, angle = F.pow(F.lit(2.0), F.col("octave")), F.col("turn") * (2 * np.pi / TURNS)
+    near = near.withColumns({"dy": F.col("iy") - size * (F.col("qy") * F.cos(angle) + F.col("qx") * F.sin(angle)), "dx": F.col("ix") - size * (F.col("qx") * F.cos(angle) - F.col("qy") * F.sin(angle))})
     # two grids of shifts, half a cell apart, so that shifts which are near each other share a cell
     cells = near.withColumn("grid", F.explode(F.array(F.lit(0), F.lit(SHIFT // 2))))
     cells = cells.withColumns({"cy": F.floor((F.col("dy") + F.col("grid")) / SHIFT), "cx": F.floor((F.col("dx") + F.col("grid")) / SHIFT)})
-    agree = cells.groupBy("q_id", "i_id", "grid", "cy", "cx").agg(F.count_distinct("q_at").alias("corners"), F.round(F.avg("dy")).cast("int").alias("dy"), F.round(F.avg("dx")).cast("int").alias("dx"))
-    best = agree.where(F.col("corners") >= LEAST_CORNERS).groupBy("q_id", "i_id").agg(F.max(F.struct("corners", "dy", "dx")).alias("best"))
+    agree = cells.groupBy("q_id", "i_id", "turn", "octave", "grid", "cy", "cx").agg(F.count_distinct("q_at").alias("corners"), F.round(F.avg("dy")).cast("int").alias("dy"), F.round(F.avg("dx")).cast("int").alias("dx"))
+    best = agree.where(F.col("corners") >= LEAST_CORNERS).groupBy("q_id", "i_id").agg(F.max(F.struct("corners", "turn", "octave", "dy", "dx")).alias("best"))
     return best.select(F.col("q_id").alias("query_id"), F.col("i_id").alias("class_id"), "best.*"), members
 
 
@@ -217,7 +232,7 @@ def op8_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     matches, members = find_copies(media_of(docs.where(F.col("doc_id") % 20 == 0), copies=True), media_of(docs))
     several = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("class_id")
-    found = matches.select(F.lit("match").alias("kind"), F.col("query_id").alias("doc_id"), "class_id", F.col("corners").cast("long"), "dy", "dx")
+    found = matches.select(F.lit("match").alias("kind"), F.col("query_id").alias("doc_id"), "class_id", F.col("corners").cast("long"), "dy", "dx", "turn", "octave")
     nothing = F.lit(None)
-    own = members.join(several, "class_id", "left_semi").select(F.lit("member").alias("kind"), F.col("id").alias("doc_id"), "class_id", nothing.cast("long").alias("corners"), nothing.cast("int").alias("dy"), nothing.cast("int").alias("dx"))
+    own = members.join(several, "class_id", "left_semi").select(F.lit("member").alias("kind"), F.col("id").alias("doc_id"), "class_id", nothing.cast("long").alias("corners"), *(nothing.cast("int").alias(c) for c in ("dy", "dx", "turn", "octave")))
     return found.unionByName(own)

@@ -486,6 +486,22 @@ def test_media_copies(spark):
     assert media.find_copies(images.limit(0), images)[0].count() == 0
 
 
+def test_media_turned_and_resized(spark):
+    pictures = [media.render(f"picture {i}") for i in range(80)]
+    as_table = lambda rows: spark.createDataFrame([(i, bytearray(media.encode_image(np.ascontiguousarray(p)))) for i, p in rows], "id long, image binary")
+    images = as_table(list(enumerate(pictures[:40])) + [(i, np.kron(p, np.ones((2, 2)))) for i, p in enumerate(pictures[40:], 40)])
+    turned = [(i, np.rot90(p, 1 + i % 3)) for i, p in enumerate(pictures[:40])]
+    asked = as_table(turned + [(i, p[: 60 - i % 4]) for i, p in enumerate(pictures[40:], 40)])
+    got = media.find_copies(asked, images)[0].toPandas()
+    hits = got[got.query_id == got.class_id]
+    assert len(got) - len(hits) <= 2
+    same_size, halves = hits[hits.query_id < 40], hits[hits.query_id >= 40]
+    assert len(same_size) >= 36 and (same_size.octave == 0).all()
+    # rot90 turns against the turns' direction, so the way back is along it
+    assert (same_size.turn == (1 + same_size.query_id % 3) * 4).all()
+    assert len(halves) >= 32 and (halves.octave == 1).all() and (halves.turn == 0).all()
+
+
 def test_media_index_against_brute_force():
     images = np.stack([media.render(f"text {i}") for i in range(200)])
     who, _, bits = media.describe(images)
