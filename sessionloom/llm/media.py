@@ -18,7 +18,7 @@ CORNERS, TESTS, KEY = (24, 6), 128, 48
 REACH, TURNS = 8, 16
 #: Corners that must agree on one turn, doubling and shift; the shift's tolerance in pixels; how many of REST tests of the
 #: other half may differ where a key is shared.
-LEAST_CORNERS, SHIFT, REST, MOST_BITS = 3, 4, 24, 6
+LEAST_CORNERS, SHIFT, REST, MOST_BITS = 3, 4, 27, 7
 _HEAD = np.dtype("<u2")
 
 
@@ -144,7 +144,7 @@ def describe(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def corners(images: DataFrame) -> DataFrame:
     """id, image_key (128 bits of hash of the image), and of each corner of image (id, image): place and the two halves of the descriptor,
-    as arrays at, a, b. A place is level, turn, y and x in 1, 7, 16 and 16 bits."""
+    as arrays at, a, b. A place is level, turn, y and x in 1, 4, 16 and 16 bits."""
 
     def run(batches):
         for batch in batches:
@@ -157,7 +157,7 @@ def corners(images: DataFrame) -> DataFrame:
                     own = [k for k, p in enumerate(pixels) if p.shape == shape]
                     who, where, bits = describe(np.stack([pixels[k] for k in own]))
                     half = np.packbits(bits, axis=1).reshape(len(bits), 2, TESTS // 16).copy().view(">i8")[..., 0].astype(np.int64)
-                    at = where[:, 3] << 39 | where[:, 2] << 32 | where[:, 0] << 16 | where[:, 1]
+                    at = where[:, 3] << 36 | where[:, 2] << 32 | where[:, 0] << 16 | where[:, 1]
                     order = np.argsort(who, kind="stable")
                     ends = np.searchsorted(who[order], np.arange(len(own) + 1))
                     for k, lo, hi in zip(own, ends[:-1], ends[1:], strict=True):
@@ -180,7 +180,7 @@ def _entries(images: DataFrame, name: str, prefix: str) -> DataFrame:
 def _place(name: str) -> tuple:
     """y, x, turn and level out of an entry's number."""
     part = lambda low, bits: F.shiftrightunsigned(name, low).bitwiseAND((1 << bits) - 1).cast("int")
-    return part(16, 16), part(0, 16), part(32, 7), part(39, 1)
+    return part(16, 16), part(0, 16), part(32, 4), part(36, 1)
 
 
 def find_copies(queries: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -191,18 +191,25 @@ def find_copies(queries: DataFrame, images: DataFrame) -> tuple[DataFrame, DataF
     class), octave (the class's image is 2 ** octave times as large: -1, 0, 1), dy, dx (the shift after both). Corners that share a key in
     one of the two tables are compared by the Hamming distance of other tests; each pair that is near votes for the turn and the doubling
     in which the corners' directions and levels differ and the shift that is left, and LEAST_CORNERS must agree. Images without corners
-    (flat, small, null, broken) match nothing; repeated rows are members of one class. Every image is indexed, every table looked up as a
+    (flat, small, null, broken) match nothing; repeated rows are members of one class; queries with the same id are one query. Every image is indexed, every table looked up as a
     join; only classes go into it, so copies of any number are one entry.
     """
     found = materialize(corners(images), "media-images", "zstd")
     classes = materialize(found.groupBy("image_key").agg(F.min("id").alias("class_id")), "media-classes")
     members = found.select("id", "image_key").join(classes, "image_key").select("id", "class_id")
-    firsts = found.join(classes.select("image_key", F.col("class_id").alias("first")).hint("merge"), "image_key").where("id = first")
-    asked = materialize(corners(queries), "media-queries")
+    # copies meet before the shuffle, so that an image which many rows have isn't sent as often
+    firsts = found.groupBy("image_key").agg(F.min("id").alias("id"), F.min_by(F.struct("at", "a", "b"), "id").alias("c")).select("id", "c.*")
+    asked = materialize(corners(queries).dropDuplicates(["id", "image_key"]), "media-queries")
     met = _entries(asked, "id", "q").join(_entries(firsts, "id", "i").hint("merge"), "key")
     differ = F.shiftrightunsigned(F.col("q").bitwiseXOR(F.col("i")), 64 - REST)
     (qy, qx, q_turn, q_level), (iy, ix, i_turn, i_level) = _place("q"), _place("i")
-    near = met.where(F.bit_count(differ) <= MOST_BITS).select("q_id", "i_id", F.col("q").bitwiseAND((1 << 40) - 1).alias("q_at"), qy.alias("qy"), qx.alias("qx"), iy.alias("iy"), ix.alias("ix"), F.pmod(i_turn - q_turn, F.lit(TURNS)).alias("turn"), (i_level - q_level).alias("octave"))
+    near = met.where(F.bit_count(differ) <= MOST_BITS)
+    # pairs of images with too few corners to agree go before any geometry; an image's corners bound a list
+    pairs = near.groupBy("q_id", "i_id").agg(F.collect_list(F.struct("q", "i")).alias("met"))
+    place = lambda c: c["q"].bitwiseAND((1 << 64 - REST) - 1)
+    pairs = pairs.where(F.size(F.array_distinct(F.transform("met", place))) >= LEAST_CORNERS)
+    near = pairs.select("q_id", "i_id", F.explode("met").alias("m")).select("q_id", "i_id", "m.q", "m.i")
+    near = near.select("q_id", "i_id", F.col("q").bitwiseAND((1 << 64 - REST) - 1).alias("q_at"), qy.alias("qy"), qx.alias("qx"), iy.alias("iy"), ix.alias("ix"), F.pmod(i_turn - q_turn, F.lit(TURNS)).alias("turn"), (i_level - q_level).alias("octave"))
     size, angle = F.pow(F.lit(2.0), F.col("octave")), F.col("turn") * (2 * np.pi / TURNS)
     near = near.withColumns({"dy": F.col("iy") - size * (F.col("qy") * F.cos(angle) + F.col("qx") * F.sin(angle)), "dx": F.col("ix") - size * (F.col("qx") * F.cos(angle) - F.col("qy") * F.sin(angle))})
     # two grids of shifts, half a cell apart, so that shifts which are near each other share a cell
