@@ -50,14 +50,25 @@ def matched(gold: DataFrame, guess: DataFrame, within: int) -> DataFrame:
     return both.groupBy("session_id").applyInPandas(fold, "session_id long, hits long, n_gold long, n_guess long")
 
 
-def centroid_distance(vectors: DataFrame, group: str, order: str, vector: str, n: int) -> DataFrame:
-    """Adds distance: 1 - cosine of each vector and the mean of the n before it in its group; null for the first."""
-    before = F.collect_list(vector).over(Window.partitionBy(group).orderBy(order).rowsBetween(-n, -1))
+def centroid_distance(vectors: DataFrame, group: str, order: str, vector: str, n: int, block: int = 10_000) -> DataFrame:
+    """Adds distance: 1 - cosine of each vector and the mean of the n before it in its group; null for the first.
+
+    order is a number. A group is cut into blocks of so many of its values, each sorted by itself, and the n rows before a block go into it
+    too, so that a group which holds much of the table isn't one task. Only each block's last n rows are ordered over a whole group.
+    """
+    parts = vectors.withColumns({"block_": F.floor(F.col(order) / block), "carried_": F.lit(False)})
+    own = Window.partitionBy(group, "block_")
+    tails = parts.withColumn("nth_", F.row_number().over(own.orderBy(F.desc(order)))).where(F.col("nth_") <= n)
+    tails = tails.withColumn("rows_", F.collect_list(F.struct(order, vector)).over(Window.partitionBy(group).orderBy(order).rowsBetween(-n, -1)))
+    heads = tails.groupBy(group, "block_").agg(F.min_by("rows_", order).alias("rows_"))
+    carried = heads.select(group, "block_", F.inline("rows_"), F.lit(True).alias("carried_"))
+    parts = parts.unionByName(carried, allowMissingColumns=True)
+    before = F.collect_list(vector).over(own.orderBy(order).rowsBetween(-n, -1))
     mean = F.when(F.size("before_") > 0, F.transform(F.col("before_")[0], lambda _, i: F.aggregate("before_", F.lit(0.0), lambda s, v: s + v[i]) / F.size("before_")))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    rows = vectors.withColumn("before_", before).withColumn("mean_", mean)
+    rows = parts.withColumn("before_", before).where("not carried_").withColumn("mean_", mean)
     cosine = dot(F.col(vector), F.col("mean_")) / F.sqrt(dot(F.col(vector), F.col(vector)) * dot(F.col("mean_"), F.col("mean_")))
-    return rows.withColumn("distance", F.round(1 - cosine, 4)).drop("before_", "mean_")
+    return rows.withColumn("distance", F.round(1 - cosine, 4)).drop("before_", "mean_", "block_", "carried_")
 
 
 def stitched(labels: DataFrame) -> DataFrame:

@@ -4,12 +4,13 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionloom.functions import pii, records, shell
-from sessionloom.operators import governance, pairing, risk, sequence
+from sessionloom.operators import governance, pairing, risk, sequence, text
 from sessionloom.plans.enrichment_queries import GOLDEN
 from sessionloom.plans.lens import COMMANDS
 from sessionloom.sources import readers, sinks
@@ -210,3 +211,16 @@ def test_matching_is_greedy_and_one_to_one(spark):
     guess = spark.createDataFrame([(1, 11), (1, 30), (3, 5)], "session_id long, place long")
     got = {r.session_id: (r.hits, r.n_gold, r.n_guess) for r in text.matched(gold, guess, 2).collect()}
     assert got == {1: (1, 2, 2), 2: (0, 1, 0), 3: (0, 0, 1)}
+
+
+def test_centroid_distance_over_blocks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), "a" if i % 5 else "b", [float(x) for x in rng.normal(size=4)]) for i in rng.choice(400, 150, replace=False)]
+    got = {r.id: r.distance for r in text.centroid_distance(spark.createDataFrame(rows, "id long, g string, v array<double>"), "g", "id", "v", 3, block=16).collect()}
+    assert len(got) == len(rows)
+    for name in "ab":
+        own = sorted(r for r in rows if r[1] == name)
+        assert got[own[0][0]] is None
+        for i, (key, _, v) in enumerate(own[1:], 1):
+            mean = np.mean([r[2] for r in own[max(0, i - 3) : i]], axis=0)
+            assert abs(got[key] - (1 - np.dot(v, mean) / np.linalg.norm(v) / np.linalg.norm(mean))) < 1e-4
