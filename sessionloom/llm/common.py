@@ -71,7 +71,7 @@ def is_held_out(doc_id: str = "doc_id"):
 def chunks(batches: Iterable[pd.DataFrame], text: str = "text", most_chars: int = 1_500_000, most_rows: int = 512) -> Iterator[pd.DataFrame]:
     """Slices of the batches that hold few characters each, so that array work on them stays small. A longer text is alone in its slice."""
     for batch in batches:
-        sizes = [len(t) if isinstance(t, str) else 0 for t in batch[text]]
+        sizes = [len(t) if isinstance(t, (str, bytes)) else 0 for t in batch[text]]
         start = held = 0
         for i, n in enumerate(sizes):
             if i > start and (held + n > most_chars or i - start >= most_rows):
@@ -84,3 +84,8 @@ def chunks(batches: Iterable[pd.DataFrame], text: str = "text", most_chars: int
 
 def texts_of(column: pd.Series) -> list[str]:
     return [t if isinstance(t, str) else "" for t in column]
+
+
+def folded_bytes(column: pd.Series) -> list[bytes]:
+    """Texts as UTF-8 bytes (a binary column) with A to Z in small letters; null is empty."""
+    return [t.lower() if isinstance(t, bytes) else b"" for t in column]

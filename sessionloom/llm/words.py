@@ -66,9 +66,9 @@ class Words:
     data holds all bytes, each text ended by a line feed; text_starts has where each begins.
     """
 
-    def __init__(self, texts: list[str], gaps: np.ndarray = SPACE):
-        """gaps: which bytes part words; a line feed must be one of them."""
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    def __init__(self, texts: list[str] | list[bytes], gaps: np.ndarray = SPACE):
+        """texts: strings or their UTF-8 bytes. gaps: which bytes part words; a line feed must be one of them."""
+        raw = [t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in texts]
         self.data, self.text_ends = joined(raw)
         self.text_starts = self.text_ends - np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
         inside = ~gaps[self.data]
