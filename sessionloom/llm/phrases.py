@@ -266,26 +266,28 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grams(n: int) -> str:
-    return f"SELECT lang, list_slice(ws, i, i + {n - 1}) AS p FROM (SELECT lang, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM pieces WHERE len(ws) >= {n})"
+    words = [f"list_extract(ws, i + {k})" for k in range(n)]
+    cuts = [f"concat_ws(' ', {', '.join(words[:k])})" for k in range(1, n)]
+    rest = [f"concat_ws(' ', {', '.join(words[k:])})" for k in range(1, n)]
+    return f"SELECT lang, {n} AS size, concat_ws(' ', {', '.join(words)}) AS p, [{', '.join(cuts)}]::VARCHAR[] AS firsts, [{', '.join(rest)}]::VARCHAR[] AS rests FROM (SELECT lang, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM pieces WHERE len(ws) >= {n})"
 
 
 OP12_SQL = rf"""
 WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 pieces AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts)),
-f AS MATERIALIZED (SELECT lang, p, count(*) AS a FROM ({" UNION ALL ".join(_grams(n) for n in range(1, LONGEST + 1))}) GROUP BY lang, p),
+f AS MATERIALIZED (SELECT lang, p, any_value(size) AS size, any_value(firsts) AS firsts, any_value(rests) AS rests, count(*) AS a FROM ({" UNION ALL ".join(_grams(n) for n in range(1, LONGEST + 1))}) GROUP BY lang, p),
 total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM pieces GROUP BY lang),
-c AS MATERIALIZED (SELECT * FROM f WHERE len(p) > 1 AND a >= {LEAST}),
-inner_ AS (
-  SELECT DISTINCT x.lang, x.p FROM c x
-  JOIN (SELECT lang, a, unnest([p[1:len(p) - 1], p[2:len(p)]]) AS part FROM c WHERE len(p) > 2) y ON x.lang = y.lang AND x.p = y.part
-  WHERE 100 * y.a >= {INSIDE} * x.a),
-cuts AS (
+often AS MATERIALIZED (SELECT * FROM f WHERE a >= {LEAST}),
+c AS MATERIALIZED (SELECT * FROM often WHERE size > 1),
+inner_ AS MATERIALIZED (
+  SELECT lang, part, max(a) AS outer_ FROM (SELECT lang, a, unnest([firsts[size - 1], rests[1]]) AS part FROM c WHERE size > 2) GROUP BY lang, part),
+cuts AS MATERIALIZED (SELECT lang, p, a, unnest(range(1, size)) AS k, unnest(firsts) AS one, unnest(rests) AS two FROM c),
+scored AS (
   SELECT c.lang, c.p, c.a, k, x.a AS l, y.a AS r, ({SCALE}::HUGEINT * c.a) // (x.a + y.a) AS score
-  FROM (SELECT *, unnest(range(1, len(p))) AS k FROM c) c
-  JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1:len(c.p)]),
-least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+  FROM cuts c JOIN often x ON x.lang = c.lang AND x.p = c.one JOIN often y ON y.lang = c.lang AND y.p = c.two),
+least AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS nth FROM scored),
 best AS (
-  SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, array_to_string(s.p, ' ')) AS rank, array_to_string(s.p, ' ') AS phrase, a, l, r, CAST(score AS BIGINT) AS score
-  FROM least s WHERE NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.lang = s.lang AND i.p = s.p))
+  SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.p) AS rank, s.p AS phrase, a, l, r, CAST(score AS BIGINT) AS score
+  FROM least s LEFT JOIN inner_ i ON i.lang = s.lang AND i.part = s.p WHERE nth = 1 AND (outer_ IS NULL OR 100 * outer_ < {INSIDE} * a))
 SELECT best.lang, rank, phrase, a, l, r, n, score FROM best JOIN total ON best.lang = total.lang WHERE rank <= {BEST}
 """

@@ -627,6 +627,8 @@ def test_query_takes_odd_tables(spark, tmp_path, name):
     if name in ("op4_best_fit_packing", "op8_media_copies"):  # rows aren't documents
         own = found[found.piece == 0] if "piece" in found else found
         assert len(own) == len(rows) if "piece" in found else len(own) > 0
+    elif name in ("op11_source_divergence", "op12_phrase_mining"):  # neither are these; test_counts.py holds them against their SQL
+        assert len(found) > 0
     else:
         assert len(found) == len(rows) and found.doc_id.isna().sum() == 2
         again = found[found.doc_id == 60].drop(columns=["first_finish", "taken", "start"], errors="ignore").astype(str).drop_duplicates()
