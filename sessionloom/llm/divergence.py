@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import materialize, remove, table
-from .words import Words
+from .filters import holds, key_filter
+from .words import Words, mix
 
 #: A term: letters of ASCII and everything outside ASCII. A to Z are folded.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -18,84 +19,126 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Documents of a language that a kept term is in; smoothing and scale of shares; terms a report names.
 LEAST_DOCS, PRIOR, SCALE, MOST_TERMS = 30, 5, 1_000_000_000, 50
 #: Characters of texts whose chunks are counted together.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 5_000_000
 #: Terms (by hash) and sources of one comparison of shares.
 TERMS_A_BIN, SOURCES_A_BLOCK = 2000, 128
-_COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("chunk", pa.string()), ("n", pa.int64()), ("docs", pa.int64()), ("in_docs", pa.list_(pa.int64()))])
-
-
-def _counted(texts: list[bytes], rows: np.ndarray, group: np.ndarray, groups: list[tuple[str, str]]) -> pa.RecordBatch:
-    """Counts of a block's chunks for each group: how often, in how many documents, and in which where these are few."""
-    words = Words(texts)
-    owner = group[words.doc]
-    order = np.lexsort((words.hash, owner))  # stable, so documents of a group and chunk stand in order
-    g, h, d = owner[order], words.hash[order], words.doc[order]
-    first = np.ones(len(order), bool)
-    first[1:] = (g[1:] != g[:-1]) | (h[1:] != h[:-1])
-    starts = np.flatnonzero(first)
-    in_doc = first.copy()
-    in_doc[1:] |= d[1:] != d[:-1]
-    n = np.diff(np.r_[starts, len(order)])
-    docs = np.add.reduceat(in_doc.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
-    # which documents, for chunks that are in fewer than LEAST_DOCS here
-    listed = np.repeat(docs < LEAST_DOCS, n) & in_doc
-    sizes = np.where(docs < LEAST_DOCS, docs, 0)
-    some = order[starts]
-    begin, length = words.begin[some], words.length[some]
-    ends = np.cumsum(length)
-    place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - ends + length, length)
-    chunk = pa.StringArray.from_buffers(len(some), pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(words.data[place]))
-    name = lambda k: pa.DictionaryArray.from_arrays(pa.array(g[starts], pa.int32()), pa.array([x[k] for x in groups], pa.string())).cast(pa.string())
-    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(rows[d[listed]], pa.int64()))
-    return pa.RecordBatch.from_arrays([name(0), name(1), chunk, pa.array(n, pa.int64()), pa.array(docs, pa.int64()), lists], schema=_COUNTS)
-
-
-def chunk_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, chunk, n (occurrences), docs (documents with it), in_docs (their row numbers where they are under LEAST_DOCS): counts of
-    whitespace chunks, made document by document and added up within blocks of texts. A chunk stands in as many rows as blocks have it."""
+_COUNTS = pa.schema([("lang", pa.string()), ("chunk", pa.string()), ("h", pa.int64()), ("docs", pa.int64()), ("in_docs", pa.list_(pa.int64()))])
+
+
+def _read(docs: DataFrame) -> DataFrame:
+    lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
+    return docs.select(F.monotonically_increasing_id().alias("row"), lang.alias("lang"), F.xxhash64(lang).alias("lang_key"), F.xxhash64(lang, source).alias("g"), F.col("text").cast("binary").alias("text"))
+
+
+def _blocks(batches):
+    """row, lang, lang_key, g and text of some documents, as lists, by blocks of BLOCK_CHARS."""
+    held, chars = [], 0
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            held.append(row)
+            chars += len(row[-1] or b"")
+            if chars >= BLOCK_CHARS:
+                yield tuple(zip(*held, strict=True))
+                held, chars = [], 0
+    if held:
+        yield tuple(zip(*held, strict=True))
+
+
+def _chunks(texts: tuple, lang_keys: tuple, seed: int) -> tuple[Words, np.ndarray]:
+    """The chunks of texts, and a hash of each and of its language."""
+    words = Words([t or b"" for t in texts])
+    salt = mix(np.array(lang_keys, np.int64).view(np.uint64) ^ np.uint64(seed))
+    return words, mix(words.hash ^ salt[words.doc])
+
+
+def _grouped(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by value, and for each place in it the number of its value."""
+    order = np.argsort(value)
+    new = np.zeros(len(order), np.int64)
+    new[1:] = value[order[1:]] != value[order[:-1]]
+    return order, np.cumsum(new)
+
+
+def chunk_counts(docs: DataFrame, seed: int) -> DataFrame:
+    """lang, chunk, h (a hash of both), docs (documents with it), in_docs (their row numbers where they are under LEAST_DOCS): the distinct chunks
+    of each document, added up within blocks of texts. A chunk stands in as many rows as blocks have it."""
 
     def run(batches):
-        texts, rows, group, groups, chars = [], [], [], {}, 0
-        for batch in batches:
-            for row, lang, source, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                texts.append(text or b"")
-                rows.append(row)
-                group.append(groups.setdefault((lang, source), len(groups)))
-                chars += len(text or b"")
-                if chars >= BLOCK_CHARS:
-                    yield _counted(texts, np.array(rows), np.array(group), list(groups))
-                    texts, rows, group, groups, chars = [], [], [], {}, 0
-        if texts:
-            yield _counted(texts, np.array(rows), np.array(group), list(groups))
-
-    own = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.col("text").cast("binary").alias("text"))
-    return own.mapInArrow(run, "lang string, source string, chunk string, n long, docs long, in_docs array<long>")
+        for rows, langs, lang_keys, _, texts in _blocks(batches):
+            words, h = _chunks(texts, lang_keys, seed)
+            order, at = _grouped(h)
+            code = np.sort((at << 32) | words.doc[order])
+            code = code[np.r_[True, code[1:] != code[:-1]]] if len(code) else code
+            n = np.bincount(code >> 32) if len(code) else np.zeros(0, np.int64)
+            few = n < LEAST_DOCS
+            some = order[np.flatnonzero(np.r_[True, at[1:] != at[:-1]])] if len(order) else order
+            begin, length = words.begin[some], words.length[some]
+            ends = np.cumsum(length)
+            place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - ends + length, length)
+            chunk = pa.StringArray.from_buffers(len(some), pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(words.data[place]))
+            names = sorted(set(langs))
+            number = {x: k for k, x in enumerate(names)}
+            lang = pa.DictionaryArray.from_arrays(pa.array(np.array([number[x] for x in langs], np.int32)[words.doc[some]]), pa.array(names, pa.string())).cast(pa.string())
+            listed = np.array(rows, np.int64)[code[few[code >> 32]] & 0xFFFFFFFF] if len(code) else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(few, n, 0))], pa.int32()), pa.array(listed, pa.int64()))
+            yield pa.RecordBatch.from_arrays([lang, chunk, pa.array(h[some].view(np.int64)), pa.array(n, pa.int64()), lists], schema=_COUNTS)
+
+    return _read(docs).mapInArrow(run, "lang string, chunk string, h long, docs long, in_docs array<long>")
+
+
+def source_counts(docs: DataFrame, seed: int, kept) -> DataFrame:
+    """h, g (a hash of language and source), n: occurrences of the chunks that the filter `kept` passes, added up within blocks of texts."""
+
+    def run(batches):
+        for _, _, lang_keys, g, texts in _blocks(batches):
+            words, h = _chunks(texts, lang_keys, seed)
+            pass_ = np.flatnonzero(holds(kept.value, h))
+            h = h[pass_]
+            names, number = np.unique(np.array(g, np.int64), return_inverse=True)
+            order, at = _grouped(h)
+            code = np.sort((at << 32) | number[words.doc[pass_[order]]])
+            starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else code
+            value = h[order[np.flatnonzero(np.r_[True, at[1:] != at[:-1]])]] if len(order) else h
+            own = code[starts]
+            yield pa.RecordBatch.from_arrays([pa.array(value[own >> 32].view(np.int64)), pa.array(names[own & 0xFFFFFFFF]), pa.array(np.diff(np.r_[starts, len(code)]))], names=["h", "g", "n"])
+
+    return _read(docs).mapInArrow(run, "h long, g long, n long")
 
 
 def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """lang, source, term, n: occurrences of each kept term, where there are any. A term is kept in a language if at least least_docs documents
     have it (at most LEAST_DOCS).
 
-    Chunks are counted, each distinct chunk is tokenized once, and its terms are joined back. A chunk that is in enough documents settles
-    its terms; so do chunks that are not in enough all together. Only for terms in between, whose chunks are all rare, documents are
-    told apart by their numbers. Hot chunks are a few counted rows, and all joins are by chunk or term."""
-    counted = materialize(chunk_counts(docs), "divergence-chunks", "zstd")
-    chunks = materialize(counted.groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "divergence-counts", "zstd")
-    tokenized = chunks.select("chunk").distinct().select("chunk", F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), 0).alias("terms"))
-    tokenized = tokenized.where(F.size("terms") > 0).select("chunk", F.explode("terms").alias("term")).groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("times"))
-    tokenized = materialize(tokenized, "divergence-terms", "zstd")
-    by_chunk = chunks.groupBy("lang", "chunk").agg(F.sum("docs").alias("docs")).join(tokenized, "chunk")
-    bounds = by_chunk.groupBy("lang", "term").agg(F.max("docs").alias("low"), F.sum("docs").alias("high")).where(F.col("high") >= least_docs)
-    bounds = materialize(bounds, "divergence-bounds")
-    open_ = by_chunk.join(bounds.where(F.col("low") < least_docs).select("lang", "term"), ["lang", "term"]).select("lang", "chunk", "term")
-    found = counted.select("lang", "chunk", F.explode("in_docs").alias("row")).join(open_, ["lang", "chunk"]).select("lang", "term", "row").distinct()
+    Chunks are counted document by document, each distinct chunk is tokenized once, and its terms are joined back. A chunk that is in enough
+    documents settles its terms; so do chunks that are not in enough all together. Only for terms in between, whose chunks are all rare,
+    documents are told apart by their numbers. The chunks of kept terms are then counted for each source; they go to their terms by a hash, once that is checked to part all chunks.
+    Hot chunks are a few counted rows a block, and all joins are by chunk or term."""
+    for seed in range(1, 9):
+        counted = materialize(chunk_counts(docs, seed), "divergence-chunks", "zstd")
+        chunks = materialize(counted.groupBy("lang", "chunk", "h").agg(F.sum("docs").alias("docs")), "divergence-counts", "zstd")
+        if not chunks.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").take(1):
+            break
+    else:
+        raise ValueError("no seed parts the hashes of all chunks")
+    tokenized = chunks.select("chunk").distinct().select("chunk", F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0)).alias("terms"))
+    by_chunk = materialize(chunks.join(tokenized.where(F.size("terms") > 0), "chunk"), "divergence-terms", "zstd")
+    each = by_chunk.select("lang", "h", "docs", F.explode(F.array_distinct("terms")).alias("term"))
+    bounds = each.groupBy("lang", "term").agg(F.max("docs").alias("low"), F.sum("docs").alias("high")).where(F.col("high") >= least_docs)
+    bounds = materialize(bounds, "divergence-bounds", "zstd")
+    open_ = each.join(bounds.where(F.col("low") < least_docs).select("lang", "term"), ["lang", "term"]).select("h", "lang", "term")
+    found = counted.select("h", "in_docs").join(open_, "h").select("lang", "term", F.explode("in_docs").alias("row")).distinct()
     settled = found.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= least_docs).select("lang", "term")
-    kept = materialize(bounds.where(F.col("low") >= least_docs).select("lang", "term").unionByName(settled), "divergence-kept")
-    # times a count is exact in 64 bits: it is the number of places in the texts
-    terms = chunks.join(tokenized, "chunk").groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
-    out = materialize(terms.join(kept, ["lang", "term"]).select("lang", "source", "term", "n"), "divergence-kept-counts")
-    remove(counted, bounds)
-    return out
+    kept = bounds.where(F.col("low") >= least_docs).select("lang", "term").unionByName(settled)
+    of = by_chunk.select("lang", "h", F.explode("terms").alias("term")).groupBy("lang", "h", "term").agg(F.count(F.lit(1)).alias("times"))
+    of = materialize(of.join(kept, ["lang", "term"]), "divergence-kept", "zstd")
+    remove(counted, chunks, by_chunk, bounds)
+    passed = key_filter(of.select("h"), ["h"])
+    groups = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct().withColumn("g", F.xxhash64("lang", "source"))
+    # rows of a chunk travel together: they are added up, and meet the chunk's terms, without another shuffle
+    n = source_counts(docs, seed, passed).repartition("h").groupBy("h", "g").agg(F.sum("n").alias("n"))
+    terms = n.join(of.hint("merge"), "h").groupBy("g", "lang", "term").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+    out = terms.join(groups.select("g", "source", F.col("lang").alias("lang_")), "g").where("lang = lang_").select("lang", "source", "term", "n")
+    return materialize(out, "divergence-kept-counts", "zstd")
 
 
 def _share(n, total, kept):

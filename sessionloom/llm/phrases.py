@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import materialize, table
+from .filters import holds, key_filter, key_of
 from .words import KEY_BYTES, Words, keys_of, mix, powers
 
 #: Occurrences of a candidate; share (in hundredths) of them within a longer candidate at which it goes; phrases of a language.
@@ -17,9 +18,7 @@ SCALE, LONGEST = 2_000_000, 4
 #: Pairs of words of a language that the first round follows, in multiples of BEST; each further round follows GROWTH times as many.
 START, GROWTH = 2, 4
 #: Characters of texts whose phrases are counted together.
-BLOCK_CHARS = 8_000_000
-#: Bits of a filter: what it holds is passed always, and what it doesn't mostly not. Its size is the same for any corpus.
-FILTER_BITS, FILTER_PARTS = 25, 256
+BLOCK_CHARS = 5_000_000
 _CUTS = np.zeros(256, bool)
 _CUTS[list(b".,;:!?\n\x0b\x0c\r")] = True
 _GAPS = _CUTS.copy()
@@ -32,7 +31,7 @@ class _Pieces(Words):
     def __init__(self, texts: list[bytes], langs: np.ndarray, seed: int):
         """langs: a hash of each text's language, which the words' hashes hold too."""
         super().__init__(texts, _GAPS)
-        self.piece = np.cumsum(_CUTS[self.data])[self.begin] if len(self.begin) else np.zeros(0, np.int64)
+        self.piece = np.cumsum(_CUTS[self.data], dtype=np.int32)[self.begin] if len(self.begin) else np.zeros(0, np.int64)
         low, high = keys_of(self.data, self.begin, self.length) if len(self.begin) else (np.zeros(0, np.uint64),) * 2
         own = mix(low ^ mix(high ^ np.uint64(seed)))
         long = np.flatnonzero(self.length > KEY_BYTES)
@@ -90,42 +89,6 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
     return counted.groupBy("lang", "word", "w1").agg(F.sum("f").alias("f"))
 
 
-def _key(*words: np.ndarray) -> np.ndarray:
-    """A hash of phrases, by which filters know them."""
-    out = np.zeros(len(words[0]), np.uint64)
-    for w in words:
-        out = mix(out + w.view(np.uint64))
-    return out
-
-
-def _filter(rows: DataFrame, n: int):
-    """The first n words of rows as a broadcast filter of 2 ** FILTER_BITS bits (4 MB), whatever the number of rows. It is put together on the
-    executors, a part of its bits in a task."""
-    names = [f"w{k}" for k in range(1, n + 1)]
-
-    def places(batches):
-        for batch in batches:
-            key = _key(*[c.to_numpy(zero_copy_only=False) for c in batch.columns]) >> np.uint64(64 - FILTER_BITS)
-            value = np.unique(key).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(value % FILTER_PARTS), pa.array(value // FILTER_PARTS)], names=["part", "place"])
-
-    def bits(rows):
-        own = np.zeros(1 << FILTER_BITS >> FILTER_PARTS.bit_length() - 1, bool)
-        own[rows["place"].to_numpy()] = True
-        return rows.iloc[:1][["part"]].assign(bits=[np.packbits(own).tobytes()])
-
-    found = rows.select(*names).mapInArrow(places, "part long, place long").distinct().groupBy("part").applyInPandas(bits, "part long, bits binary")
-    whole = np.zeros((1 << FILTER_BITS >> FILTER_PARTS.bit_length() - 1, FILTER_PARTS), bool)
-    for row in found.toLocalIterator():  # FILTER_PARTS rows
-        whole[:, row["part"]] = np.unpackbits(np.frombuffer(row["bits"], np.uint8))
-    return rows.sparkSession.sparkContext.broadcast(np.packbits(whole.ravel()))
-
-
-def _holds(bits: np.ndarray, *words: np.ndarray) -> np.ndarray:
-    at = (_key(*words) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-
-
 def phrase_counts(docs: DataFrame, n: int, seed: int, either: list, both: list | None = None) -> DataFrame:
     """w1 ... wn, a: phrases of n words with LEAST occurrences or more, of those whose first or last n - 1 words either[0] or either[1] holds,
     or of which both[0] holds the first and both[1] the last n - 1 words. Filters pass more than they hold at times; what is counted is
@@ -136,14 +99,14 @@ def phrase_counts(docs: DataFrame, n: int, seed: int, either: list, both: list |
             words = _Pieces(texts, hashes, seed)
             at = words.runs(n)
             parts = [words.hash[at + k] for k in range(n)]
-            ask = lambda filters: (_holds(filters[0].value, *parts[:-1]), _holds(filters[1].value, *parts[1:]))
+            ask = lambda filters: (holds(filters[0].value, *parts[:-1]), holds(filters[1].value, *parts[1:]))
             one, two = ask(either)
             keep = one & two if n == 2 else one | two
             if both:
                 one, two = ask(both)
                 keep |= one & two
             parts = [p[keep] for p in parts]
-            order = np.argsort(_key(*parts), kind="stable")
+            order = np.argsort(key_of(*parts), kind="stable")
             parts = [p[order] for p in parts]
             new = np.ones(len(order), bool)
             new[1:] = np.logical_or.reduce([p[1:] != p[:-1] for p in parts]) if len(order) > 1 else new[1:]
@@ -214,7 +177,7 @@ def collocations(docs: DataFrame, best: int = BEST, start: int = START) -> DataF
         raise ValueError("no seed parts the hashes of all words")
     total = words.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = materialize(words.where(F.col("f") >= LEAST), "phrases-frequent", "zstd")
-    known = _filter(frequent, 1)
+    known = key_filter(frequent, ["w1"])
     pairs = phrase_counts(docs, 2, seed, [known, known])
     own = frequent.select(F.col("w1"), F.col("lang"))
     pairs = materialize(_bounded(_scored(pairs, 2, {1: frequent}).join(own, "w1"), F.col("f1"), F.col("fn")), "phrases-pairs", "zstd")
@@ -227,11 +190,11 @@ def collocations(docs: DataFrame, best: int = BEST, start: int = START) -> DataF
         t = nth.groupBy("lang").agg(F.count(F.lit(1)).alias("k"), F.min("score").alias("t"))
         t = materialize(open_.join(t, "lang", "left").select("lang", F.when(F.col("k") >= follow, F.col("t")).otherwise(0).cast("long").alias("t")), "phrases-bounds")
         two = pairs.join(t, "lang")
-        either = [_filter(two.where("up >= t"), 2), _filter(two.where("down >= t"), 2)]
+        either = [key_filter(two.where("up >= t"), ["w1", "w2"]), key_filter(two.where("down >= t"), ["w1", "w2"])]
         three = _scored(phrase_counts(docs, 3, seed, either), 3, {1: frequent, 2: pairs})
         three = materialize(_bounded(three.join(own, "w1").join(t, "lang"), F.col("f1"), F.col("fn")), "phrases-threes", "zstd")
-        inner = _filter(three.where("score >= t"), 3)
-        four = phrase_counts(docs, 4, seed, [inner, inner], [_filter(three.where("up >= t"), 3), _filter(three.where("down >= t"), 3)])
+        inner = key_filter(three.where("score >= t"), ["w1", "w2", "w3"])
+        four = phrase_counts(docs, 4, seed, [inner, inner], [key_filter(three.where("up >= t"), ["w1", "w2", "w3"]), key_filter(three.where("down >= t"), ["w1", "w2", "w3"])])
         four = materialize(_scored(four, 4, {1: frequent, 2: pairs, 3: three}).join(own, "w1").join(t, "lang"), "phrases-fours", "zstd")
         found = []
         for n, phrases, longer in ((2, two, three), (3, three, four), (4, four, None)):
