@@ -22,7 +22,8 @@ LEAST_DOCS, PRIOR, SCALE, MOST_TERMS = 30, 5, 1_000_000_000, 50
 BLOCK_CHARS = 5_000_000
 #: Terms (by hash) and sources of one comparison of shares.
 TERMS_A_BIN, SOURCES_A_BLOCK = 2000, 128
-_COUNTS = pa.schema([("lang", pa.string()), ("chunk", pa.string()), ("h", pa.int64()), ("docs", pa.int64()), ("in_docs", pa.list_(pa.int64()))])
+#: Counted rows that a task holds to add up the same ones.
+MOST_HELD = 1_000_000
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -59,18 +60,36 @@ def _grouped(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(new)
 
 
+def _added_up(batches, keys: list[str], n: str):
+    """Batches of counts, those with the same keys added up over MOST_HELD rows or more."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= MOST_HELD:
+            held = [_sums(held, keys, n)]
+            rows = held[0].num_rows
+            if rows >= MOST_HELD // 2:
+                yield from held[0].to_batches(max_chunksize=100_000)
+                held, rows = [], 0
+    if held:
+        yield from _sums(held, keys, n).to_batches(max_chunksize=100_000)
+
+
+def _sums(held: list, keys: list[str], n: str) -> pa.Table:
+    whole = pa.concat_tables([pa.Table.from_batches([x]) if isinstance(x, pa.RecordBatch) else x for x in held])
+    return whole.group_by(keys, use_threads=False).aggregate([(n, "sum")]).rename_columns([*keys, n]).combine_chunks()
+
+
 def chunk_counts(docs: DataFrame, seed: int) -> DataFrame:
-    """lang, chunk, h (a hash of both), docs (documents with it), in_docs (their row numbers where they are under LEAST_DOCS): the distinct chunks
-    of each document, added up within blocks of texts. A chunk stands in as many rows as blocks have it."""
+    """lang, chunk, h (a hash of both), docs (documents with it): the distinct chunks of each document, added up within tasks."""
 
-    def run(batches):
-        for rows, langs, lang_keys, _, texts in _blocks(batches):
+    def counted(batches):
+        for _, langs, lang_keys, _, texts in _blocks(batches):
             words, h = _chunks(texts, lang_keys, seed)
             order, at = _grouped(h)
             code = np.sort((at << 32) | words.doc[order])
-            code = code[np.r_[True, code[1:] != code[:-1]]] if len(code) else code
-            n = np.bincount(code >> 32) if len(code) else np.zeros(0, np.int64)
-            few = n < LEAST_DOCS
+            n = np.bincount(code[np.r_[True, code[1:] != code[:-1]]] >> 32) if len(code) else np.zeros(0, np.int64)
             some = order[np.flatnonzero(np.r_[True, at[1:] != at[:-1]])] if len(order) else order
             begin, length = words.begin[some], words.length[some]
             ends = np.cumsum(length)
@@ -79,17 +98,31 @@ def chunk_counts(docs: DataFrame, seed: int) -> DataFrame:
             names = sorted(set(langs))
             number = {x: k for k, x in enumerate(names)}
             lang = pa.DictionaryArray.from_arrays(pa.array(np.array([number[x] for x in langs], np.int32)[words.doc[some]]), pa.array(names, pa.string())).cast(pa.string())
-            listed = np.array(rows, np.int64)[code[few[code >> 32]] & 0xFFFFFFFF] if len(code) else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(few, n, 0))], pa.int32()), pa.array(listed, pa.int64()))
-            yield pa.RecordBatch.from_arrays([lang, chunk, pa.array(h[some].view(np.int64)), pa.array(n, pa.int64()), lists], schema=_COUNTS)
+            yield pa.RecordBatch.from_arrays([lang, chunk, pa.array(h[some].view(np.int64)), pa.array(n, pa.int64())], names=["lang", "chunk", "h", "docs"])
 
-    return _read(docs).mapInArrow(run, "lang string, chunk string, h long, docs long, in_docs array<long>")
+    return _read(docs).mapInArrow(lambda batches: _added_up(counted(batches), ["lang", "chunk", "h"], "docs"), "lang string, chunk string, h long, docs long")
 
 
-def source_counts(docs: DataFrame, seed: int, kept) -> DataFrame:
-    """h, g (a hash of language and source), n: occurrences of the chunks that the filter `kept` passes, added up within blocks of texts."""
+def document_chunks(docs: DataFrame, seed: int, passed) -> DataFrame:
+    """h, row: the chunks of each document that the filter passes."""
 
     def run(batches):
+        for rows, _, lang_keys, _, texts in _blocks(batches):
+            words, h = _chunks(texts, lang_keys, seed)
+            at = np.flatnonzero(holds(passed.value, h))
+            order, number = _grouped(h[at])
+            code = np.sort((number << 32) | words.doc[at[order]])
+            code = code[np.r_[True, code[1:] != code[:-1]]] if len(code) else code
+            value = h[at[order[np.flatnonzero(np.r_[True, number[1:] != number[:-1]])]]] if len(order) else h[at]
+            yield pa.RecordBatch.from_arrays([pa.array(value[code >> 32].view(np.int64)), pa.array(np.array(rows, np.int64)[code & 0xFFFFFFFF])], names=["h", "row"])
+
+    return _read(docs).mapInArrow(run, "h long, row long")
+
+
+def source_counts(docs: DataFrame, seed: int, kept) -> DataFrame:
+    """h, g (a hash of language and source), n: occurrences of the chunks that the filter `kept` passes, added up within tasks."""
+
+    def counted(batches):
         for _, _, lang_keys, g, texts in _blocks(batches):
             words, h = _chunks(texts, lang_keys, seed)
             pass_ = np.flatnonzero(holds(kept.value, h))
@@ -102,41 +135,42 @@ def source_counts(docs: DataFrame, seed: int, kept) -> DataFrame:
             own = code[starts]
             yield pa.RecordBatch.from_arrays([pa.array(value[own >> 32].view(np.int64)), pa.array(names[own & 0xFFFFFFFF]), pa.array(np.diff(np.r_[starts, len(code)]))], names=["h", "g", "n"])
 
-    return _read(docs).mapInArrow(run, "h long, g long, n long")
+    return _read(docs).mapInArrow(lambda batches: _added_up(counted(batches), ["h", "g"], "n"), "h long, g long, n long")
 
 
 def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """lang, source, term, n: occurrences of each kept term, where there are any. A term is kept in a language if at least least_docs documents
-    have it (at most LEAST_DOCS).
+    have it.
 
     Chunks are counted document by document, each distinct chunk is tokenized once, and its terms are joined back. A chunk that is in enough
     documents settles its terms; so do chunks that are not in enough all together. Only for terms in between, whose chunks are all rare,
-    documents are told apart by their numbers. The chunks of kept terms are then counted for each source; they go to their terms by a hash, once that is checked to part all chunks.
-    Hot chunks are a few counted rows a block, and all joins are by chunk or term."""
+    their documents are looked up and told apart. The chunks of kept terms are then counted for each source. Chunks go to their terms by
+    a hash, once that is checked to part them all. Hot chunks are a few counted rows a task, and all joins are by chunk or term."""
+    once = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
     for seed in range(1, 9):
-        counted = materialize(chunk_counts(docs, seed), "divergence-chunks", "zstd")
-        chunks = materialize(counted.groupBy("lang", "chunk", "h").agg(F.sum("docs").alias("docs")), "divergence-counts", "zstd")
-        if not chunks.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").take(1):
+        # all rows of a chunk are in one partition, where its terms are found once for all languages
+        chunks = chunk_counts(docs, seed).repartition("chunk").groupBy("chunk", "lang", "h").agg(F.sum("docs").alias("docs"))
+        chunks = chunks.groupBy("chunk").agg(F.collect_list(F.struct("lang", "h", "docs")).alias("own")).select("own", F.xxhash64("chunk").alias("id"), once.alias("terms"))
+        times = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).alias("times")))
+        each = chunks.select("own", "id", F.explode_outer(times).alias("x")).select(F.explode("own").alias("o"), "id", "x").select("o.lang", "o.h", "o.docs", "id", "x.term", "x.times")
+        each = materialize(each, "divergence-chunks", "zstd")
+        one = F.xxhash64("id", "lang")
+        if not each.groupBy("h").agg(F.min(one).alias("least"), F.max(one).alias("most")).where("least <> most").take(1):
             break
     else:
         raise ValueError("no seed parts the hashes of all chunks")
-    tokenized = chunks.select("chunk").distinct().select("chunk", F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0)).alias("terms"))
-    by_chunk = materialize(chunks.join(tokenized.where(F.size("terms") > 0), "chunk"), "divergence-terms", "zstd")
-    each = by_chunk.select("lang", "h", "docs", F.explode(F.array_distinct("terms")).alias("term"))
-    bounds = each.groupBy("lang", "term").agg(F.max("docs").alias("low"), F.sum("docs").alias("high")).where(F.col("high") >= least_docs)
-    bounds = materialize(bounds, "divergence-bounds", "zstd")
-    open_ = each.join(bounds.where(F.col("low") < least_docs).select("lang", "term"), ["lang", "term"]).select("h", "lang", "term")
-    found = counted.select("h", "in_docs").join(open_, "h").select("lang", "term", F.explode("in_docs").alias("row")).distinct()
+    bounds = each.where("term is not null").groupBy("lang", "term").agg(F.max("docs").alias("low"), F.sum("docs").alias("high")).where(F.col("high") >= least_docs)
+    of = each.join(bounds.select("lang", "term", (F.col("low") < least_docs).alias("open")), ["lang", "term"]).select("h", "lang", "term", "times", "open")
+    of = materialize(of, "divergence-terms", "zstd")
+    open_ = of.where("open")
+    found = document_chunks(docs, seed, key_filter(open_, ["h"])).join(open_, "h").select("lang", "term", "row").distinct()
     settled = found.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= least_docs).select("lang", "term")
-    kept = bounds.where(F.col("low") >= least_docs).select("lang", "term").unionByName(settled)
-    of = by_chunk.select("lang", "h", F.explode("terms").alias("term")).groupBy("lang", "h", "term").agg(F.count(F.lit(1)).alias("times"))
-    of = materialize(of.join(kept, ["lang", "term"]), "divergence-kept", "zstd")
-    remove(counted, chunks, by_chunk, bounds)
-    passed = key_filter(of.select("h"), ["h"])
+    kept = materialize(of.where("not open").unionByName(open_.join(settled, ["lang", "term"], "left_semi")).drop("open"), "divergence-kept", "zstd")
+    remove(each, of)
     groups = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct().withColumn("g", F.xxhash64("lang", "source"))
     # rows of a chunk travel together: they are added up, and meet the chunk's terms, without another shuffle
-    n = source_counts(docs, seed, passed).repartition("h").groupBy("h", "g").agg(F.sum("n").alias("n"))
-    terms = n.join(of.hint("merge"), "h").groupBy("g", "lang", "term").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+    n = source_counts(docs, seed, key_filter(kept, ["h"])).repartition("h").groupBy("h", "g").agg(F.sum("n").alias("n"))
+    terms = n.join(kept.hint("merge"), "h").groupBy("g", "lang", "term").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
     out = terms.join(groups.select("g", "source", F.col("lang").alias("lang_")), "g").where("lang = lang_").select("lang", "source", "term", "n")
     return materialize(out, "divergence-kept-counts", "zstd")
 

@@ -37,7 +37,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return level.select("source", "source_size", "weight", F.coalesce(F.least("cap", F.col("water") * F.col("weight")), F.col("cap")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most_passes: int = MOST_PASSES, seed: int = 7, slices: int = SLICES) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most_passes: int = MOST_PASSES, seed: int = 7, slices: int = SLICES, row: str | None = None) -> DataFrame:
     """The queue of the mix: a row for each time a document could be taken.
 
     Every source's documents stand shuffled by a hash of (doc_id, seed, pass), a pass after the other. An entry's virtual finish time is
@@ -45,11 +45,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     below the budget (the sum of the targets). Running sums go over hash slices of a source and over slices of time, so a source that
     has a third of all rows is spread over `slices` groups for each pass, and only the slice in which the budget ends is sorted.
 
-    docs: doc_id, text, source; other columns are left alone. Returns doc_id, row_key (equal for equal rows), row (each row's own, not the same in another run), source, size,
+    docs: doc_id, text, source; other columns are left alone, but for `row`, a column of distinct numbers, if named. Returns doc_id, row_key (equal for equal rows), row (that, or each row's own, not the same in another run), source, size,
     source_size, target, pass (from 0), finish (double), taken (boolean). Null or empty texts have size 0 and are taken when their turn
     comes. Repeated doc_ids count as different rows; the same input gives the same mix. An empty table gives an empty queue.
     """
-    base = docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("doc_id", "text").alias("row_key"), F.monotonically_increasing_id().alias("row"))
+    base = docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("doc_id", "text").alias("row_key"), (F.monotonically_increasing_id() if row is None else F.col(row)).alias("row"))
     rows = materialize(base, "mix-sizes")
     sizes = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most_passes), "mix-targets")
     sized = rows.join(sizes.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_")), "inner").drop("source_")
@@ -80,16 +80,13 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """docs as the mix takes them: a document that is taken twice is there twice. Columns as in docs, whatever their names; null ids and texts
-    are matched as values. An empty table gives no rows."""
-    id_, key, n, same_id, same_key, same_n, times_, copy = fresh(docs, "mix_id", "mix_key", "mix_n", "same_id", "same_key", "same_n", "mix_times", "mix_copy")
-    taken = mix_sources(docs, **how).where("taken").groupBy(F.col("doc_id").alias(id_), F.col("row_key").alias(key)).agg(F.count(F.lit(1)).alias(n))
-    # equal rows share doc_id and row_key: the times they were taken are spread evenly over them
-    same = docs.select(F.col("doc_id").alias(same_id), F.xxhash64("doc_id", "text").alias(same_key)).groupBy(same_id, same_key).agg(F.count(F.lit(1)).alias(same_n))
-    times = taken.join(same, F.col(id_).eqNullSafe(F.col(same_id)) & (F.col(key) == F.col(same_key)))
-    times = times.select(id_, key, F.ceil(F.col(n) / F.col(same_n)).cast("int").alias(times_))
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times[id_]) & (F.xxhash64(docs["doc_id"], docs["text"]) == times[key]))
-    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times_)))).select(*[docs[c] for c in docs.columns])
+    """docs as the mix takes them: a row that is taken twice is there twice, each of equal rows as often as the queue took it. Columns as in docs,
+    whatever their names; rows go by a number of their own, so null and repeated ids lose and add nothing. An empty table gives no rows."""
+    row, own, times, copy = fresh(docs, "mix_row", "mix_own", "mix_times", "mix_copy")
+    held = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")  # written, so the numbers stay
+    taken = mix_sources(held, row=row, **how).where("taken").groupBy(F.col("row").alias(own)).agg(F.count(F.lit(1)).cast("int").alias(times))
+    joined = held.join(taken, F.col(row) == F.col(own))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

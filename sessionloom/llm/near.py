@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import chunks, fresh, materialize, remove, table, texts_of
 from .words import Words, mix
@@ -268,7 +267,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Classes and links of all documents at a similarity of SIMILAR or more of their sets of WORDS-word shingles.
 
     docs: doc_id, text; other columns aren't read. Returns a row a document: doc_id, row_key (a hash of doc_id and text), copy_id (the least
-    doc_id with the same shingles), class_id (the least doc_id of those that links connect), n_links (other documents at SIMILAR or more,
+    doc_id with the same shingles), class_id (the least doc_id of those that links connect), class_key (each class's own number, also where
+    ids are null or stand on several texts; null without words), n_links (other documents at SIMILAR or more,
     copies counted). Documents with the same shingles (128 bits of hash) are one set from the start and never paired. A text of fewer words
     than WORDS has one shingle, of all of them; texts without words (null, empty) have none, no links, and are classes of their own. Equal
     rows are copies. Candidates are connected first; the exact similarity of every two sets of a component is then counted once, in blocks
@@ -305,26 +305,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = found.groupBy("set").agg(F.sum("links").alias("links"))
     classes = sets.select("set", "a", "b", "copies", "least").join(root.withColumnRenamed("node", "set"), "set", "left").join(links, "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = classes.groupBy("root").agg(F.min("least").alias("class_id"))
-    classes = classes.join(least, "root").select("a", "b", F.col("least").alias("copy_id"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    classes = classes.join(least, "root").select("a", "b", F.col("least").alias("copy_id"), "class_id", F.col("root").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = seen.drop("sketch", "n").join(classes, ["a", "b"], "left")
     own_id = lambda c: F.when(F.col("a").isNull(), F.col("doc_id")).otherwise(F.col(c)).alias(c)
-    return out.select("doc_id", "row_key", own_id("copy_id"), own_id("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "row_key", own_id("copy_id"), own_id("class_id"), "class_key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one with the least doc_id; columns as in docs, whatever their names. Texts without words all stay, and
-    of repeated rows of a class one. An empty table gives no rows."""
+    """One document of each class, the one with the least doc_id (null first, then the least hash of id and text); columns as in docs, whatever their
+    names. Classes are told apart by their texts, so null ids and ids that stand on several texts lose nothing. Texts without words all
+    stay, and of repeated rows of a class one. An empty table gives no rows."""
     found = materialize(near_duplicates(docs), "near-found")
     id_, key, one, nth = fresh(docs, "kept_id", "kept_key", "one", "nth_copy")
     alone = found.where(F.col("n_links") == 0).select("doc_id", "row_key")
-    first = found.where(F.col("n_links") > 0).groupBy("class_id").agg(F.min(F.struct("doc_id", "row_key")).alias("own")).select("own.doc_id", "own.row_key")
+    first = found.where(F.col("n_links") > 0).groupBy("class_key").agg(F.min(F.struct("doc_id", "row_key")).alias("own")).select("own.doc_id", "own.row_key")
     keep = alone.distinct().withColumn(one, F.lit(False)).unionByName(first.withColumn(one, F.lit(True))).select(F.col("doc_id").alias(id_), F.col("row_key").alias(key), one)
     joined = docs.join(keep, docs["doc_id"].eqNullSafe(keep[id_]) & (F.xxhash64(docs["doc_id"], docs["text"]) == keep[key]))
-    order = Window.partitionBy(F.coalesce(F.col(id_), F.lit(0)), key).orderBy(key)
-    return joined.withColumn(nth, F.row_number().over(order)).where((F.col(nth) == 1) | ~F.col(one)).select(*[docs[c] for c in docs.columns])
+    # a third of all rows may be one row: the first of equal rows is found without bringing them together
+    row, least = fresh(joined, "row", "least")
+    joined = materialize(joined.withColumn(row, F.monotonically_increasing_id()), "near-kept")
+    firsts = joined.where(F.col(one)).groupBy(id_, key).agg(F.min(row).alias(least)).select(least)
+    out = joined.where(~F.col(one)).unionByName(joined.join(firsts, F.col(row) == F.col(least), "left_semi"))
+    return out.select(*docs.columns)
 
 
 def op7_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """near_duplicates of all documents: null and empty texts are classes of their own without links, repeated rows are copies, an empty
-    table gives no rows, other columns aren't read."""
+    """near_duplicates of all documents: null and empty texts are classes of their own without links, repeated rows are copies, null ids and an
+    id on several texts are classes by their texts (class_key), an empty table gives no rows, other columns aren't read."""
     return near_duplicates(table(spark, sf_dir, "documents")).drop("row_key")

@@ -105,6 +105,26 @@ def test_mix_of_nothing(spark):
     assert alone.target.tolist() == [0.0, 0.0]
 
 
+def test_mixed_documents_are_what_the_queue_took(spark):
+    rows = [(1, "a b c", "x")] * 3 + [(1, "a b c", "y")] * 2 + [(None, "d e", "x")] * 2 + [(2, "f g h i", "y"), (3, "j", None), (1, "k l m n o p", "x")]
+    ids, texts, sources = zip(*rows, strict=True)
+    table = docs(spark, texts, sources, ids=ids)
+    queue = mix.mix_sources(table, slices=4).where("taken").toPandas()
+    got = mix.mixed_documents(table, slices=4).toPandas()
+    assert len(got) == len(queue) and sum(len(WORD.findall(t)) for t in got.text) == queue["size"].sum()
+    count = lambda x: Counter((str(d), str(s)) for d, s in zip(x.doc_id.astype("Int64"), x.source.where(x.source.notna(), "-"), strict=True))
+    assert count(got) == count(queue)
+
+
+def test_one_of_each_class_stays_whatever_its_ids(spark):
+    a, b, c = (words_of(k, 60) for k in (301, 302, 303))
+    near_b = b.rsplit(" ", 1)[0] + " end"
+    for ids, texts in (([4, 5, 4, 6], [a, a, b, b]), ([None] * 5, [a, a, b, near_b, c]), ([7, 7, 7, None], [a, b, c, a])):
+        got = near.one_of_each(docs(spark, texts, ids=ids)).toPandas()
+        assert len(got) == len({t if t != near_b else b for t in texts})
+        assert {t if t != near_b else b for t in got.text} == {t if t != near_b else b for t in texts}
+
+
 def test_mix_query_keeps_repeated_rows(spark, tmp_path):
     rows = [(1, "a b c", "x")] * 3 + [(1, "a b c", "y")] * 2 + [(None, "d e", "x")] * 2 + [(2, "f g h i", "y"), (3, "j", None)]
     ids, texts, sources = zip(*rows, strict=True)

@@ -59,7 +59,7 @@ def test_divergence_of_odd_rows(spark, monkeypatch):
 
 
 def test_documents_of_rare_chunks_are_told_apart(spark):
-    # each chunk is in 10 to 20 documents, alone or two to a document: `foo` is in 40 documents, `bar` in 29 though its chunks have 40
+    # each chunk is in 20 documents, alone or two to a document: `foo` is in 40 documents, `bar` in 29 though its chunks have 40
     texts = [f"foo{m} x{i}" for m in (",", ".") for i in range(20)] + ["bar, bar."] * 11 + ["bar,"] * 9 + ["bar."] * 9
     table = docs(spark, texts)
     got = {r["term"]: r["n"] for r in divergence.term_counts(table).collect()}
