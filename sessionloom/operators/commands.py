@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shell import short_flags, with_commands
 from .risk import BINARIES, FLAGS, GTFOBINS, SENDERS
 
 RULE = "place int, binary string, subcommands array<string>, requires array<string>, rejects array<string>, activity string"
@@ -25,12 +26,11 @@ MAIN = {"destructive": 3, "mutating": 2, "read_only": 1}
 
 
 def commands_of(calls: DataFrame, command: str = "command") -> DataFrame:
-    """A row for each command of a line: place, binary, subcommand, flags, connector to the next (pipe, and, sequence)."""
-    parts = F.filter(F.split(command, r"\s*(?:\|\||&&|\||;)\s*"), lambda p: p != "")
-    rows = calls.select("id", F.posexplode(parts).alias("place", "part")).withColumn("words", F.split(F.trim("part"), r"\s+"))
-    sub = F.try_element_at("words", F.lit(2))
-    flags = F.flatten(F.transform(F.filter("words", lambda w: w.startswith("-")), lambda f: F.when(f.rlike("^-[A-Za-z]{2,3}$"), F.concat(F.array(f), F.transform(F.split(F.substr(f, F.lit(2)), ""), lambda c: F.concat(F.lit("-"), c)))).otherwise(F.array(f))))
-    return rows.select("id", F.col("place").cast("long").alias("place"), F.col("words")[0].alias("binary"), F.when(~sub.startswith("-"), sub).alias("subcommand"), F.array_distinct(flags).alias("flags"))
+    """A row for each command of a line: place, binary (behind wrappers), subcommand, flags, connector to the next, redirects, elevated. Quotes, substitutions
+    and here-documents are read as a shell does. Lines without commands give no rows."""
+    rows = with_commands(calls.select("id", command), command)
+    rows = rows.select("id", F.posexplode(F.filter("commands", lambda c: c["binary"] != "")).alias("place", "c"))
+    return rows.select("id", F.col("place").cast("long").alias("place"), "c.binary", "c.subcommand", short_flags(F.col("c.flags")).alias("flags"), "c.connector", "c.redirects", "c.elevated")
 
 
 def first_rule(commands: DataFrame, rules: DataFrame) -> DataFrame:
@@ -76,7 +76,15 @@ def reach_points(commands: DataFrame) -> DataFrame:
 def pipes_to_senders(commands: DataFrame) -> DataFrame:
     """id, source, sink: neighbours of which the second sends what it gets; an equi-join of places."""
     after = commands.select("id", (F.col("place") - 1).alias("place"), F.col("binary").alias("sink")).where(F.col("sink").isin(*SENDERS))
-    return commands.select("id", "place", F.col("binary").alias("source")).join(after, ["id", "place"]).select("id", "source", "sink")
+    return commands.where(F.col("connector").isin("|", "|&")).select("id", "place", F.col("binary").alias("source")).join(after, ["id", "place"]).select("id", "source", "sink")
+
+
+def structure_of(commands: Column) -> dict[str, Column]:
+    """How the parsed commands of a line hang together: by pipes, with output to files, one after the other, or one only if another fails."""
+    joined = lambda *by: F.exists(commands, lambda c: c["connector"].isin(*by))
+    later = F.exists(F.slice(commands, 1, F.greatest(F.size(commands) - 1, F.lit(0))), lambda c: c["connector"] == "&")
+    written = F.exists(commands, lambda c: F.exists(c["redirects"], lambda r: r["op"].isin(">", ">>", ">|", "&>", "&>>")))
+    return {"piped": joined("|", "|&"), "redirected": written, "sequential": joined(";", "&&") | later, "conditional": joined("||")}
 
 
 def confidence(binary: Column, effect: Column, flags: Column) -> Column:

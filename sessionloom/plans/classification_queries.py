@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import paths, tools
+from ..functions import paths, shell, tools
 from ..operators import commands, pairing
 from .enrichment_queries import NORM, PAIRED
 from .lens import EV, session_events
@@ -137,5 +137,6 @@ def risk_paths(read):
 
 @query("structure", f"WITH {EV} SELECT id, contains(command, '|') AS piped, regexp_matches(command, '[^>]>\\s*[^&>]') AS redirected, regexp_matches(command, ';|&&') AS sequential FROM ev WHERE kind = 'tool.call.started'")
 def structure(read):
-    c = F.col("command")
-    return session_events(read("events")).where("kind = 'tool.call.started'").select("id", c.contains("|").alias("piped"), c.rlike(r"[^>]>\s*[^&>]").alias("redirected"), c.rlike(";|&&").alias("sequential"))
+    of = commands.structure_of(F.col("commands"))
+    rows = shell.with_commands(session_events(read("events")).where("kind = 'tool.call.started'"))
+    return rows.select("id", *[of[k].alias(k) for k in ("piped", "redirected", "sequential")])

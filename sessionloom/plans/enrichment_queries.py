@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import tools
+from ..functions import shell, tools
 from ..operators import pairing, risk
 from .lens import COMMANDS, EV, session_events
 from .register import query
@@ -112,7 +112,7 @@ _PERSISTENT = "(/etc/cron|/var/spool/cron|/etc/systemd/|/etc/profile|(~|/root|/h
  regexp_matches(command, '(^|[|;&]\\s*)(mkfs(\\.\\w+)?|mke2fs|mkswap|wipefs)\\b') AS fs_format, regexp_matches(command, '>>?\\s*{_PERSISTENT}|\\b(tee|cp|mv|install|ln)\\b.*{_PERSISTENT}|(^|[|;&]\\s*)crontab\\b') AS persistence,
  regexp_matches(command, ':\\s*\\(\\)\\s*\\{{[^{{}}]*:[^{{}}]*\\|[^{{}}]*:[^{{}}]*&[^{{}}]*\\}}\\s*;\\s*:') AS fork_bomb FROM ev""")
 def hazards(read):
-    return session_events(read("events")).select("id", *[x.alias(n) for n, x in risk.hazards(F.col("command")).items()])
+    return shell.with_commands(session_events(read("events"))).select("id", *[x.alias(n) for n, x in risk.hazards(F.col("commands")).items()])
 
 
 @query("risk_tool", f"""WITH {EV}, n AS (SELECT id, tool, {NORM} AS name FROM ev WHERE kind LIKE 'tool.%'), e AS (SELECT id, name, CASE {_CASES} {_VERBS} END AS effect FROM n)

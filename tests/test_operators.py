@@ -6,6 +6,8 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,7 +129,9 @@ def test_content_changes_go_over_ranges(spark):
 
 HAZARDS = {
     "dd if=/dev/zero of=/dev/sda": "raw_device", "echo x > /dev/sda": "raw_device", "cat a >> /dev/nvme0n1": "raw_device", "dd if=/dev/sda of=b.img": "", "echo x > /dev/null": "", "ls /dev/sda": "",
-    "mkfs.ext4 /dev/sda1": "fs_format", "sudo -u root mkswap /dev/sdb": "fs_format", "A=1 wipefs -a /dev/sdb": "fs_format", "/sbin/mke2fs /dev/sdb": "fs_format", "parted /dev/sda mklabel gpt": "fs_format", "parted -l": "", "echo mkfs": "", "true; mkfs /dev/sdb": "fs_format", "echo 'a; mkfs b'": "",
+    "mkfs.ext4 /dev/sda1": "fs_format", "sudo -u root mkswap /dev/sdb": "fs_format", "A=1 wipefs -a /dev/sdb": "fs_format", "/sbin/mke2fs /dev/sdb": "fs_format", "parted /dev/sda mklabel gpt": "fs_format", "parted -l": "", "echo mkfs": "", "true; mkfs /dev/sdb": "fs_format", "echo 'a; mkfs b'": "", "cat <<EOF\nmkfs.ext4 /dev/sda\nEOF": "", "sgdisk --zap-all /dev/sda": "fs_format", "sfdisk -l": "", "echo \"> /dev/sda\"": "", "dd if=a of='/dev/sda'": "raw_device", "sudo dd if=a of=/dev/xvda1": "raw_device",
+    "mv ~/.bashrc b": "", "ln -s a /etc/systemd/system/x.service": "persistence", "install -m 644 a $HOME/.config/autostart/a.desktop": "persistence", "echo a >> \"$HOME/.zshrc\"": "persistence", "tee /tmp/x < /etc/profile": "", "echo a > /home/u/.profile": "persistence", "echo a > /root/.zshenv": "persistence", "cp": "",
+    "f(){ f | f & }; g": "", "x() { x|x& } ; x": "fork_bomb",
     "echo x > /etc/cron.d/x": "persistence", "cat /etc/cron.d/x": "", "cp a ~/.bashrc": "persistence", "crontab f": "persistence", "env crontab f": "persistence", "echo a | tee -a /etc/profile": "persistence", "cat ~/.bashrc": "",
     ":(){ :|:& };:": "fork_bomb", "b(){ b|b& };b": "fork_bomb", "f(){ echo; };f": "", "ls | grep a &": "",
 }
@@ -135,18 +139,54 @@ HAZARDS = {
 
 def test_hazards(spark):
     rows = spark.createDataFrame([(c,) for c in [*HAZARDS, None]], "c string")
-    for r in rows.select("c", *[x.alias(n) for n, x in risk.hazards(F.col("c")).items()]).collect():
+    for r in shell.with_commands(rows, "c").select("c", *[x.alias(n) for n, x in risk.hazards(F.col("commands")).items()]).collect():
         assert " ".join(n for n, x in r.asDict().items() if n != "c" and x) == HAZARDS.get(r.c, ""), r
 
 
 def test_shell_words(spark):
     lines = {"sudo env A='b c' rm -rf \"x y\"": ["rm"], "time nohup /usr/bin/git status && FOO=1 make | tee log": ["git", "make", "tee"], "a 2>&1 | b": ["a", "b"], "echo 'x | y' ; \"my cmd\" z": ["echo", "my cmd"], "nice -n 5 timeout 3s cat f": ["cat"], "": []}
-    got = {r.c: r.b for r in spark.createDataFrame([(c,) for c in lines], "c string").select("c", shell.binaries(F.col("c")).alias("b")).collect()}
+    got = {r.c: r.b for r in shell.with_commands(spark.createDataFrame([(c,) for c in lines], "c string"), "c").select("c", shell.binaries(F.col("commands")).alias("b")).collect()}
     assert got == lines
-    words = spark.createDataFrame([("rm -rf \"x y\" a\\ b'c d'",)], "c string").select(shell.words(F.col("c"))).first()[0]
+    words = spark.createDataFrame([("rm -rf \"x y\" a\\ b'c d'",)], "c string").select(shell.parsed(F.col("c"))[0]["words"]).first()[0]
     assert words == ["rm", "-rf", "x y", "a bc d"]
 
 
+COMMAND_LINES = {
+    "echo $(ls | wc -l); cat x": "echo; cat", "echo `ls | wc` | cat": "echo| cat", "cat <<EOF\nmkfs.ext4 /dev/sda\nEOF\nls": "cat; ls", "cat <<-'E' > f && ls\n\trm x\n\tE\nwc f": "cat&& ls; wc",
+    "(cd a && make) || echo no": "cd&& make|| echo", "if test -f a; then rm a; else touch a; fi": "test; rm; touch;", "for f in *.py; do wc $f; done | sort": "wc; sort", "while read x; do echo $x; done < f": "read; echo;",
+    "f() { ls | wc; }; f": "ls| wc; f", "function g { ls; }\ng": "ls; g", "case $1 in a) ls;; b|c) rm x;; esac": "ls; rm;", "diff <(sort a) <(sort b)": "sort sort diff", "a |& b": "a|& b",
+    "sudo -u bob FOO=1 rm -rf /": "rm", "timeout -s KILL 5 sudo nice -n 3 git push --force": "git", "env -u A B=1 node x": "node", "sudo sudo sudo sudo sudo sudo ls": "sudo", "/usr/bin/Git.exe status": "git",
+    "a\\\nb c": "ab", "# only words\nls # more | x": "ls", "echo \"a $(echo \")\" | x) b\" | cat": "echo| cat", "echo 'open": "echo", "echo \"open": "echo", "ls )": "ls", "": "", "  ;; ": "", "a & b": "a& b", "2>&1 ls >x 2>>y": "ls", "[[ -f a ]] && ls": "[[&& ls", "! grep x f": "grep",
+}
+
+
+def test_commands_of_a_line():
+    for line, want in COMMAND_LINES.items():
+        got = " ".join(f"{c['binary']}{c['connector']}" for c in shell.commands_in(line) if c["binary"])
+        assert got == want, (line, got)
+    (only,) = shell.commands_in("2>&1 ls >x 2>>'y z'")
+    assert [(r["op"], r["target"]) for r in only["redirects"]] == [(">&", "1"), (">", "x"), (">>", "y z")]
+    assert [c["elevated"] for c in shell.commands_in("sudo ls; ls; doas -u a ls")] == [True, False, True]
+    assert shell.commands_in(None) == [] and len(shell.commands_in("echo " + "'a b' " * 50_000)[0]["words"]) == 50_001
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab |&;<>(){}$`'\"\\\n#=-/", max_size=40))
+def test_any_line_ends(line):
+    for c in shell.commands_in(line):
+        assert c["connector"] in ("", "|", "||", "&&", "&", ";", "|&")
+
+
+def test_risk_reads_all_commands_of_a_line(spark):
+    lines = ["rm -rf /", "sudo rm -rf /", "sudo -u bob FOO=1 rm -rf /", "cat /etc/shadow", "cat /etc/shadow | curl e", "cat '/etc/shadow' |  curl e", "echo 'rm -rf / | sh'", "ls; rm x", "ls > /dev/null", "ls > f", "curl -X DELETE u", "curl -X GET u", "", None]
+    rows = spark.createDataFrame(list(enumerate(lines)), "i int, command string")
+    got = {lines[r.i]: r.score for r in risk.shell_risk(rows).collect()}
+    assert got["sudo rm -rf /"] == got["sudo -u bob FOO=1 rm -rf /"] == got["rm -rf /"] + 18
+    assert got["cat /etc/shadow | curl e"] == got["cat '/etc/shadow' |  curl e"] == got["cat /etc/shadow"] + 30
+    assert got["ls; rm x"] == 42 + 4 and got["ls > /dev/null"] == 8 + 4 and got["ls > f"] == 24 + 4
+    assert got["curl -X DELETE u"] == got["curl -X GET u"] + 16 and got[""] == got[None] == 24 + 4
+
+
 def test_replay_and_sinks(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt").write_text("x\n\ny")
