@@ -19,11 +19,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Documents of a language that a kept term is in; smoothing and scale of shares; terms a report names.
 LEAST_DOCS, PRIOR, SCALE, MOST_TERMS = 30, 5, 1_000_000_000, 50
 #: Characters of texts whose chunks are counted together.
-BLOCK_CHARS = 5_000_000
+BLOCK_CHARS = 8_000_000
 #: Terms (by hash) and sources of one comparison of shares.
 TERMS_A_BIN, SOURCES_A_BLOCK = 2000, 128
-#: Counted rows that a task holds to add up the same ones.
-MOST_HELD = 1_000_000
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -60,31 +58,10 @@ def _grouped(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(new)
 
 
-def _added_up(batches, keys: list[str], n: str):
-    """Batches of counts, those with the same keys added up over MOST_HELD rows or more."""
-    held, rows = [], 0
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= MOST_HELD:
-            held = [_sums(held, keys, n)]
-            rows = held[0].num_rows
-            if rows >= MOST_HELD // 2:
-                yield from held[0].to_batches(max_chunksize=100_000)
-                held, rows = [], 0
-    if held:
-        yield from _sums(held, keys, n).to_batches(max_chunksize=100_000)
-
-
-def _sums(held: list, keys: list[str], n: str) -> pa.Table:
-    whole = pa.concat_tables([pa.Table.from_batches([x]) if isinstance(x, pa.RecordBatch) else x for x in held])
-    return whole.group_by(keys, use_threads=False).aggregate([(n, "sum")]).rename_columns([*keys, n]).combine_chunks()
-
-
 def chunk_counts(docs: DataFrame, seed: int) -> DataFrame:
-    """lang, chunk, h (a hash of both), docs (documents with it): the distinct chunks of each document, added up within tasks."""
+    """lang, chunk, h (a hash of both), docs (documents with it): the distinct chunks of each document, added up within blocks of texts."""
 
-    def counted(batches):
+    def run(batches):
         for _, langs, lang_keys, _, texts in _blocks(batches):
             words, h = _chunks(texts, lang_keys, seed)
             order, at = _grouped(h)
@@ -100,7 +77,7 @@ def chunk_counts(docs: DataFrame, seed: int) -> DataFrame:
             lang = pa.DictionaryArray.from_arrays(pa.array(np.array([number[x] for x in langs], np.int32)[words.doc[some]]), pa.array(names, pa.string())).cast(pa.string())
             yield pa.RecordBatch.from_arrays([lang, chunk, pa.array(h[some].view(np.int64)), pa.array(n, pa.int64())], names=["lang", "chunk", "h", "docs"])
 
-    return _read(docs).mapInArrow(lambda batches: _added_up(counted(batches), ["lang", "chunk", "h"], "docs"), "lang string, chunk string, h long, docs long")
+    return _read(docs).mapInArrow(run, "lang string, chunk string, h long, docs long")
 
 
 def document_chunks(docs: DataFrame, seed: int, passed) -> DataFrame:
@@ -120,9 +97,9 @@ def document_chunks(docs: DataFrame, seed: int, passed) -> DataFrame:
 
 
 def source_counts(docs: DataFrame, seed: int, kept) -> DataFrame:
-    """h, g (a hash of language and source), n: occurrences of the chunks that the filter `kept` passes, added up within tasks."""
+    """h, g (a hash of language and source), n: occurrences of the chunks that the filter `kept` passes, added up within blocks of texts."""
 
-    def counted(batches):
+    def run(batches):
         for _, _, lang_keys, g, texts in _blocks(batches):
             words, h = _chunks(texts, lang_keys, seed)
             pass_ = np.flatnonzero(holds(kept.value, h))
@@ -135,7 +112,7 @@ def source_counts(docs: DataFrame, seed: int, kept) -> DataFrame:
             own = code[starts]
             yield pa.RecordBatch.from_arrays([pa.array(value[own >> 32].view(np.int64)), pa.array(names[own & 0xFFFFFFFF]), pa.array(np.diff(np.r_[starts, len(code)]))], names=["h", "g", "n"])
 
-    return _read(docs).mapInArrow(lambda batches: _added_up(counted(batches), ["h", "g"], "n"), "h long, g long, n long")
+    return _read(docs).mapInArrow(run, "h long, g long, n long")
 
 
 def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
@@ -145,7 +122,7 @@ def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     Chunks are counted document by document, each distinct chunk is tokenized once, and its terms are joined back. A chunk that is in enough
     documents settles its terms; so do chunks that are not in enough all together. Only for terms in between, whose chunks are all rare,
     their documents are looked up and told apart. The chunks of kept terms are then counted for each source. Chunks go to their terms by
-    a hash, once that is checked to part them all. Hot chunks are a few counted rows a task, and all joins are by chunk or term."""
+    a hash, once that is checked to part them all. Hot chunks are a few counted rows a block, and all joins are by chunk or term."""
     once = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
     for seed in range(1, 9):
         # all rows of a chunk are in one partition, where its terms are found once for all languages
