@@ -196,7 +196,9 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end: int
         if doc_ids:
             yield pd.DataFrame({"content": [pack_file(TaskContext.get().partitionId(), *map(np.concatenate, (doc_ids, sizes, ids)), lengths, codes)]})
 
-    dealt = tokens.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row_key")
+    # ranges of rows, not of ids: many rows with one id, or none, are many files
+    first = F.col("doc_id").asc_nulls_first()
+    dealt = tokens.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(files, first, "row_key", "row").sortWithinPartitions(first, "row_key").drop("row")
     dealt.mapInPandas(store, "content binary").select(F.col("content").cast("string")).write.text(folder)  # the cast leaves the bytes as they are
     remove(tokens)
 

@@ -186,21 +186,24 @@ def _place(name: str) -> tuple:
 def find_copies(queries: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(matches, members) for queries and images of (id, image).
 
-    Equal images are one class, named by its least id: members has id, class_id of all images. matches has a row for each query and class
-    that is a cropped or edited form of the other: query_id, class_id, corners (that agree), turn (in TURNS steps from the query to the
-    class), octave (the class's image is 2 ** octave times as large: -1, 0, 1), dy, dx (the shift after both). Corners that share a key in
-    one of the two tables are compared by the Hamming distance of other tests; each pair that is near votes for the turn and the doubling
-    in which the corners' directions and levels differ and the shift that is left, and LEAST_CORNERS must agree. Images without corners
-    (flat, small, null, broken) match nothing; repeated rows are members of one class; queries with the same id are one query. Every image is indexed, every table looked up as a
+    Equal images are one class: members has id, class_id (the class's least id, not unique where ids repeat or are null) and class_key
+    (the class's own) of all images. matches has a row for each query and class that is a cropped or edited form of the other: query_id,
+    class_id, class_key, corners (that agree), turn (in TURNS steps from the query to the class), octave (the class's image is 2 ** octave
+    times as large: -1, 0, 1), dy, dx (the shift after both). Corners that share a key in one of the two tables are compared by the Hamming
+    distance of other tests; each pair that is near votes for the turn and the doubling in which the corners' directions and levels differ
+    and the shift that is left, and LEAST_CORNERS must agree. Images without corners (flat, small, null, broken) match nothing; repeated
+    rows are members of one class; queries with the same id and image are one query. Every image is indexed, every table looked up as a
     join; only classes go into it, so copies of any number are one entry.
     """
     found = materialize(corners(images), "media-images", "zstd")
-    classes = materialize(found.groupBy("image_key").agg(F.min("id").alias("class_id")), "media-classes")
-    members = found.select("id", "image_key").join(classes, "image_key").select("id", "class_id")
-    # copies meet before the shuffle, so that an image which many rows have isn't sent as often
-    firsts = found.groupBy("image_key").agg(F.min("id").alias("id"), F.min_by(F.struct("at", "a", "b"), "id").alias("c")).select("id", "c.*")
-    asked = materialize(corners(queries).dropDuplicates(["id", "image_key"]), "media-queries")
-    met = _entries(asked, "id", "q").join(_entries(firsts, "id", "i").hint("merge"), "key")
+    # written with their numbers: what later jobs join on is a number of eight bytes, and the same in each of them
+    numbered = found.groupBy("image_key").agg(F.min("id").alias("class_id")).withColumn("class_no", F.monotonically_increasing_id())
+    classes = materialize(numbered, "media-classes")
+    members = found.select("id", "image_key").join(classes, "image_key").select("id", "class_id", F.hex("image_key").alias("class_key"))
+    # copies meet before the shuffle, so that an image which many rows have isn't sent as often; equal images have equal corners
+    firsts = found.groupBy("image_key").agg(F.first(F.struct("at", "a", "b")).alias("c")).join(classes.select("image_key", "class_no"), "image_key").select("class_no", "c.*")
+    asked = materialize(corners(queries).dropDuplicates(["id", "image_key"]).withColumn("query_no", F.monotonically_increasing_id()), "media-queries")
+    met = _entries(asked, "query_no", "q").join(_entries(firsts, "class_no", "i").hint("merge"), "key")
     differ = F.shiftrightunsigned(F.col("q").bitwiseXOR(F.col("i")), 64 - REST)
     (qy, qx, q_turn, q_level), (iy, ix, i_turn, i_level) = _place("q"), _place("i")
     near = met.where(F.bit_count(differ) <= MOST_BITS)
@@ -217,7 +220,9 @@ def find_copies(queries: DataFrame, images: DataFrame) -> tuple[DataFrame, DataF
     cells = cells.withColumns({"cy": F.floor((F.col("dy") + F.col("grid")) / SHIFT), "cx": F.floor((F.col("dx") + F.col("grid")) / SHIFT)})
     agree = cells.groupBy("q_id", "i_id", "turn", "octave", "grid", "cy", "cx").agg(F.count_distinct("q_at").alias("corners"), F.round(F.avg("dy")).cast("int").alias("dy"), F.round(F.avg("dx")).cast("int").alias("dx"))
     best = agree.where(F.col("corners") >= LEAST_CORNERS).groupBy("q_id", "i_id").agg(F.max(F.struct("corners", "turn", "octave", "dy", "dx")).alias("best"))
-    return best.select(F.col("q_id").alias("query_id"), F.col("i_id").alias("class_id"), "best.*"), members
+    named = best.join(asked.select(F.col("query_no").alias("q_id"), F.col("id").alias("query_id")), "q_id")
+    named = named.join(classes.select(F.col("class_no").alias("i_id"), "class_id", F.hex("image_key").alias("class_key")), "i_id")
+    return named.select("query_id", "class_id", "class_key", "best.*"), members
 
 
 def media_of(docs: DataFrame, copies: bool = False) -> DataFrame:
@@ -238,8 +243,8 @@ def op8_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     'member': all documents whose image others have too, and their class."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     matches, members = find_copies(media_of(docs.where(F.col("doc_id") % 20 == 0), copies=True), media_of(docs))
-    several = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("class_id")
-    found = matches.select(F.lit("match").alias("kind"), F.col("query_id").alias("doc_id"), "class_id", F.col("corners").cast("long"), "dy", "dx", "turn", "octave")
+    several = members.groupBy("class_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("class_key")
+    found = matches.select(F.lit("match").alias("kind"), F.col("query_id").alias("doc_id"), "class_id", "class_key", F.col("corners").cast("long"), "dy", "dx", "turn", "octave")
     nothing = F.lit(None)
-    own = members.join(several, "class_id", "left_semi").select(F.lit("member").alias("kind"), F.col("id").alias("doc_id"), "class_id", nothing.cast("long").alias("corners"), *(nothing.cast("int").alias(c) for c in ("dy", "dx", "turn", "octave")))
+    own = members.join(several, "class_key", "left_semi").select(F.lit("member").alias("kind"), F.col("id").alias("doc_id"), "class_id", "class_key", nothing.cast("long").alias("corners"), *(nothing.cast("int").alias(c) for c in ("dy", "dx", "turn", "octave")))
     return found.unionByName(own)

@@ -506,6 +506,18 @@ def test_media_copies(spark):
     assert media.find_copies(images.limit(0), images)[0].count() == 0
 
 
+def test_media_classes_of_null_and_repeated_ids(spark):
+    """Two pairs of equal texts without ids, a pair with ids, and one id on two texts: four classes of copies, none lost or merged."""
+    rows = [(None, "a"), (None, "a"), (None, "b"), (None, "b"), (7, "c"), (8, "c"), (4, "d"), (5, "d"), (4, "e")]
+    images = media.media_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    matches, members = media.find_copies(images, images)
+    sizes = sorted(r["count"] for r in members.groupBy("class_key").count().collect())
+    assert sizes == [1, 2, 2, 2, 2]
+    # each query, null ids and repeated ones too, finds its own image
+    asked = {(r.query_id, r.class_key) for r in matches.collect()}
+    assert {(r.id, r.class_key) for r in members.collect()} <= asked
+
+
 def test_media_turned_and_resized(spark):
     pictures = [media.render(f"picture {i}") for i in range(80)]
     as_table = lambda rows: spark.createDataFrame([(i, bytearray(media.encode_image(np.ascontiguousarray(p)))) for i, p in rows], "id long, image binary")
