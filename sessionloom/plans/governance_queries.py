@@ -191,6 +191,22 @@ def pii_spans(read):
     return card_spans(read("documents").select("doc_id", "text"))
 
 
+@query("pii_entities")
+def pii_entities(read):
+    """Every finding of the 11 entities in the texts, with its place and score."""
+    from ..functions.entities import entity_spans
+
+    return entity_spans(read("documents"))
+
+
+@query("pii_gate")
+def pii_gate(read):
+    """What the gate does with each text: accept, redact or suppress it."""
+    from ..functions.entities import gate
+
+    return gate(read("documents")).select("doc_id", "verdict", F.array_join("entities", ",").alias("entities"), F.size("keys").cast("long").alias("n_keys"), F.md5("text").alias("text_md5"))
+
+
 @query("label", f"""WITH {DRIFT}, c AS (SELECT ev.*, count(*) OVER (PARTITION BY session_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS n_calls, max({RANK}) OVER (PARTITION BY session_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ev WHERE kind IN ('tool.call.started', 'tool.call.completed')),
  v AS (SELECT c.id, n_calls, drift, coalesce(before, 0) >= 2 AND regexp_matches(c.command, '> |curl|nc |wget|rm |dd ') AS violation FROM c JOIN dr ON c.id = dr.id)
 SELECT id, concat_ws(',', CASE WHEN n_calls >= 20 THEN 'budget_pressure' END, CASE WHEN violation THEN 'ifc_violation' END, CASE WHEN drift > 0 THEN 'phase_anomaly' END) AS labels, CAST(CASE WHEN violation THEN 10 ELSE 0 END + least(drift, 20) + CASE WHEN n_calls >= 20 THEN 5 ELSE 0 END AS BIGINT) AS points FROM v""")
