@@ -32,6 +32,29 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
 
 
+def alike_pairs(sets: DataFrame, group: str, words: str, tenths: int) -> DataFrame:
+    """group, n_alike: how many pairs of its sets have a Jaccard similarity of so many tenths at least; groups without such a pair are left
+    out. Empty and null sets are like nothing.
+
+    Equal sets are counted, then one, so copies make no pairs. Two alike sets share one of the first words of both in order of hashes: of n
+    words the first n - ceil(tenths * n / 10) + 1, and only sets that share one are compared.
+    """
+    order = lambda ws: F.transform(F.array_sort(F.transform(ws, lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), lambda x: x["w"])
+    classes = sets.where(F.size(words) > 0).select(F.col(group).alias("g_"), order(F.array_distinct(words)).alias("ws_")).groupBy("g_", "ws_").agg(F.count(F.lit(1)).alias("n_"))
+    classes = classes.withColumn("key_", F.xxhash64(F.array_join("ws_", " ")))
+    own = classes.groupBy("g_").agg(F.sum(F.expr("n_ * (n_ - 1) div 2")).alias("n_alike"))
+    size = F.size("ws_")
+    first = classes.withColumn("word_", F.explode(F.slice("ws_", 1, size - F.ceil(size * tenths / 10).cast("int") + 1)))
+    other = first.select("g_", "word_", F.col("ws_").alias("ws2_"), F.col("n_").alias("n2_"), F.col("key_").alias("key2_"))
+    shared = F.size(F.array_intersect("ws_", "ws2_"))
+    met = first.join(other, ["g_", "word_"]).where((F.col("key_") < F.col("key2_")) & (10 * F.least(size, F.size("ws2_")) >= tenths * F.greatest(size, F.size("ws2_"))))
+    # a pair counts at the first of the words that both begin with
+    mine, theirs = (F.slice(c, F.lit(1), F.size(c) - F.ceil(F.size(c) * tenths / 10).cast("int") + 1) for c in ("ws_", "ws2_"))
+    met = met.where((F.col("word_") == F.array_intersect(mine, theirs)[0]) & (10 * shared >= tenths * (size + F.size("ws2_") - shared)))
+    across = met.groupBy("g_").agg(F.sum(F.col("n_") * F.col("n2_")).alias("n_alike"))
+    return own.unionByName(across).groupBy(F.col("g_").alias(group)).agg(F.sum("n_alike").alias("n_alike")).where("n_alike > 0")
+
+
 def matched(gold: DataFrame, guess: DataFrame, within: int) -> DataFrame:
     """session_id, hits, n_gold, n_guess: each gold place, in order, takes the first free guess that is near enough. Greedy, so a fold over
     a session's two lists."""

@@ -39,6 +39,19 @@ def duration(read):
     return pairing.pair_calls(session_events(read("events"))).where("status = 'paired'").groupBy("tool").agg(F.count(F.lit(1)).alias("n"), F.max("duration_ms").alias("longest_ms"), F.min("duration_ms").alias("shortest_ms"))
 
 
+@query("pair_bounds", f"""WITH {EV}, s AS (SELECT *, epoch_us(ts) AS us, max(epoch_us(ts)) OVER (ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+  sum(CASE WHEN kind = 'session.ended' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, id) AS stretch FROM ev),
+ n AS (SELECT *, lead(kind) OVER w AS nk, lead(id) OVER w AS ni, lead(before) OVER w AS nb, lag(kind) OVER w AS pk FROM s WHERE kind IN ('tool.call.started', 'tool.call.completed') WINDOW w AS (PARTITION BY session_id, call_id, stretch ORDER BY ts, id)),
+ m AS (SELECT *, kind = 'tool.call.started' AND nk IS NOT DISTINCT FROM 'tool.call.completed' AS answered, nb - us > 86400000000 AS late FROM n)
+SELECT session_id, call_id, 'paired' AS status, id AS start_id, ni AS done_id FROM m WHERE answered AND NOT late
+UNION ALL SELECT session_id, call_id, 'orphan', id, NULL FROM m WHERE kind = 'tool.call.started' AND (NOT answered OR late)
+UNION ALL SELECT session_id, call_id, 'lone', NULL, ni FROM m WHERE answered AND late
+UNION ALL SELECT session_id, call_id, 'lone', NULL, id FROM m WHERE kind = 'tool.call.completed' AND (pk IS NULL OR pk = 'tool.call.completed')""")
+def pair_bounds(read):
+    """Starts wait for a day of the stream's time."""
+    return pairing.pair_bounded(session_events(read("events")), 86_400)
+
+
 @query("pair_fifo", f"""WITH {EV}, o AS (SELECT *, row_number() OVER (PARTITION BY session_id, tool, kind ORDER BY ts, id) AS n FROM ev)
 SELECT a.session_id, a.tool, a.n, a.id AS start_id, b.id AS done_id FROM o a JOIN o b ON a.session_id = b.session_id AND a.tool = b.tool AND a.n = b.n
 WHERE a.kind = 'tool.call.started' AND b.kind = 'tool.call.completed'""")

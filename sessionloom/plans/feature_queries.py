@@ -24,10 +24,10 @@ def title_heur(read):
     return messages(read("conversations")).where("kind = 'message.user'").select("session_id", "seq", text.clipped(F.col("text")).alias("title"))
 
 
-@query("title_hyg", "WITH t AS (SELECT conv_id, turn, substr(text, 1, 12) AS title FROM conversations), k AS (SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(title), '[^a-z0-9à-ÿ]+'), lambda w: w <> ''))), ' ') AS title_key FROM t) SELECT conv_id, title_key, min(turn) AS first_turn, count(*) AS n FROM k GROUP BY conv_id, title_key")
+@query("title_hyg", "WITH t AS (SELECT conv_id, turn, text AS title FROM conversations), k AS (SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(title), '[^a-z0-9à-ÿ]+'), lambda w: w <> ''))), ' ') AS title_key FROM t) SELECT conv_id, title_key, min(turn) AS first_turn, count(*) AS n FROM k GROUP BY conv_id, title_key")
 def title_hyg(read):
     """Titles of a session with the same words are one."""
-    rows = read("conversations").select("conv_id", "turn", text.title_key(F.substring("text", 1, 12)).alias("title_key"))
+    rows = read("conversations").select("conv_id", "turn", text.title_key(F.col("text")).alias("title_key"))
     return rows.groupBy("conv_id", "title_key").agg(F.min("turn").alias("first_turn"), F.count(F.lit(1)).alias("n"))
 
 
@@ -39,16 +39,17 @@ def tol_match(read):
     return text.matched(gold, guess, 3)
 
 
-@query("toc_metrics", f"""WITH {MSG}, w AS (SELECT session_id, seq, list_distinct(list_filter(string_split_regex(lower(substr(text, 1, 60)), '[^a-zà-ÿ]+'), lambda w: w <> '')) AS ws FROM msg)
-SELECT a.session_id, count(*) AS n_pairs, count(*) FILTER (len(list_intersect(a.ws, b.ws)) >= 0.2 * len(list_distinct(list_concat(a.ws, b.ws)))) AS n_alike FROM w a JOIN w b ON a.session_id = b.session_id AND a.seq < b.seq GROUP BY a.session_id""")
+@query("toc_metrics", f"""WITH {MSG}, w AS (SELECT session_id, seq, list_distinct(list_filter(string_split_regex(lower(text), '[^a-zà-ÿ]+'), lambda w: w <> '')) AS ws FROM msg),
+ p AS (SELECT a.session_id, count(*) AS n_alike FROM w a JOIN w b ON a.session_id = b.session_id AND a.seq < b.seq WHERE len(a.ws) > 0 AND len(b.ws) > 0 AND 10 * len(list_intersect(a.ws, b.ws)) >= 6 * len(list_distinct(list_concat(a.ws, b.ws))) GROUP BY a.session_id)
+SELECT session_id, count(*) AS n_titles, count(*) * (count(*) - 1) // 2 AS n_pairs, coalesce(any_value(n_alike), 0) AS n_alike FROM w LEFT JOIN p USING (session_id) GROUP BY session_id""")
 def toc_metrics(read):
-    """Pairs of a session's titles that share many words; a session has few titles."""
-    words = F.array_distinct(F.filter(F.split(F.lower(F.substring("text", 1, 60)), "[^a-zà-ÿ]+"), lambda w: w != ""))
-    rows = messages(read("conversations")).select("session_id", "seq", words.alias("ws"))
-    other = rows.select(F.col("session_id"), F.col("seq").alias("seq2"), F.col("ws").alias("ws2"))
-    pairs = rows.join(other, "session_id").where("seq < seq2")
-    alike = F.size(F.array_intersect("ws", "ws2")) >= 0.2 * F.size(F.array_union("ws", "ws2"))
-    return pairs.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.count(F.when(alike, 1)).alias("n_alike"))
+    """Pairs of a session's titles that share six of ten words."""
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-zà-ÿ]+"), lambda w: w != ""))
+    rows = messages(read("conversations")).select("session_id", words.alias("ws"))
+    sizes = rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_titles"))
+    alike = text.alike_pairs(rows, "session_id", "ws", 6)
+    joined = sizes.join(alike, "session_id", "left").na.fill(0, ["n_alike"])
+    return joined.select("session_id", "n_titles", (F.expr("n_titles * (n_titles - 1) div 2")).alias("n_pairs"), "n_alike")
 
 
 STITCH = f"{EV}, n AS (SELECT session_id, id, kind, row_number() OVER (PARTITION BY session_id ORDER BY ts, id) - 1 AS item FROM ev), wi AS (SELECT n.*, w.w AS win, w.w * 10 + 10 AS centre FROM n, (SELECT unnest(range(0, 40)) AS w) w WHERE item BETWEEN w.w * 10 AND w.w * 10 + 19), r AS (SELECT *, row_number() OVER (PARTITION BY session_id, item ORDER BY abs(item - centre), win) AS p FROM wi)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import governance as gov
-from ..operators import risk
+from ..operators import ledger, risk
 from ..operators.sequence import PHASES, inherit_phase, numbered
 from .enrichment_queries import _GOLDEN, PAIRED
 from .lens import COMMANDS, EV, session_events
@@ -93,6 +93,23 @@ def idempotency(read):
     return gov.first_delivery(session_events(read("events")), ["session_id", "kind", "call_id"], ["ts", "id"]).select("session_id", "kind", "call_id", "id")
 
 
+DELIVERIES = f"""{EV}, dl AS (SELECT session_id, call_id, ts, id, CASE WHEN kind = 'session.ended' THEN 'refused' WHEN kind = 'tool.call.failed' THEN 'failed' WHEN kind = 'tool.call.completed' THEN 'ok' ELSE 'crashed' END AS outcome FROM ev)"""
+
+
+@query("delivery_ledger", f"""WITH {DELIVERIES}, f AS (SELECT *, row_number() OVER (PARTITION BY session_id, call_id, outcome ORDER BY ts, id) AS nth, row_number() OVER (PARTITION BY session_id, call_id ORDER BY ts, id) AS place FROM dl),
+ k AS (SELECT session_id, call_id, count(*) AS deliveries, min(place) FILTER (outcome <> 'refused') AS reserved, min(place) FILTER (outcome = 'ok') AS ok, min(place) FILTER (outcome = 'failed' AND nth = 3) AS dead FROM f GROUP BY session_id, call_id),
+ c AS (SELECT k.*, least(coalesce(ok, dead), coalesce(dead, ok)) AS closed FROM k)
+SELECT c.session_id, c.call_id, CASE WHEN reserved IS NULL THEN 'discarded' WHEN closed IS NULL THEN 'reserved' WHEN closed = ok THEN 'finalized' ELSE 'dead_letter' END AS state, deliveries,
+ (SELECT count(*) FROM f WHERE f.session_id = c.session_id AND f.call_id = c.call_id AND f.outcome = 'failed' AND (c.closed IS NULL OR f.place <= c.closed)) AS attempts, r.id AS reserved_id, e.id AS closed_id
+FROM c LEFT JOIN f r ON r.session_id = c.session_id AND r.call_id = c.call_id AND r.place = c.reserved LEFT JOIN f e ON e.session_id = c.session_id AND e.call_id = c.call_id AND e.place = c.closed""")
+def delivery_ledger(read):
+    """Events of one session and call as deliveries of one key."""
+    kind = F.col("kind")
+    outcome = F.when(kind == "session.ended", ledger.REFUSED).when(kind == "tool.call.failed", ledger.FAILED).when(kind == "tool.call.completed", ledger.OK).otherwise(ledger.CRASHED)
+    rows = ledger.delivery_ledger(session_events(read("events")).withColumn("outcome", outcome), ["session_id", "call_id"], ["ts", "id"])
+    return rows.select("session_id", "call_id", "state", "deliveries", "attempts", F.col("reserved_at.id").alias("reserved_id"), F.col("closed_at.id").alias("closed_id"))
+
+
 @query("event_key", f"WITH {EV} SELECT id, CASE WHEN kind LIKE 'session.%' THEN session_id || ':' || kind WHEN kind LIKE 'tool.%' THEN session_id || ':' || kind || ':' || call_id ELSE sha256(session_id || '|' || kind || '|' || k) END AS event_key FROM ev")
 def event_key(read):
     s = F.col("session_id").cast("string")

@@ -159,9 +159,9 @@ def title_latest(read):
     return rows.groupBy("segment_id", "kind").agg(F.max(F.struct("version", "title")).alias("t")).select("segment_id", "kind", "t.version", "t.title")
 
 
-@query("title_join", f"WITH {SEGMENTS}, t AS (SELECT conv_id AS segment_id, arg_max(substr(text, 1, 40), turn) AS title FROM conversations GROUP BY conv_id) SELECT sg.id, coalesce(t.title, 'untitled') AS title FROM sg LEFT JOIN t ON sg.step_id = t.segment_id")
+@query("title_join", f"WITH {SEGMENTS}, t AS (SELECT conv_id AS segment_id, arg_max(text, turn) AS title FROM conversations GROUP BY conv_id) SELECT sg.id, coalesce(t.title, 'untitled') AS title FROM sg LEFT JOIN t ON sg.step_id = t.segment_id")
 def title_join(read):
-    titles = read("conversations").groupBy("conv_id").agg(F.max_by(F.substring("text", 1, 40), "turn").alias("title"))
+    titles = read("conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("title"))
     rows = segmented(read)
     return rows.join(titles, F.col("step_id") == F.col("conv_id"), "left").select("id", F.coalesce("title", F.lit("untitled")).alias("title"))
 
