@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -62,3 +62,29 @@ def most_frequent(rows: DataFrame, key: str, value: str) -> DataFrame:
     """key and its most frequent value that isn't blank; of equals the first by name."""
     counts = rows.where(F.coalesce(F.trim(value), F.lit("")) != "").groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("n"), value))[value].alias(value))
+
+
+def _part(a: Column, b: Column) -> Column:
+    return F.when(F.coalesce(b, F.lit(0)) == 0, 0.0).otherwise(a.cast("double") / b)
+
+
+def class_report(rows: DataFrame, truth: str, guess: str) -> DataFrame:
+    """class, hits, guesses, support, precision, recall, f1 of each class that is the truth or the guess somewhere; a ratio of nothing is 0.
+
+    The confusion matrix is counted first, so no row is looked at twice and a class may hold nearly all of them. A null truth or guess is a
+    miss of the other side's class.
+    """
+    cells = rows.groupBy(F.col(truth).alias("t_"), F.col(guess).alias("g_")).agg(F.count(F.lit(1)).alias("n_"))
+    sides = cells.withColumn("class", F.explode(F.array_distinct(F.array("t_", "g_")))).where("class is not null")
+    of = lambda c: F.sum(F.when(c, F.col("n_")).otherwise(0)).cast("long")
+    true, told = (F.col(c).eqNullSafe(F.col("class")) for c in ("t_", "g_"))
+    counts = sides.groupBy("class").agg(of(true & told).alias("hits"), of(told).alias("guesses"), of(true).alias("support"))
+    ratios = {"precision": _part(F.col("hits"), F.col("guesses")), "recall": _part(F.col("hits"), F.col("support")), "f1": _part(2 * F.col("hits"), F.col("guesses") + F.col("support"))}
+    return counts.withColumns({k: F.round(v, 6) for k, v in ratios.items()})
+
+
+def averaged(report: DataFrame) -> DataFrame:
+    """n_classes, f1_macro (each class counts alike), f1_micro (each row does) of a class_report()."""
+    f1 = _part(2 * F.col("hits"), F.col("guesses") + F.col("support"))
+    micro = F.sum(2 * F.col("hits")).cast("double") / F.sum(F.col("guesses") + F.col("support"))
+    return report.agg(F.count(F.lit(1)).alias("n_classes"), F.round(F.avg(f1), 6).alias("f1_macro"), F.round(micro, 6).alias("f1_micro"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shell import short_flags, with_commands
-from .risk import BINARIES, FLAGS, GTFOBINS, SENDERS
+from .risk import BINARIES, FLAGS, GTFOBINS, SENDERS, hazards
 
 RULE = "place int, binary string, subcommands array<string>, requires array<string>, rejects array<string>, activity string"
 #: Fixed values.
@@ -89,3 +89,30 @@ def structure_of(commands: Column) -> dict[str, Column]:
 
 def confidence(binary: Column, effect: Column, flags: Column) -> Column:
     return F.when(binary.isNotNull() & effect.isNotNull(), F.when(F.size(flags) > 0, "high").otherwise("medium")).when(binary.isNotNull() | effect.isNotNull(), "medium").otherwise("low")
+
+
+def upgraded(lines: DataFrame, command: str = "command", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, what else is to be kept, effect and capability (sorted) of each command line with what only the line as a whole shows: output to files makes a read-only
+    line a mutating one that writes the file system, a wrapper that elevates and every hazard are capabilities, and so are the binaries that
+    send. A line without commands has no effect, and a null one neither."""
+    rank = F.create_map(*[F.lit(x) for pair in MAIN.items() for x in pair])
+    of = F.create_map(*[F.lit(x) for b, (e, _) in BINARIES.items() for x in (b, e)])
+    rows = with_commands(lines.select("id", command, *keep), command)
+    run = F.filter(F.coalesce("commands", F.array()), lambda c: c["binary"] != "")
+    effect = lambda c: F.when(F.array_contains(c["flags"], "--dry-run"), "read_only").otherwise(F.try_element_at(of, c["binary"]))
+    ranks = F.transform(run, lambda c: F.coalesce(F.try_element_at(rank, effect(c)), F.lit(0)))
+    written = F.coalesce(structure_of(F.col("commands"))["redirected"], F.lit(False))
+    worst = F.greatest(F.coalesce(F.array_max(ranks), F.lit(0)), F.when(written, MAIN["mutating"]).otherwise(0))
+    names = F.element_at(F.array(F.lit(None), *map(F.lit, sorted(MAIN, key=MAIN.get))), worst + 1)
+    some = lambda test: F.exists(run, lambda c: F.coalesce(test(c), F.lit(False)))
+    tags = [F.when(written, "filesystem_write"), F.when(some(lambda c: c["elevated"]), "elevated_privilege"), F.when(some(lambda c: c["binary"].isin(*SENDERS)), "network_outbound")]
+    tags += [F.when(found, name) for name, found in hazards(F.col("commands")).items()]
+    return rows.select("id", *keep, names.alias("effect"), F.array_sort(F.array_compact(F.array(*tags))).alias("capability"))
+
+
+def phase_of_call(capability: Column, effect: Column, tool: Column) -> Column:
+    """The phase that a classified call belongs to: what goes out to the network first, then what its effect says; a call that changes things is
+    testing or deployment if its tool's name says so. Without an effect it is exploration."""
+    named = lambda *parts: F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(F.lower(F.coalesce(tool, F.lit(""))), p))
+    changes = F.when(named("test", "verify", "check"), "testing").when(named("deploy", "publish"), "deployment").otherwise("implementation")
+    return F.when(F.coalesce(F.array_contains(capability, "network_outbound"), F.lit(False)), "network").when(effect == "destructive", "destructive").when(effect == "mutating", changes).otherwise("exploration")

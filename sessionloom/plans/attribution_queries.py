@@ -140,12 +140,31 @@ def groupkfold(read):
     return session_events(read("events")).select("id", (F.col("session_id") % 5).alias("fold"))
 
 
-@query("clf_report", "WITH c AS (SELECT l.quality AS truth, CASE WHEN d.n_chars > 1500 THEN 1 ELSE 0 END AS guess FROM documents d JOIN labels l USING (doc_id)), k AS (SELECT * FROM (VALUES (0), (1)) v(class)) SELECT class, count(*) FILTER (truth = class AND guess = class) AS hits, count(*) FILTER (guess = class) AS guesses, count(*) FILTER (truth = class) AS support FROM k, c GROUP BY class")
+GUESSED = "c AS (SELECT l.quality AS truth, CASE WHEN d.n_chars > 1500 THEN 1 ELSE 0 END AS guess FROM documents d JOIN labels l USING (doc_id))"
+_RATIO = "CASE WHEN coalesce({b}, 0) = 0 THEN 0.0 ELSE CAST({a} AS DOUBLE) / {b} END"
+REPORT = f"""{GUESSED}, k AS (SELECT truth AS class FROM c UNION SELECT guess FROM c),
+ n AS (SELECT class, count(*) FILTER (truth = class AND guess = class) AS hits, count(*) FILTER (guess = class) AS guesses, count(*) FILTER (truth = class) AS support FROM k, c WHERE class IS NOT NULL GROUP BY class),
+ r AS (SELECT *, round({_RATIO.format(a="hits", b="guesses")}, 6) AS precision, round({_RATIO.format(a="hits", b="support")}, 6) AS recall, round({_RATIO.format(a="2 * hits", b="(guesses + support)")}, 6) AS f1 FROM n)"""
+
+
+def guessed(read):
+    return read("documents").join(read("labels"), "doc_id").select(F.col("quality").alias("truth"), F.when(F.col("n_chars") > 1500, 1).otherwise(0).alias("guess"))
+
+
+@query("clf_report", f"WITH {REPORT} SELECT * FROM r")
 def clf_report(read):
-    both = read("documents").join(read("labels"), "doc_id").select(F.col("quality").alias("truth"), F.when(F.col("n_chars") > 1500, 1).otherwise(0).alias("guess"))
-    sides = both.select(F.explode(F.array_distinct(F.array("truth", "guess"))).alias("class"), "truth", "guess")
-    of = lambda c: F.count(F.when(c, 1))
-    return sides.groupBy("class").agg(of((F.col("truth") == F.col("class")) & (F.col("guess") == F.col("class"))).alias("hits"), of(F.col("guess") == F.col("class")).alias("guesses"), of(F.col("truth") == F.col("class")).alias("support"))
+    return att.class_report(guessed(read), "truth", "guess")
+
+
+@query("clf_confusion", f"WITH {GUESSED} SELECT truth, guess, count(*) AS n FROM c GROUP BY truth, guess")
+def clf_confusion(read):
+    """The confusion matrix, without its empty cells."""
+    return guessed(read).groupBy("truth", "guess").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("clf_macro", f"WITH {REPORT} SELECT count(*) AS n_classes, round(avg({_RATIO.format(a='2 * hits', b='(guesses + support)')}), 6) AS f1_macro, round(CAST(sum(2 * hits) AS DOUBLE) / sum(guesses + support), 6) AS f1_micro FROM r")
+def clf_macro(read):
+    return att.averaged(att.class_report(guessed(read), "truth", "guess"))
 
 
 @query("pilot_eval", f"WITH {MSG} SELECT kind, count(*) AS n, count(DISTINCT session_id) AS n_sessions, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM msg GROUP BY kind")

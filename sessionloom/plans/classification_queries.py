@@ -140,3 +140,19 @@ def structure(read):
     of = commands.structure_of(F.col("commands"))
     rows = shell.with_commands(session_events(read("events")).where("kind = 'tool.call.started'"))
     return rows.select("id", *[of[k].alias(k) for k in ("piped", "redirected", "sequential")])
+
+
+UPGRADED = f"""{PARTS}, wl AS (SELECT id, coalesce(max({_EFFECT}), 0) AS rank, bool_or(bin IN ({", ".join(repr(b) for b in commands.SENDERS)})) AS sends FROM cm GROUP BY id),
+ up AS (SELECT ln.id, contains(command, ' > ') AS written, sends, CASE greatest(rank, CASE WHEN contains(command, ' > ') THEN 2 ELSE 0 END) WHEN 3 THEN 'destructive' WHEN 2 THEN 'mutating' WHEN 1 THEN 'read_only' END AS effect FROM ln JOIN wl USING (id))"""
+
+
+@query("shell_post", f"WITH {UPGRADED} SELECT id, effect, written, sends FROM up")
+def shell_post(read):
+    has = lambda tag: F.array_contains("capability", tag)
+    return commands.upgraded(lines(read)).select("id", "effect", has("filesystem_write").alias("written"), has("network_outbound").alias("sends"))
+
+
+@query("gov_phase", f"WITH {UPGRADED} SELECT up.id, CASE WHEN sends THEN 'network' WHEN effect = 'destructive' THEN 'destructive' WHEN effect = 'mutating' THEN CASE WHEN regexp_matches(lower(tool), 'test|verify|check') THEN 'testing' WHEN regexp_matches(lower(tool), 'deploy|publish') THEN 'deployment' ELSE 'implementation' END ELSE 'exploration' END AS phase FROM up JOIN ev USING (id)")
+def gov_phase(read):
+    rows = commands.upgraded(lines(read).select("id", "command", "tool"), keep=("tool",))
+    return rows.select("id", commands.phase_of_call(F.col("capability"), F.col("effect"), F.col("tool")).alias("phase"))

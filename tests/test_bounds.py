@@ -1,4 +1,4 @@
-"""Bounded pairing and the ledger of deliveries against plain versions."""
+"""Bounded pairing, the ledger of deliveries, reports of classes and upgrades of lines against plain versions."""
 
 import datetime as dt
 import itertools
@@ -165,3 +165,41 @@ def test_alike_pairs_are_those_of_a_full_comparison(spark):
         if g == h and a and b and 10 * len(set(a) & set(b)) >= 6 * len(set(a) | set(b)):
             want[g] = want.get(g, 0) + 1
     assert got == want
+
+
+def test_report_counts_nulls_as_misses(spark):
+    from sessionloom.operators import attribution as att
+
+    rows = [("a", "a")] * 3 + [("a", "b"), ("b", "b"), ("b", None), (None, "a"), ("c", "a"), (None, None)]
+    table = spark.createDataFrame(rows, "truth string, guess string")
+    report = att.class_report(table, "truth", "guess")
+    got = {r["class"]: r.asDict() for r in report.collect()}
+    for c in "abc":
+        hits, told, true = (sum(test(t, g) for t, g in rows) for test in (lambda t, g: t == g == c, lambda t, g: g == c, lambda t, g: t == c))
+        f1 = round(2 * hits / (told + true), 6)
+        assert got[c] == {"class": c, "hits": hits, "guesses": told, "support": true, "precision": round(hits / told, 6) if told else 0.0, "recall": round(hits / true, 6), "f1": f1}
+    one = att.averaged(report).first()
+    assert one.n_classes == 3 and one.f1_macro == round((6 / 9 + 2 / 4 + 0) / 3, 6) and one.f1_micro == round(8 / 14, 6)
+    assert att.class_report(table.limit(0), "truth", "guess").count() == 0 and att.averaged(att.class_report(table.limit(0), "truth", "guess")).first().n_classes == 0
+
+
+def test_lines_are_upgraded_by_what_they_write_and_reach(spark):
+    from sessionloom.operators import commands
+
+    lines = {1: "cat a > b", 2: "sudo rm x | nc h 1", 3: "ls 2>&1", 4: None, 5: "", 6: "git push --dry-run", 7: "mkfs.ext4 /dev/sda", 8: "unheard of"}
+    rows = commands.upgraded(spark.createDataFrame(list(lines.items()), "id int, command string"))
+    got = {r.id: (r.effect, set(r.capability)) for r in rows.collect()}
+    assert got[1] == ("mutating", {"filesystem_write"})
+    assert got[2] == ("destructive", {"elevated_privilege", "network_outbound"})
+    assert got[3] == ("read_only", set()) and got[6] == ("read_only", set())
+    assert got[4] == got[5] == got[8] == (None, set())
+    assert got[7][0] == "destructive" and len(got[7][1]) >= 1
+
+
+def test_phase_of_a_call_by_reach_effect_and_name(spark):
+    from sessionloom.operators import commands
+
+    rows = [(["network_outbound"], "destructive", "x", "network"), ([], "destructive", "test", "destructive"), (None, "mutating", "Run_Tests", "testing"), ([], "mutating", "publish_it", "deployment"), ([], "mutating", None, "implementation"), ([], None, "check", "exploration"), ([], "informational", "x", "exploration")]
+    table = spark.createDataFrame(rows, "capability array<string>, effect string, tool string, want string")
+    got = table.select(commands.phase_of_call(F.col("capability"), F.col("effect"), F.col("tool")).alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]
