@@ -57,3 +57,27 @@ def attributes(pairs: Column) -> Column:
     """An OpenTelemetry list of {key, value:{xValue}} as a map: the first value that is there."""
     first = lambda v: F.coalesce(*[v[c] for c in ("stringValue", "intValue", "doubleValue", "boolValue")])
     return F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["key"].alias("key"), first(p["value"]).alias("value"))))
+
+
+#: A JSON string with what makes it a key, if anything does. Possessive, so that a long string costs neither stack nor a second look.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?+'
+
+
+def string_leaves(json: Column) -> Column:
+    """The strings among the values of a JSON text, at any depth, in order of the text, keys left out; null for what isn't JSON.
+
+    Escapes are resolved. Numbers, booleans and nulls give nothing; a bare string gives itself. A text in which an object repeats a key isn't
+    taken for JSON.
+    """
+    found = F.filter(F.regexp_extract_all(json, F.lit(_STRING), F.lit(0)), lambda s: F.endswith(s, F.lit('"')))
+    return F.when(F.try_parse_json(json).isNotNull(), F.from_json(F.concat(F.lit("["), F.array_join(found, ","), F.lit("]")), "array<string>"))
+
+
+def flat_text(motivation: Column, payload: Column, most_chars: int | None = None) -> Column:
+    """What there is to read on an event: its motivation and the strings of its payload, by spaces, cut to most_chars where that is asked for.
+
+    A payload that isn't JSON is read as it is; empty strings leave no space; nulls are nothing, and nothing at all is an empty text.
+    """
+    parts = F.concat(F.array(motivation), F.coalesce(string_leaves(payload), F.array(payload)))
+    text = F.trim(F.array_join(F.filter(parts, lambda p: p != ""), " "), F.lit(" \t\n\r"))
+    return text if most_chars is None else F.substring(text, 1, most_chars)

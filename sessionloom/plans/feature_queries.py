@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import records
 from ..operators import text
 from .lens import EV, MSG, messages, session_events
 from .register import query
@@ -72,3 +73,11 @@ def label_tables(read):
 
     numbers = numbered(session_events(read("events"))).select("id", "session_id", "seq")
     return read("labels").join(numbers, F.col("doc_id") == F.col("id"), "left").select("doc_id", "quality", "session_id", "seq")
+
+
+@query("text_extract", """SELECT conv_id, turn, trim(CASE WHEN turn % 2 = 0 AND role <> '' THEN role || ' ' ELSE '' END || coalesce(role || ' ', '') || coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13)) AS text FROM conversations""")
+def text_extract(read):
+    """Messages as nested payloads, with a motivation at every other turn; whole texts."""
+    part = F.struct("text", F.col("turn").alias("n"), F.lit(True).alias("shown"))
+    payload = F.to_json(F.struct("role", F.struct(F.array(part).alias("parts")).alias("body")))
+    return read("conversations").select("conv_id", "turn", records.flat_text(F.when(F.col("turn") % 2 == 0, F.col("role")), payload).alias("text"))
