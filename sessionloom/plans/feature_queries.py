@@ -20,7 +20,14 @@ def nbr_centroid(read):
     return text.centroid_distance(read("embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v")), "label", "vec_id", "v", 5).select("vec_id", "distance")
 
 
-@query("title_heur")
+_LEAD = "|".join(w.replace("'", "''") for w in text.PREAMBLE)
+TITLED = f"""{MSG}, t1 AS (SELECT session_id, seq, kind, regexp_replace(coalesce(list_filter(list_transform(string_split_regex(trim(coalesce(text, '')), '[.!?]\\s+|\\n+'), lambda s: trim(s)), lambda s: s <> '')[1], ''), '(?i)^[\\s,:;-]*(?:(?:{_LEAD})(?:[\\s,][\\s,:;-]*|$))*', '') AS core FROM msg),
+ t2 AS (SELECT *, list_reduce(list_prepend('', string_split_regex(core, '\\s+')[1:8]), lambda s, w: CASE WHEN length(s) + length(w) + CASE WHEN s = '' THEN 0 ELSE 1 END > 60 THEN s WHEN s = '' THEN w ELSE s || ' ' || w END) AS fits FROM t1),
+ t3 AS (SELECT session_id, seq, kind, regexp_replace(regexp_replace(fits, '(?i)(?:\\s+(?:{"|".join(text.TAIL)}))+$', ''), '[\\s.,;:!?-]+$', '') AS bare FROM t2),
+ tt AS (SELECT session_id, seq, kind, upper(substr(bare, 1, 1)) || substr(bare, 2) AS title FROM t3)"""
+
+
+@query("title_heur", f"WITH {TITLED} SELECT session_id, seq, title FROM tt WHERE kind = 'message.user'")
 def title_heur(read):
     return messages(read("conversations")).where("kind = 'message.user'").select("session_id", "seq", text.clipped(F.col("text")).alias("title"))
 
@@ -40,13 +47,13 @@ def tol_match(read):
     return text.matched(gold, guess, 3)
 
 
-@query("toc_metrics", f"""WITH {MSG}, w AS (SELECT session_id, seq, list_distinct(list_filter(string_split_regex(lower(text), '[^a-zà-ÿ]+'), lambda w: w <> '')) AS ws FROM msg),
+@query("toc_metrics", f"""WITH {TITLED}, w AS (SELECT session_id, seq, list_distinct(list_filter(string_split_regex(lower(title), '[^a-zà-ÿ]+'), lambda w: w <> '')) AS ws FROM tt),
  p AS (SELECT a.session_id, count(*) AS n_alike FROM w a JOIN w b ON a.session_id = b.session_id AND a.seq < b.seq WHERE len(a.ws) > 0 AND len(b.ws) > 0 AND 10 * len(list_intersect(a.ws, b.ws)) >= 6 * len(list_distinct(list_concat(a.ws, b.ws))) GROUP BY a.session_id)
 SELECT session_id, count(*) AS n_titles, count(*) * (count(*) - 1) // 2 AS n_pairs, coalesce(any_value(n_alike), 0) AS n_alike FROM w LEFT JOIN p USING (session_id) GROUP BY session_id""")
 def toc_metrics(read):
     """Pairs of a session's titles that share six of ten words."""
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-zà-ÿ]+"), lambda w: w != ""))
-    rows = messages(read("conversations")).select("session_id", words.alias("ws"))
+    words = F.array_distinct(F.filter(F.split(F.lower("title"), "[^a-zà-ÿ]+"), lambda w: w != ""))
+    rows = messages(read("conversations")).withColumn("title", text.clipped(F.col("text"))).select("session_id", words.alias("ws"))
     sizes = rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_titles"))
     alike = text.alike_pairs(rows, "session_id", "ws", 6)
     joined = sizes.join(alike, "session_id", "left").na.fill(0, ["n_alike"])
