@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, folded_bytes, materialize, remove, table
-from .near import _components, _shared, connected
+from .near import _components, _shared, connected, stars
 from .words import Words, mix
 
 #: Words of a shingle; sets are linked if 100 times their shared shingles is at least SIMILAR times all of both.
@@ -128,34 +128,40 @@ def _compare(rows: pd.DataFrame, two_sided: bool) -> pd.DataFrame:
 
 
 def _in_blocks(rows: DataFrame, group: str, blocks) -> DataFrame:
-    """unit: what is compared in a task, a block of a group, with the group's PIVOTS besides if it has several blocks."""
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    """unit, set: what is compared in a task, a block of a group, with the group's PIVOTS besides if it has several blocks."""
+    block = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
+    rows = rows.select(group, "set", blocks.alias("blocks"))
     place = F.xxhash64("set", F.lit("pivot"))
-    pivots = rows.where("blocks > 1").groupBy(group).agg(*[F.min(F.when(F.pmod(place, F.lit(PIVOTS)) == i, F.struct(place.alias("h"), "set")))["set"].alias(f"p{i}") for i in range(PIVOTS)])
-    pivots = pivots.select(group, F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("set")).where(F.col("set").isNotNull())
-    again = rows.join(pivots, [group, "set"], "left_semi").withColumn("own", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> own")
-    return rows.unionByName(again.drop("own")).withColumn("unit", F.xxhash64(group, "block"))
+    pivots = rows.where("blocks > 1").groupBy(group, "blocks").agg(*[F.min(F.when(F.pmod(place, F.lit(PIVOTS)) == i, F.struct(place.alias("h"), "set")))["set"].alias(f"p{i}") for i in range(PIVOTS)])
+    pivots = pivots.select(group, "blocks", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("set")).where(F.col("set").isNotNull())
+    again = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(F.col("block") != block)
+    return rows.withColumn("block", block).unionByName(again).select(F.xxhash64(group, "block").alias("unit"), "set")
 
 
-def _few_against_all(rows: DataFrame, group: str, root: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """What _in_blocks leaves open: sets that aren't in their group's largest class, with all sets of their group. Returns rows with unit, few
-    and root, and the groups that have over `most` such sets."""
+def _few_against_all(rows: DataFrame, group: str, root: DataFrame, most: int | None = None) -> tuple[DataFrame | None, int, DataFrame | None]:
+    """What _in_blocks leaves open: sets that aren't in their group's largest class, with all sets of their group. root: of `stars`. Returns rows
+    with unit, few and root (None if no group is open) and how many they are, and the groups that have over `most` such sets, if any."""
     rows = rows.join(root.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     sizes = rows.groupBy(group, "root").agg(F.count(F.lit(1)).alias("k")).groupBy(group).agg(F.sum("k").alias("m"), F.max(F.struct("k", "root")).alias("main"))
     open_ = materialize(sizes.where("m > main.k").select(group, "m", (F.col("m") - F.col("main.k")).alias("u"), F.col("main.root").alias("main")), "minhash-open")
-    rows = rows.join(open_ if most is None else open_.where(F.col("u") <= most), group)
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    ends = F.lit(True) if most is None else F.col("u") <= most
+    size = F.col("m") * blocks("u") + F.col("u") * blocks("m")
+    n, wide = open_.agg(F.sum(F.when(ends, size)), F.count(F.when(~ends, 1))).first()
+    wide = open_.where(~ends) if wide else None
+    if not n:
+        return None, 0, wide
+    rows = rows.join(open_.where(ends), group)
     place = lambda n: F.pmod(F.xxhash64("set"), blocks(n)).cast("int")
     all_ = rows.withColumn("j", place("m")).withColumn("i", F.explode(F.sequence(F.lit(0), blocks("u") - 1))).withColumn("few", F.lit(False))
     few = rows.where("root <> main").withColumn("i", place("u")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks("m") - 1))).withColumn("few", F.lit(True))
-    return all_.unionByName(few.select(all_.columns)).withColumn("unit", F.xxhash64(group, "i", "j")), None if most is None else open_.where(F.col("u") > most)
+    return all_.unionByName(few.select(all_.columns)).withColumn("unit", F.xxhash64(group, "i", "j")), n, wide
 
 
-def _in_bins(units: DataFrame, columns: list[str], function, a_bin: int = 20_000) -> DataFrame:
-    """function over bins of whole units."""
-    units = materialize(units.select(*columns), "minhash-units")
-    bins = max(8, units.count() // a_bin)
-    return materialize(units.groupBy(F.pmod(F.xxhash64("unit"), F.lit(bins))).applyInPandas(function, "a long, b long"), "minhash-edges")
+def _in_bins(units: DataFrame, n: int, columns: list[str], function, a_bin: int = 20_000) -> DataFrame:
+    """function over bins of whole units; n: about how many rows these have."""
+    bins = F.pmod(F.xxhash64("unit"), F.lit(max(8, n // a_bin)))
+    return materialize(units.select(*columns).groupBy(bins).applyInPandas(function, "a long, b long"), "minhash-edges")
 
 
 def candidates(sets: DataFrame) -> DataFrame:
@@ -174,14 +180,17 @@ def candidates(sets: DataFrame) -> DataFrame:
         m = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
         rows = materialize(rows.join(m, "bucket"), "minhash-buckets")
         units = _in_blocks(rows, "bucket", F.ceil(F.col("m") / BLOCK).cast("int")).join(signed, "set")
-        edges = _in_bins(units, ["unit", "set", "signature"], lambda rows: _compare(rows, False))
-        every.append(edges)
+        edges = _in_bins(units, rows.count(), ["unit", "set", "signature"], lambda rows: _compare(rows, False))
         large = rows.where(F.col("m") > BLOCK).select("bucket", "set")
         if not large.take(1):
+            every.append(edges)
             break
-        few, wide = _few_against_all(large, "bucket", connected(edges), None if last else FEW)
-        every.append(_in_bins(few.join(signed, "set"), ["unit", "set", "signature", "few", "root"], lambda rows: _compare(rows, True)))
-        if last or not wide.take(1):
+        root = stars(edges)
+        every.append(root.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        few, n, wide = _few_against_all(large, "bucket", root, None if last else FEW)
+        if few is not None:
+            every.append(_in_bins(few.join(signed, "set"), n, ["unit", "set", "signature", "few", "root"], lambda rows: _compare(rows, True)))
+        if wide is None:
             break
         # 16 bands of 4: of pairs at 0.8 that share a wide bucket, all but 2 in 10,000 share one of these as well
         value = lambda k: F.substring("signature", 2 * k + 1, 2)
@@ -190,7 +199,7 @@ def candidates(sets: DataFrame) -> DataFrame:
     out = every[0]
     for x in every[1:]:
         out = out.unionByName(x)
-    return out.distinct()
+    return out
 
 
 def _links(rows: pd.DataFrame, two_sided: bool) -> pd.DataFrame:
@@ -212,7 +221,7 @@ def _links(rows: pd.DataFrame, two_sided: bool) -> pd.DataFrame:
 
 
 def linked(docs: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, root: classes of the sets that links connect, confirmed on all shingles. Sets that edges connect (a component) are compared in blocks
+    """node, root (as of stars): classes of the sets that links connect, confirmed on all shingles. Sets that edges connect (a component) are compared in blocks
     and with pivots, then what is apart from the component's largest class with all of it."""
     component = connected(edges).select(F.col("node").alias("set"), F.col("root").alias("component"))
     own = sets.select("set", "n", F.col("first.doc_id").alias("own_id"), F.col("first.text_key").alias("own_key"))
@@ -229,16 +238,17 @@ def linked(docs: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
     texts = texts.join(members.hint("merge"), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key"))).select("set", "text")
     shingles = materialize(texts.mapInPandas(shingle, "set long, shingles binary").dropDuplicates(["set"]), "minhash-shingles")
-    rows = members.join(blocks, "component").select("set", "component", "n", "blocks_")
-    units = _in_blocks(rows, "component", F.col("blocks_")).withColumn("unit", F.when(F.col("blocks") == 1, F.col("component")).otherwise(F.col("unit")))
-    found = _in_bins(units.join(shingles, "set"), ["unit", "set", "shingles"], lambda rows: _links(rows, False), 2000)
-    classes = connected(found)
+    rows = materialize(members.join(blocks, "component").select("set", "component", "blocks_"), "minhash-rows")
+    units = _in_blocks(rows, "component", F.col("blocks_"))
+    found = _in_bins(units.join(shingles, "set"), rows.count(), ["unit", "set", "shingles"], lambda rows: _links(rows, False), 2000)
+    classes = stars(found)
     large = rows.where("blocks_ > 1").select("component", "set")
     if large.take(1):
-        few, _ = _few_against_all(large, "component", classes)
-        more = _in_bins(few.join(shingles, "set"), ["unit", "set", "shingles", "few", "root"], lambda rows: _links(rows, True), 2000)
-        classes = connected(found.unionByName(more))
-    remove(members, shingles)
+        few, n, _ = _few_against_all(large, "component", classes)
+        if few is not None:
+            more = _in_bins(few.join(shingles, "set"), n, ["unit", "set", "shingles", "few", "root"], lambda rows: _links(rows, True), 2000)
+            classes = stars(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    remove(members, rows, shingles)
     return classes
 
 

@@ -198,28 +198,34 @@ def _block_pairs(rows: DataFrame, group: str) -> DataFrame:
     return other.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")}).drop("other")
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """node, root: the least node of each node's component, for nodes with edges (a, b). Large and small stars take turns until nothing
-    changes; every step is a join and a minimum, so no star is ever one group of rows."""
-    edges = materialize(edges.select("a", "b").where("a <> b").distinct(), "near-edges")
-    before = None
-    while True:
-        old = edges
-        down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+def _open_stars(down: DataFrame) -> int:
+    """Nodes that keep edges (a > b) from being stars: those with two lesser neighbours, or with a lesser and a greater one."""
+    ends = down.select(F.col("a").alias("node"), "b", F.lit(False).alias("inner")).unionByName(down.select(F.col("b").alias("node"), F.lit(None).cast("long").alias("b"), F.lit(True).alias("inner")))
+    return ends.groupBy("node").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.max("inner").alias("inner")).where("low <> high OR (low IS NOT NULL AND inner)").count()
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """node, root: the least node of each node's component, for nodes with edges (a, b) that aren't the least themselves. edges are read several
+    times, so they should be a written table. Small and large stars take turns until nothing but stars is left; every step is a join and a
+    minimum, each edge gives one edge, and no star is ever one group of rows."""
+    down = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    written = []
+    while _open_stars(down):
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = materialize(moved.distinct(), "near-edges")
-        remove(old)
-        old = edges
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        edges = materialize(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "near-edges")
-        remove(old)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        small = down.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        small = materialize(small.distinct(), "near-edges")
+        both = small.unionByName(small.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m"))
+        down = materialize(small.join(least, "b").select("a", F.col("m").alias("b")), "near-edges")
+        remove(small, *written)
+        written = [down]
+    return down.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """node, root: as of stars, and the least nodes with themselves."""
+    root = stars(edges)
+    return root.unionByName(root.select(F.col("root").alias("node"), "root").distinct())
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
