@@ -445,6 +445,39 @@ def test_quality_rules_keep_languages_apart(spark, monkeypatch):
         assert np.allclose(got.loc[alone.index, columns].astype(float), alone[columns].astype(float)) and (got.loc[alone.index].kept == alone.kept).all()
 
 
+def test_quality_rules_add_up_the_model_over_blocks_and_slices(spark, monkeypatch):
+    monkeypatch.setattr(perplexity, "BLOCK", 2500)
+    texts = [words_of(i, 60 + i % 9, 90) for i in range(60)]
+    table = docs(spark, [*texts, *texts[:5], texts[0], "q", None, "a b c a b c"], langs=["en"] * 68 + ["xx"]).repartition(3)  # of copies one is trained on
+    got = perplexity.quality_rules(table).toPandas().set_index("doc_id").sort_index()
+    by_hand = kneser_ney_by_hand(texts, perplexity.ORDER)
+    want = [-np.mean(by_hand(t)) for t in texts]
+    assert np.allclose(got.log_perplexity[:66].astype(float), [*want, *want[:5], want[0]], atol=1e-4)
+    assert got.log_perplexity[66:68].isna().all() and np.isclose(got.log_perplexity[68], np.log(perplexity.SYMBOLS))  # no text of xx passes the rules
+    assert not any(t.name.startswith("blocks_") for t in spark.catalog.listTables())
+
+
+def test_quality_rules_see_more_than_four_symbols(spark):
+    rng = np.random.default_rng(3)
+    letters = list("efghijklmnopqrstuvwxyz")
+    texts = [" ".join(f"{m}abcd{m}" for m in rng.choice(letters, 70)) for _ in range(60)]
+    mixed = " ".join("{}abcd{}".format(*rng.choice(letters, 2, replace=False)) for _ in range(70))  # all its runs of four symbols are common
+    got = perplexity.quality_rules(docs(spark, [*texts, mixed])).toPandas().set_index("doc_id").sort_index()
+    assert not got.base_failed[60] and got.log_perplexity[60] > got.high[60] and not got.kept[60]
+    assert got.kept[:60].mean() > 0.9
+
+
+def test_quality_rules_reject_too_regular_text(spark):
+    rng = np.random.default_rng(4)
+    syllables = ["ka", "lo", "mi", "tu", "re", "so", "ni", "va"]
+    some = lambda n: " ".join("".join(rng.choice(syllables, rng.integers(1, 5))) for _ in range(n))
+    template = [some(12) for _ in range(6)]
+    texts = [f"{some(90)}\n{template[i % 6]}\n{some(20)}" for i in range(90)]
+    got = perplexity.quality_rules(docs(spark, [*texts, "\n".join(template)])).toPandas().set_index("doc_id").sort_index()
+    assert not got.base_failed[90] and got.log_perplexity[90] < got.low[90] and not got.kept[90]
+    assert got.kept[:90].mean() > 0.9
+
+
 def test_quality_model_keeps_case_digits_and_scripts():
     runs = lambda t: perplexity._runs(f"{t}    ").tolist()
     texts = ["aB", "ab", "AB", "1", "2", "é", "è", "д", "中"]
